@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, lsm_dedup, mixing
+from tracewell.llm import bpe, lsm_dedup, mixing, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(_table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing_sources, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op3_ngram_jaccard, op5_mixing_sources, op9_exact_dedup, op10_byte_bpe)}
 
 
 OP9_SQL = r"""
