@@ -100,25 +100,28 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def hash_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], lower: bool = True, space: np.ndarray = _IS_SPACE, head: int = 0) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of the texts in order, the index of each text's first word (one more at the
     end), and each word's first byte and length within the joined bytes. Words are runs of bytes other than
-    SPACES; `lower` folds A-Z first."""
+    SPACES, or than those that the table `space` marks; `lower` folds A-Z first. With `head`, hashes of each word's
+    first `head` bytes come fifth."""
     joined = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(joined, dtype=np.uint8)
-    space = _IS_SPACE[raw]
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))  # a word's start, the space after it, in turn
+    edge = np.flatnonzero(np.diff(space[raw].view(np.int8), prepend=1))  # a word's start, the space after it, in turn
     start, end = edge[0::2], edge[1::2]
     sums = _LETTER[_LOWER[raw] if lower else raw]
     up, down = _power(len(raw))
     sums *= up
     np.cumsum(sums, out=sums)
-    before = np.where(start > 0, sums[start - 1], np.uint64(0)) if len(start) else np.zeros(0, dtype=np.uint64)
+    before = np.where(start > 0, sums[start - 1], np.uint64(0))
     length = end - start
-    value = mix((sums[end - 1] - before) * down[start] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) if len(start) else before
+
+    def upto(n: np.ndarray) -> np.ndarray:
+        return mix((sums[start + n - 1] - before) * down[start] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     first = np.searchsorted(start, np.concatenate(([0], np.cumsum(lengths))))
-    return value, first, start, length
+    return (upto(length), first, start, length, *([upto(np.minimum(length, head))] if head else []))
 
 
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
