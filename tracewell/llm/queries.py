@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, lsm_dedup, mixing, ngram_join, quality_gam, toxicity
+from tracewell.llm import bpe, chat_tools, lsm_dedup, mixing, ngram_join, quality_gam, secret_scan, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,22 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.link(_table(spark, sf_dir, "conversations"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_toxicity_ordinal, op3_ngram_jaccard, op5_mixing_sources, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_toxicity_ordinal, op3_ngram_jaccard, op4_chat_tools, op5_mixing_sources, op6_secret_scan, op7_extendible_sharding, op9_exact_dedup, op10_byte_bpe)}
 
 
 OP9_SQL = r"""
@@ -53,5 +65,41 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked
 """
 
 
+#: The synthetic conversations hold plain turns only; JSON messages are tested on fixtures.
+OP4_SQL = """
+WITH m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(conv_id::VARCHAR, 'null') AS conv FROM conversations
+), calls AS (
+  SELECT conv, id, min(r) AS r, count(*) AS n_calls FROM (
+    SELECT conv, conv || ':' || coalesce(turn::VARCHAR, 'null') AS id, {'turn': turn, 'body': to_json(text)::VARCHAR, 'empty': text = '', 'conv_id': conv_id} AS r FROM m WHERE role = 'user') GROUP BY ALL
+), results AS (
+  SELECT conv, id, min(r) AS r, count(*) AS n_results FROM (
+    SELECT conv, coalesce(conv || ':' || (turn - 1)::VARCHAR, '') AS id, {'turn': turn, 'content': text, 'conv_id': conv_id} AS r FROM m WHERE role = 'assistant') GROUP BY ALL
+)
+SELECT coalesce(c.r.conv_id, s.r.conv_id) AS conv_id, CASE WHEN c.id IS NULL THEN s.r.turn ELSE c.r.turn END AS turn, id AS call_id,
+       CASE WHEN c.id IS NOT NULL THEN 'respond' END AS name,
+       CASE WHEN c.id IS NULL THEN 'orphan' WHEN s.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       0 AS level, CASE WHEN c.r.empty THEN 'prompt: empty' ELSE '' END AS problems, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+       '{"arguments":' || coalesce('{"prompt":' || c.r.body || '}', 'null') || ',"id":' || to_json(id)::VARCHAR || ',"name":' || CASE WHEN c.id IS NULL THEN 'null' ELSE '"respond"' END
+         || ',"result":' || coalesce(to_json(s.r.content)::VARCHAR, 'null') || '}' AS record
+FROM calls c FULL OUTER JOIN results s USING (conv, id)
+UNION ALL
+SELECT conv_id, turn, NULL, NULL, 'message', 0, '', 0, 0, '{"content":' || to_json(text)::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+FROM m WHERE coalesce(role NOT IN ('user', 'assistant'), true)
+"""
+OP7_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents
+), level(doc_id, bytes, key, bits, prefix, shard_bytes) AS (
+  SELECT doc_id, bytes, key, 0, 0::BIGINT, (sum(bytes) OVER ())::BIGINT FROM rows
+  UNION ALL
+  SELECT doc_id, bytes, key, bits + 1, key >> (59 - bits), (sum(bytes) OVER (PARTITION BY key >> (59 - bits)))::BIGINT
+  FROM level WHERE shard_bytes > 16777216 AND bits < 60
+)
+SELECT doc_id, bytes, CASE WHEN bits = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), bits) END AS shard, bits AS shard_bits, shard_bytes, shard_bytes > 16777216 AS oversized
+FROM level WHERE shard_bytes <= 16777216 OR bits = 60
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op4_chat_tools": OP4_SQL, "op7_extendible_sharding": OP7_SQL, "op9_exact_dedup": OP9_SQL}
