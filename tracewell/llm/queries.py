@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, chat_tools, lsm_dedup, mixing, ngram_join, quality_gam, secret_scan, sharding, toxicity
+from tracewell.llm import bpe, chat_tools, hnsw, lsm_dedup, mixing, ngram_join, quality_gam, secret_scan, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op8_hnsw_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_toxicity_ordinal, op3_ngram_jaccard, op4_chat_tools, op5_mixing_sources, op6_secret_scan, op7_extendible_sharding, op9_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_toxicity_ordinal, op3_ngram_jaccard, op4_chat_tools, op5_mixing_sources, op6_secret_scan, op7_extendible_sharding, op8_hnsw_embeddings, op9_exact_dedup, op10_byte_bpe)}
 
 
 OP9_SQL = r"""
