@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import SPACES, as_bytes, bit_filter, cut, maybe_in, probes, steps
+from tracewell.llm.shared import SPACES, as_bytes, bit_filter, cut, free_name, maybe_in, probes, steps, without
 
 #: A null identifier sorts behind every other.
 NO_ID = (1 << 63) - 1
@@ -213,3 +213,20 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
         found = found.where("not (top and same > 1)").unionByName(again.withColumn("top", F.col("nth") == 1).drop("nth"))
     none = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
     return found.select(F.col("id").alias("doc_id"), none.alias("keep_id"), F.col("rows").alias("group_size"), F.col("top").alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def keep_best(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay: one of each group of equal texts."""
+    found = cut(deduplicate(docs, text, doc_id), "lsm-found")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if repeated.head() is None:
+        return without(docs, found.where("not kept").select("doc_id"), doc_id)
+    # ids that repeat don't tell rows apart: of equal rows of an id the first is taken, if its text stays
+    sha, nth, key = (free_name(docs.columns, x) for x in ("sha", "nth", "key"))
+    rows = docs.withColumn(sha, F.sha2(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACES.decode(), ""), 256)).withColumn(key, F.col(doc_id).cast("long"))
+    longest = Window.partitionBy(key, sha).orderBy(F.length(F.coalesce(F.col(text).cast("string"), F.lit(""))).desc(), F.col(text))
+    rows = rows.withColumn(nth, F.row_number().over(longest)).where(F.col(nth) == 1)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    names = {c: free_name(docs.columns, c) for c in kept.columns}
+    kept = kept.withColumnsRenamed(names)
+    return rows.join(kept, F.col(key).eqNullSafe(F.col(names["kept_id"])) & (F.col(sha) == F.col(names["kept_sha"])), "left_semi").drop(sha, nth, key)

@@ -93,6 +93,12 @@ def expand(mixed: DataFrame, columns: list[str], text: str = "text", size: str =
     return rows.withColumn(text, F.when(F.col(part) < 0, F.col(text)).otherwise(F.array_join(parts, " "))).select(*columns)
 
 
+def draw(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The documents of the mix, with the columns of docs."""
+    names = {c: free_name(docs.columns, c) for c in ("size", "taken")}
+    return expand(mix(docs, text, source, doc_id), docs.columns, text, names["size"], names["taken"])
+
+
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document; texts are read once and not shuffled."""
     slim = docs.select("doc_id", "source", words(F.col("text")).alias("n_words"), F.xxhash64("text").alias("text_hash"))

@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import as_bytes, bit_filter, cut, drop_cut, hash_words, maybe_in, mix, shingle_hashes, steps
+from tracewell.llm.shared import as_bytes, cut, drop_cut, hash_words, id_filter, maybe_in, mix, shingle_hashes, steps, without
 
 #: Entries of the table of frequent tokens at most (0.5 MB); a frequent token beyond it counts as rare, which
 #: costs time but no link.
@@ -35,6 +34,8 @@ FREQUENT = 1 << 16
 FREQUENT_FROM, CHUNK, SEEN = 32, 1 << 20, 3
 #: Tasks over which a frequent combination's holders are dealt; holders in one block; bits of a parity bitmap.
 SALT, BLOCK, BITS = 16, 1024, 2048
+#: Pairs that one block verifies, more or less.
+GROUP = 512
 NO_ID = (1 << 63) - 1
 SETS = "doc long, n long, a long, b long, bits binary, token long, seen long"
 
@@ -135,7 +136,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     classes = cut(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
     copied = classes.where("copies > 1").select("a", "b", "n", "rep")
     others = sets.select("doc", "n", "a", "b").join(copied, ["a", "b", "n"]).where("doc <> rep").select("doc")
-    copies = _filter(others, "doc")
+    copies = id_filter(others, "doc")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -165,10 +166,10 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     salted = posts.where("part > 0").groupBy("sig", "anchor").count().select("sig", "anchor")
     lead = salted.groupBy("sig").agg(F.min("anchor").alias("lead"))
     lead = salted.join(lead, "sig").where("anchor <> lead").groupBy("lead", "anchor").count().select(F.col("lead").alias("a"), F.col("anchor").alias("b"))
-    pairs = cut(near.unionByName(lead).distinct(), "ngram-pairs")
+    pairs = cut(_bounded(cut(near.unionByName(lead).distinct(), "ngram-stars"), sets), "ngram-pairs")
     links = verified(docs, pairs, shingle)
     tried = [pairs]
-    for best_only in (True, True, False):
+    for best_only in (True, False):
         roots = cut(components(links), "ngram-roots")
         found = _cross(posts, sets, roots, best_only)
         for old in tried:
@@ -196,13 +197,6 @@ def _pairs(place: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def _filter(ids: DataFrame, column: str):
-    """A broadcast bit filter (16 MB at most) over a column of ids."""
-    n = ids.count()
-    table = bit_filter(ids, column, max(16, (16 * n).bit_length())) if n else np.zeros(1 << 13, dtype=np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(table)
-
-
 def _rows(schema: str, columns: dict, n: int) -> pa.RecordBatch:
     """A batch of the schema; columns that aren't given are null."""
     kinds = {"long": pa.int64(), "binary": pa.binary()}
@@ -250,24 +244,64 @@ def _cross(posts: DataFrame, sets: DataFrame, roots: DataFrame, best_only: bool)
     return held.groupBy("sig", "lo", "hi").applyInArrow(block, "a long, b long").where("a <> b").distinct()
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bitmaps don't rule out."""
+    wanted = id_filter(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "doc")
+    about = sets.select("doc", "n", "bits").mapInArrow(lambda x: _keep_maybe(x, wanted, True), "doc long, n long, bits binary")
+    side = lambda c: about.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
+                ok = (7 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return both.mapInArrow(rule_out, "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose whole token sets link. Only texts of candidates are shuffled."""
+    """The pairs (a, b) whose whole token sets link. Only texts of candidates are shuffled: pairs that share
+    their smallest partner are checked together, so that a text comes once for many pairs, in blocks of about
+    GROUP pairs."""
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    wanted = _filter(ids, "doc")
+    wanted = id_filter(ids, "doc")
     texts = docs.mapInArrow(lambda x: _keep_maybe(x, wanted, True), "doc long, text string")
-    right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text=3):
-            left = pc.fill_null(batch.column(1), "").dictionary_encode()  # an anchor's text comes with each of its pairs
-            x = list(token_sets(as_bytes(left.dictionary), shingle))
-            y = token_sets(as_bytes(batch.column(3)), shingle)
-            ok = []
-            for i, tokens in zip(left.indices.to_pylist(), y, strict=True):
-                common = len(np.intersect1d(x[i], tokens, assume_unique=True))
-                ok.append(common > 0 and 100 * common >= 75 * (len(x[i]) + len(tokens) - common))
-            if any(ok):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(ok))
-
-    return cut(both.mapInArrow(check, "a long, b long"), "ngram-links")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label"))
+    dealt = pairs.join(label, "a")
+    sizes = dealt.groupBy("label").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / GROUP)).alias("k"))
+    few = F.col("k") == 1  # small groups share a block
+    blocks = max(1, pairs.count() // GROUP)
+    dealt = dealt.join(sizes, "label").select("a", "b", F.when(few, F.pmod(F.xxhash64("label"), F.lit(blocks))).otherwise(F.col("label")).alias("g"), F.when(few, -1).otherwise(F.pmod(F.xxhash64("a"), "k")).alias("i"), F.when(few, -1).otherwise(F.pmod(F.xxhash64("b"), "k")).alias("j"))
+    dealt = cut(dealt, "ngram-dealt")
+    block = [F.col(c).alias(f"of_{c}") for c in ("g", "i", "j")]
+    need = dealt.select(*block, F.col("a").alias("doc")).unionByName(dealt.select(*block, F.col("b").alias("doc"))).distinct()
+    held = need.join(texts, "doc")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for batch in steps(left.select(["doc", "text"]).to_batches()):
+            for i, tokens in zip(batch.column(0).to_pylist(), token_sets(as_bytes(batch.column(1)), shingle), strict=True):
+                sets.setdefault(i, []).append(tokens)  # a repeated id has several texts
+        ok = []
+        for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True):
+            ok.append(any(_linked(x, y) for x in sets[a] for y in sets[b]))
+        return right.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return cut(held.groupBy("of_g", "of_i", "of_j").cogroup(dealt.groupBy("g", "i", "j")).applyInArrow(check, "a long, b long"), "ngram-links")
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= 75 * (len(x) + len(y) - common)
+
+
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shingle: int = 5) -> DataFrame:
+    """The rows of docs that have the smallest doc_id of their component."""
+    found = cut(near_copies(docs, text, doc_id, shingle=shingle), "ngram-components")
+    return without(docs, found.where("component_id <> doc_id").select("doc_id"), doc_id)

@@ -197,3 +197,14 @@ def score(docs: DataFrame, model: Gam, text: str = "text", doc_id: str = "doc_id
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     return score(docs, fit(docs, labels, sample=sample))
+
+
+def keep_good(docs: DataFrame, model: Gam, text: str = "text", *, keep_from: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores keep_from at least, with all their columns."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text=at):
+            yield batch.filter(pa.array(sent.value.score(features(as_bytes(batch.column(at)))) >= keep_from))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -181,6 +181,33 @@ def maybe_in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return found
 
 
+def id_filter(ids: DataFrame, column: str):
+    """A broadcast bit filter (16 MB at most) over a column of ids."""
+    n = ids.count()
+    table = bit_filter(ids, column, max(16, (16 * n).bit_length())) if n else np.zeros(1 << 13, dtype=np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is among ids (its first column). Rows that a bit filter clears aren't
+    shuffled; the few others are joined. A null id is never among them."""
+    name = free_name(docs.columns, "gone")
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias(name)).where(F.col(name).isNotNull()).distinct()
+    sent = id_filter(ids, name)
+    at = docs.columns.index(doc_id)
+
+    def part(batches: Iterator[pa.RecordBatch], maybe: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at).cast(pa.int64())
+            found = maybe_in(sent.value, np.asarray(column.fill_null(0))) & np.asarray(column.is_valid())
+            if (found == maybe).any():
+                yield batch.filter(pa.array(found == maybe))
+
+    doubt = docs.mapInArrow(lambda x: part(x, True), docs.schema)
+    doubt = doubt.join(ids, F.col(doc_id).cast("long") == F.col(name), "left_anti")
+    return docs.mapInArrow(lambda x: part(x, False), docs.schema).unionByName(doubt)
+
+
 def free_name(taken: list[str], wish: str) -> str:
     """`wish`, with underscores added until no column of `taken` has that name (case ignored)."""
     while wish.lower() in {c.lower() for c in taken}:
