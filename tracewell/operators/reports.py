@@ -30,12 +30,12 @@ def event_metrics(records: DataFrame, titles: dict[tuple[str, str], str] | None
     return found.withColumn("title", title).orderBy(F.desc("n"), "channel", "event_id")
 
 
-def logon_summary(records: DataFrame, key: dict[str, Column]) -> DataFrame:
+def logon_summary(records: DataFrame, key: dict[str, Column], logons: tuple[tuple[str, str, bool], ...] = LOGONS) -> DataFrame:
     """The key's columns, event_id, successes, failures, first and last time, by number then key.
 
     key: column names and what they are (target and source of a logon)."""
     which = F.lit(None).cast("boolean")
-    for eid, channel, ok in LOGONS:
+    for eid, channel, ok in logons:
         which = F.when((F.col("event_id") == eid) & (F.col("channel") == channel), F.lit(ok)).otherwise(which)
     rows = records.withColumn("ok", which).where("ok is not null").select(*[F.coalesce(c, F.lit("-")).alias(k) for k, c in key.items()], "event_id", "ok", "ts")
     out = rows.groupBy(*key, "event_id").agg(F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -77,9 +77,10 @@ def sorted_search(found: DataFrame) -> DataFrame:
     return found.distinct().orderBy("ts", "record_id", "file")
 
 
-def critical_systems(records: DataFrame, share_name: Column) -> DataFrame:
-    """Computers that are domain controllers (ticket requests) or file servers (shares other than IPC$)."""
-    kind = F.when((F.col("channel") == "Security") & (F.col("event_id") == "4768"), "domain controller").when((F.col("channel") == "Security") & (F.col("event_id") == "5145") & (share_name != r"\\*\IPC$"), "file server")
+def critical_systems(records: DataFrame, share_name: Column, *, channel: str = "Security", ticket: str = "4768", share: str = "5145", skipped: str = r"\\*\IPC$") -> DataFrame:
+    """Computers that are domain controllers (ticket requests) or file servers (shares other than the skipped one)."""
+    own = F.col("channel") == channel
+    kind = F.when(own & (F.col("event_id") == ticket), "domain controller").when(own & (F.col("event_id") == share) & (share_name != skipped), "file server")
     return records.select(kind.alias("kind"), "computer").where("kind is not null").distinct()
 
 
@@ -145,3 +146,8 @@ def tactics_by_computer(found: DataFrame, tactics: dict[str, str]) -> DataFrame:
     tag = F.explode(F.split("tags", ","))
     rows = found.withColumn("tag", tag).where(F.col("tag").isin(list(tactics)))
     return rows.groupBy("computer", lookup(F.col("tag"), tactics).alias("tactic")).agg(F.countDistinct("rule_id").alias("unique_rules"), F.count(F.lit(1)).alias("total"))
+
+
+def short_names(details: dict[str, str]) -> dict[str, str]:
+    """Full to short field names by ascending length; details: short names and the fields they stand for."""
+    return dict(sorted(((full, short) for short, full in details.items()), key=lambda x: (len(x[0]), x[0])))

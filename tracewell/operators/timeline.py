@@ -20,6 +20,9 @@ PROFILES = {
     "super-verbose": _MIN | {"RuleTitle": "rule_title", "RuleAuthor": "author", "RuleID": "rule_id", "MitreTactics": "tactics", "MitreTags": "techniques", "OtherTags": "other_tags", "Provider": "provider", "RecordID": "record_id", "Details": "details", "ExtraFieldInfo": "extra_fields", "RuleFile": "rule_path", "EvtxFile": "file"},
 }
 
+PROFILES["timesketch-minimal"] = {"datetime": "ts", "timestamp_desc": "rule log", "message": "rule_title", "Level": "level", "Computer": "computer", "Channel": "channel", "EventID": "event_id", "RecordID": "record_id", "Details": "details", "RuleFile": "rule_path", "EvtxFile": "file"}
+PROFILES["timesketch-verbose"] = PROFILES["timesketch-minimal"] | {"MitreTactics": "tactics", "MitreTags": "techniques", "OtherTags": "other_tags", "ExtraFieldInfo": "extra_fields"}
+
 
 def project(found: DataFrame, profile: dict[str, str] | str = "standard", *, time_format: str = "default") -> DataFrame:
     """The profile's columns; what isn't a column of the detections is a literal."""

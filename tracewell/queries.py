@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions import payload, text
+from tracewell.functions import enrich, payload, text
 from tracewell.operators import filters, reports, timeline
-from tracewell.operators.detect import correlate, count_detections, detections, matches, resolver
+from tracewell.operators.detect import correlate, count_detections, count_text, detections, matches, resolver
 from tracewell.plans.leaves import Lists
 from tracewell.plans.rules import Rule, filter_rules, parse_rules, rule_of
+from tracewell.sources import sinks
 from tracewell.sources.records import from_documents, from_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,6 +286,19 @@ _simple("o4_sort_export", _over_found(lambda d: timeline.sort_export(timeline.pr
 _simple("l1_rule_filters", lambda s, d: (lambda r: detections(r, filter_rules(parse_rules(RULES), min_level="medium", exclude_status={"experimental"}, include_category={"app"}, exclude_tag={"attack.execution"}), resolver(r)).select("record_id", "rule_id"))(from_events(s, d)), _WITH + "SELECT record_id, rule_id FROM found WHERE rule_id = 'r2'")
 _simple("m23_expand", lambda s, d: (lambda r: matches(r, parse_rules(RULES.split("---")[0].replace("{Channel: error}", "{'Channel|expand': '%kinds%'}"), expand={"kinds": ["error", "view"]}), resolver(r)).select("record_id", "channel"))(from_events(s, d)), f"WITH {EVENTS} SELECT record_id, channel FROM rec WHERE channel IN ('error', 'view') AND event_id <> '3'")
 _simple("r9_base64", lambda s, d: payload.extract(from_documents(s, d), F.col("f_text")).select("record_id", "token", "kind", "decoded", "encoded_again"), None)
+_LOGONS = (("3", "error", False), ("5", "click", True))
+_simple("r2_logon_summary", _over_events(lambda r: reports.logon_summary(r, {"target": F.col("f_owner"), "source": F.col("f_ip")}, _LOGONS)), f"WITH {EVENTS} SELECT coalesce(f_owner, '-') AS target, f_ip AS source, event_id, count(*) FILTER (channel = 'click') AS successes, count(*) FILTER (channel = 'error') AS failures, min(ts) AS first_ts, max(ts) AS last_ts FROM rec WHERE (event_id, channel) IN (('3', 'error'), ('5', 'click')) GROUP BY 1, 2, 3")
+_simple("r10_critical_systems", _over_events(lambda r: reports.critical_systems(r, F.col("f_owner"), channel="error", ticket="3", share="5", skipped="User-13")), f"WITH {EVENTS} SELECT DISTINCT CASE event_id WHEN '3' THEN 'domain controller' ELSE 'file server' END AS kind, computer FROM rec WHERE channel = 'error' AND (event_id = '3' OR (event_id = '5' AND f_owner <> 'User-13'))")
+_simple("e2_split_details", _over_events(lambda r: r.select("record_id", F.try_element_at(text.split_details(F.concat(F.lit("Host: "), F.col("computer"), F.lit(" ¦ k: "), F.col("f_k"))), F.lit("k")).alias("k"))), f"WITH {EVENTS} SELECT record_id, f_k AS k FROM rec")
+_simple("e12_field_values", _over_events(lambda r: r.select("record_id", enrich.rewrite_fields("k", F.col("f_k"), [("ERROR", "3", "K", {"1": "one", "11": "eleven", "2": "1"})]).alias("k"))), f"WITH {EVENTS} SELECT record_id, CASE WHEN channel = 'error' AND event_id = '3' THEN replace(replace(replace(f_k, '1', 'one'), '2', '1'), 'x', 'x') ELSE f_k END AS k FROM rec")
+_GEO = [(0x0B000000, 0x0B00FFFF, "A"), (0x0B010000, 0x0B0200FF, "B")]
+_simple("e13_geo", lambda s, d: enrich.geolocate(from_events(s, d).withColumn("addr", F.when(F.col("f_user_id") == "7", "::1").when(F.col("event_id") == "0", F.col("f_ip")).otherwise(F.concat(F.lit("::ffff:"), F.regexp_replace("f_ip", "^10", "11")))), "addr", s.createDataFrame(_GEO, "lo long, hi long, place string")).select("record_id", "place"), f"WITH {EVENTS} SELECT record_id, CASE WHEN f_user_id = '7' THEN 'Local' WHEN event_id = '0' THEN 'Private' WHEN f_ip LIKE '10.0.%' THEN 'A' WHEN f_ip LIKE '10.1.%' OR f_ip LIKE '10.2.0.%' THEN 'B' ELSE '-' END AS place FROM rec")
+_simple("e15_shell_fields", _over_events(lambda r: r.select("record_id", F.try_element_at(text.powershell_fields(F.lit("Windows PowerShell"), F.when(F.col("event_id") == "3", "800").otherwise("1"), F.array(F.concat(F.lit("a=1\n\tk="), F.col("f_k")))), F.lit("k")).alias("k"))), f"WITH {EVENTS} SELECT record_id, CASE event_id WHEN '3' THEN f_k END AS k FROM rec")
+_simple("e19_authors", _over_found(lambda d: d.select("record_id", "rule_id", F.array_join(text.authors(F.col("author")), "+").alias("authors"))), _WITH + "SELECT record_id, rule_id, CASE rule_id WHEN 'r1' THEN 'Ann+Bob' WHEN 'r2' THEN 'Cid+Bob' ELSE 'Ann' END AS authors FROM found")
+_simple("e20_recovered", _over_events(lambda r: r.select("record_id", F.when(F.col("recovered"), "Y").otherwise("").alias("recovered"))), f"WITH {EVENTS} SELECT record_id, '' AS recovered FROM rec")
+_simple("e21_rendered", _over_events(lambda r: r.select("record_id", text.rendered(F.concat(F.lit(" a\tb \r\n c"), F.col("f_owner"))).alias("message"))), f"WITH {EVENTS} SELECT record_id, coalesce('a\\tb\\r\\nc' || f_owner, 'n/a') AS message FROM rec")
+_simple("k2_json_rows", _over_found(lambda d: sinks.json_text(d.select("record_id", "rule_id", "computer"))), _WITH + """SELECT '{"record_id": ' || record_id || ', "rule_id": "' || rule_id || '", "computer": "' || computer || '"}' AS value FROM found""")
+_simple("a8_count_text", lambda s, d: (lambda r: count_detections(r, rule({"s": {"Channel": "error"}, "condition": "s | count() by user_id >= 3", "timeframe": "6h"}), resolver(r)).select("agg_key", "win_start", count_text(F.col("win_count"), F.col("agg_key")).alias("details")))(from_events(s, d)), "SELECT agg_key, epoch_us(win_start) AS win_start, 'Count:' || win_count || ' ¦ by:' || agg_key AS details FROM (" + greedy_sql("channel = 'error'", "f_user_id", 21600, ">= 3") + ") x")
 
 
 def queries() -> dict[str, Query]:
