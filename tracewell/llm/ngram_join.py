@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import as_bytes, cut, drop_cut, hash_words, id_filter, maybe_in, mix, shingle_hashes, steps, without
+from tracewell.llm.shared import as_bytes, cut, hash_words, id_filter, maybe_in, mix, shingle_hashes, steps, without
 
 #: Entries of the table of frequent tokens at most (0.5 MB); a frequent token beyond it counts as rare, which
 #: costs time but no link.
@@ -168,20 +168,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     lead = salted.join(lead, "sig").where("anchor <> lead").groupBy("lead", "anchor").count().select(F.col("lead").alias("a"), F.col("anchor").alias("b"))
     pairs = cut(_bounded(cut(near.unionByName(lead).distinct(), "ngram-stars"), sets), "ngram-pairs")
     links = verified(docs, pairs, shingle)
-    tried = [pairs]
-    for best_only in (True, False):
-        roots = cut(components(links), "ngram-roots")
-        found = _cross(posts, sets, roots, best_only)
-        for old in tried:
-            found = found.join(old, ["a", "b"], "left_anti")
-        found = cut(found, "ngram-pairs")
-        if found.head() is None:
-            if best_only:
-                drop_cut(found)
-                continue
-            break
-        tried.append(found)
-        links = cut(links.unionByName(verified(docs, found, shingle)), "ngram-links")
+    links = cut(links.unionByName(_crossing(docs, posts, cut(components(links), "ngram-roots"), shingle)), "ngram-links")
     roots = cut(components(links), "ngram-roots")
     rows = sets.where("n > 0").select("doc", "n", "a", "b").join(classes.select("a", "b", "n", "rep"), ["a", "b", "n"])
     rows = rows.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc", "n", F.coalesce("root", "rep").alias("root"))
@@ -204,44 +191,60 @@ def _rows(schema: str, columns: dict, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in fields], names=[c for c, _ in fields])
 
 
-def _cross(posts: DataFrame, sets: DataFrame, roots: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a signature and that the bound can't rule out. best_only:
-    for each document and other component only the pair that differs least."""
+def _crossing(docs: DataFrame, posts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) between components that share a signature.
+
+    Signatures with the same first holder are looked at together: of their documents those that share one are
+    compared, unless links found before join them already. A large group is dealt into pairs of blocks. Only
+    verified links that join two components leave a block, so that there are fewer than documents."""
     held = posts.select("sig", "doc").join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 24)).alias("y")).where("lo < hi")
-    mixed = mixed.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m")  # signatures with the same holders say the same
-    held = cut(held.join(mixed, "sig"), "ngram-held")
-    about = sets.select("doc", "n", "bits").join(held.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "n"])
-    blocks = F.ceil(F.col("m") / BLOCK)
-    held = held.join(about, "doc").withColumn("i", F.pmod(F.xxhash64("doc"), blocks))
-    held = held.withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("lo", F.least("i", "k")).withColumn("hi", F.greatest("i", "k"))
-    held = held.select("sig", "lo", "hi", "i", "doc", "root", "n", "bits")
+    same = (F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 24)).alias("y"), F.count(F.lit(1)).alias("m"))
+    mixed = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc").alias("label"), *same).where("lo < hi")
+    mixed = mixed.groupBy("m", "x", "y").agg(F.min(F.struct("sig", "label")).alias("s")).select("s.*")  # signatures with the same holders say the same
+    rows = held.join(mixed, "sig").groupBy("label", "doc").agg(F.min("root").alias("root"), F.collect_list("sig").alias("sigs"))  # a document's own signatures
+    rows = cut(rows, "ngram-held")
+    wanted = id_filter(rows.select("doc").distinct(), "doc")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(_keep_maybe(batches, wanted, True)):
+            tokens = [t.tobytes() for t in token_sets(as_bytes(batch.column(1)), shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["doc", "tokens"])
+
+    blocks = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+    rows = rows.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("doc"), "n"))
+    rows = rows.join(docs.mapInArrow(measure, "doc long, tokens binary"), "doc").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select("label", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "doc", "root", "sigs", "tokens")
 
     def block(table: pa.Table) -> pa.Table:
-        i, lo = np.asarray(table["i"]), table["lo"][0].as_py()
-        same = lo == table["hi"][0].as_py()
-        doc, root, n = (np.asarray(table[c]) for c in ("doc", "root", "n"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(doc), BITS // 64)
-        rows, columns = (np.arange(len(doc)),) * 2 if same else (np.flatnonzero(i == lo), np.flatnonzero(i != lo))
-        out_a, out_b = [], []
-        for r in rows:
-            c = columns[columns > r] if same else columns
-            c = c[(root[c] != root[r]) & (4 * np.minimum(n[c], n[r]) >= 3 * np.maximum(n[c], n[r]))]
-            if not len(c):
+        i, lo, inside = np.asarray(table["i"]), table["lo"][0].as_py(), table["lo"][0].as_py() == table["hi"][0].as_py()
+        doc, root = np.asarray(table["doc"]), np.asarray(table["root"]).copy()
+        tokens = [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()]
+        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        bits = np.frombuffer(b"".join(map(parity, tokens)), dtype=np.uint64).reshape(len(doc), BITS // 64)
+        sigs = table["sigs"].to_pylist()
+        sig, owner = np.array([x for own in sigs for x in own], dtype=np.int64), np.repeat(np.arange(len(doc)), list(map(len, sigs)))
+        order = np.argsort(sig, kind="stable")
+        sig, owner = sig[order], owner[order]
+        begin, end = (np.searchsorted(sig, [x for own in sigs for x in own], side=side) for side in ("left", "right"))
+        at = np.concatenate(([0], np.cumsum(list(map(len, sigs)))))
+        found = []
+        for r in range(len(doc)):
+            if not inside and i[r] != lo:
                 continue
+            near = np.zeros(len(doc), dtype=bool)
+            for a, b in zip(begin[at[r] : at[r + 1]], end[at[r] : at[r + 1]], strict=True):
+                near[owner[a:b]] = True
+            c = np.flatnonzero(near & (root != root[r]) & ((i != lo) if not inside else (np.arange(len(doc)) > r)))
+            c = c[4 * np.minimum(n[c], n[r]) >= 3 * np.maximum(n[c], n[r])]
             differ = np.bitwise_count(bits[c] ^ bits[r]).sum(axis=1, dtype=np.int64)
-            ok = 7 * differ <= n[c] + n[r]
-            c, differ = c[ok], differ[ok]
-            if best_only and len(c):
-                order = np.lexsort((doc[c], differ, root[c]))
-                c = c[order]
-                c = c[np.concatenate(([True], root[c][1:] != root[c][:-1]))]
-            out_a.append(np.minimum(doc[c], doc[r]))
-            out_b.append(np.maximum(doc[c], doc[r]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return held.groupBy("sig", "lo", "hi").applyInArrow(block, "a long, b long").where("a <> b").distinct()
+            ok = 7 * differ <= n[c] + n[r]  # the bitmaps' difference is the sets' at least
+            for x in c[ok][np.argsort(differ[ok], kind="stable")]:
+                if root[x] != root[r] and _linked(tokens[x], tokens[r]):
+                    found.append((min(doc[x], doc[r]), max(doc[x], doc[r])))
+                    root[root == root[x]] = root[r]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("label", "lo", "hi").applyInArrow(block, "a long, b long").where("a <> b").distinct()
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
