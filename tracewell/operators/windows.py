@@ -3,7 +3,8 @@
 A window starts at the first row not yet used, takes every row within the frame, and is emitted if its count
 holds; then the next one starts behind it, else one row later. A row farther than the frame from the one
 before it can only start afresh, so a group is first parted into sessions at such gaps: windows never reach
-over them, and a large group is folded session by session.
+over them, and a large group is folded session by session. Times are dealt into buckets of the frame for that:
+a bucket without rows between two others parts them, which the distinct buckets tell without sorting the rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def group_key(df: DataFrame, columns: list[str], name: str = "agg_key") -> DataF
 def greedy_windows(rows: DataFrame, keys: list[str], time: str, spec: AggSpec, *, value: str | None = None, ties: list[str] | None = None, unit: int = 1_000_000) -> DataFrame:
     """One row per window that holds: keys, win_start, win_end (of its rows), n_rows, win_count.
 
-    time: a long, `unit` ticks a second. value: the column whose distinct values are counted (absent counts as
+    keys must not be null. time: a long, `unit` ticks a second. value: the column whose distinct values are counted (absent counts as
     an empty value), where the spec has a field. ties: columns that order equal times. Without a frame, a
     group's frame is the whole seconds between its first and last row.
     """
@@ -36,11 +37,20 @@ def greedy_windows(rows: DataFrame, keys: list[str], time: str, spec: AggSpec, *
         slim = slim.withColumn("R", F.count(F.lit(1)).over(Window.partitionBy(*keys, "s")) + F.when(F.col("s") == 1, F.col("i") - F.row_number().over(Window.partitionBy(*keys, "s").orderBy("i"))).otherwise(0))
     else:
         frame = spec.frame * unit
+        slim = slim.withColumn("bucket", F.floor(F.col("t") / max(1, frame)))
+        along = group.orderBy("bucket")
+        apart = (F.coalesce(F.col("bucket") - F.lag("bucket").over(along), F.lit(1)) > 1).cast("long")
+        parts = slim.select(*keys, "bucket").distinct().withColumn("apart", apart)
+        parts = parts.select(*keys, "bucket", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
+        slim = slim.join(parts, [*keys, "bucket"])
+        group = Window.partitionBy(*keys, "part")
+        in_order = group.orderBy("t", *[f"tie_{i}" for i in range(len(ties or []))])
         slim = slim.withColumn("i", F.row_number().over(in_order))
         slim = slim.withColumn("R", F.max("i").over(group.orderBy("t").rangeBetween(0, frame)))
         gap = (F.col("t") - F.lag("t").over(in_order) > frame).cast("long")
         slim = slim.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("s", F.sum("gap").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    sessions = slim.groupBy(*keys, "s").agg(F.array_sort(F.collect_list(F.struct("i", "R", "t", "v"))).alias("a"))
+    slim = slim if "part" in slim.columns else slim.withColumn("part", F.lit(0))
+    sessions = slim.groupBy(*keys, "part", "s").agg(F.array_sort(F.collect_list(F.struct("i", "R", "t", "v"))).alias("a"))
     at = lambda x: (x["i"] - F.col("a")[0]["i"]).cast("int")
     if value:
         measured = F.transform("a", lambda x: F.struct(x["i"].alias("i"), x["R"].alias("R"), x["t"].alias("t"), F.size(F.array_distinct(F.transform(F.slice("a", at(x) + 1, (x["R"] - x["i"] + 1).cast("int")), lambda z: z["v"]))).cast("long").alias("c")))
