@@ -12,7 +12,8 @@ if a partner can be there.
 Copies (equal sets) leave one representative before anything is indexed. A signature's holders are first
 compared with one anchor each; components of the verified links then decide which signatures still join
 different components, and only there all pairs are looked at, block by block, with an exact bound by parity
-bitmaps before anything is emitted. Each candidate is verified on whole token sets.
+bitmaps before anything is emitted: first pairs that would join components if they hold, then all that are
+left. Each candidate is verified on whole token sets.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ FREQUENT = 1 << 16
 #: Sightings that make a token frequent. A sighting counts in a chunk of CHUNK tokens only from SEEN on.
 FREQUENT_FROM, CHUNK, SEEN = 32, 1 << 20, 3
 #: Tasks over which a frequent combination's holders are dealt; holders in one block; bits of a parity bitmap.
-SALT, BLOCK, BITS = 16, 1024, 2048
+SALT, BLOCK, BITS = 16, 1024, 4096
 #: Pairs that one block verifies, more or less.
 GROUP = 512
 NO_ID = (1 << 63) - 1
@@ -47,7 +48,7 @@ def token_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((tokens >> np.uint64(53)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+    return np.packbits((np.bincount((tokens >> np.uint64(52)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +169,12 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     lead = salted.join(lead, "sig").where("anchor <> lead").groupBy("lead", "anchor").count().select(F.col("lead").alias("a"), F.col("anchor").alias("b"))
     pairs = cut(_bounded(cut(near.unionByName(lead).distinct(), "ngram-stars"), sets), "ngram-pairs")
     links = verified(docs, pairs, shingle)
-    links = cut(links.unionByName(_crossing(docs, posts, cut(components(links), "ngram-roots"), shingle)), "ngram-links")
+    tried = pairs
+    for forest in (True, False):
+        found = cut(_crossing(posts, sets, cut(components(links), "ngram-roots"), forest), "ngram-pairs")
+        found = cut(found.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+        tried = tried.unionByName(found)
+        links = cut(links.unionByName(verified(docs, found, shingle)), "ngram-links")
     roots = cut(components(links), "ngram-roots")
     rows = sets.where("n > 0").select("doc", "n", "a", "b").join(classes.select("a", "b", "n", "rep"), ["a", "b", "n"])
     rows = rows.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc", "n", F.coalesce("root", "rep").alias("root"))
@@ -191,58 +197,62 @@ def _rows(schema: str, columns: dict, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in fields], names=[c for c, _ in fields])
 
 
-def _crossing(docs: DataFrame, posts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
-    """Links (a, b) between components that share a signature.
+def _crossing(posts: DataFrame, sets: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a signature and that the bound can't rule out.
 
-    Signatures with the same first holder are looked at together: of their documents those that share one are
-    compared, unless links found before join them already. A large group is dealt into pairs of blocks. Only
-    verified links that join two components leave a block, so that there are fewer than documents."""
+    Signatures with the same first holder are looked at together, each pair of their documents once. A large
+    group is dealt into pairs of blocks. forest: of a block's pairs, by rising difference, only those that join
+    what the ones before left apart, so that there are fewer than documents; otherwise all of them."""
     held = posts.select("sig", "doc").join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", F.coalesce("root", "doc").alias("root"))
     same = (F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 24)).alias("y"), F.count(F.lit(1)).alias("m"))
     mixed = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("doc").alias("label"), *same).where("lo < hi")
     mixed = mixed.groupBy("m", "x", "y").agg(F.min(F.struct("sig", "label")).alias("s")).select("s.*")  # signatures with the same holders say the same
     rows = held.join(mixed, "sig").groupBy("label", "doc").agg(F.min("root").alias("root"), F.collect_list("sig").alias("sigs"))  # a document's own signatures
     rows = cut(rows, "ngram-held")
-    wanted = id_filter(rows.select("doc").distinct(), "doc")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(_keep_maybe(batches, wanted, True)):
-            tokens = [t.tobytes() for t in token_sets(as_bytes(batch.column(1)), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["doc", "tokens"])
-
-    blocks = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-    rows = rows.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("doc"), "n"))
-    rows = rows.join(docs.mapInArrow(measure, "doc long, tokens binary"), "doc").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("label", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "doc", "root", "sigs", "tokens")
+    blocks = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    about = sets.select("doc", "n", "bits").dropDuplicates(["doc", "n"])
+    rows = rows.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("doc"), "parts")).join(about, "doc")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("label", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "doc", "root", "sigs", "n", "bits")
 
     def block(table: pa.Table) -> pa.Table:
         i, lo, inside = np.asarray(table["i"]), table["lo"][0].as_py(), table["lo"][0].as_py() == table["hi"][0].as_py()
-        doc, root = np.asarray(table["doc"]), np.asarray(table["root"]).copy()
-        tokens = [np.frombuffer(x, dtype=np.uint64) for x in table["tokens"].to_pylist()]
-        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        bits = np.frombuffer(b"".join(map(parity, tokens)), dtype=np.uint64).reshape(len(doc), BITS // 64)
-        sigs = table["sigs"].to_pylist()
-        sig, owner = np.array([x for own in sigs for x in own], dtype=np.int64), np.repeat(np.arange(len(doc)), list(map(len, sigs)))
+        doc, root, n = np.asarray(table["doc"]), np.asarray(table["root"]).copy(), np.asarray(table["n"])
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(doc), BITS // 64)
+        sigs = table["sigs"].combine_chunks()
+        sig, at = sigs.flatten().to_numpy(), sigs.offsets.to_numpy() - sigs.offsets[0].as_py()
         order = np.argsort(sig, kind="stable")
-        sig, owner = sig[order], owner[order]
-        begin, end = (np.searchsorted(sig, [x for own in sigs for x in own], side=side) for side in ("left", "right"))
-        at = np.concatenate(([0], np.cumsum(list(map(len, sigs)))))
-        found = []
+        owner = np.repeat(np.arange(len(doc)), np.diff(at))[order]
+        begin, end = (np.searchsorted(sig[order], sig, side=side) for side in ("left", "right"))
+        one, other, apart = [], [], []
         for r in range(len(doc)):
             if not inside and i[r] != lo:
                 continue
             near = np.zeros(len(doc), dtype=bool)
-            for a, b in zip(begin[at[r] : at[r + 1]], end[at[r] : at[r + 1]], strict=True):
-                near[owner[a:b]] = True
-            c = np.flatnonzero(near & (root != root[r]) & ((i != lo) if not inside else (np.arange(len(doc)) > r)))
-            c = c[4 * np.minimum(n[c], n[r]) >= 3 * np.maximum(n[c], n[r])]
-            differ = np.bitwise_count(bits[c] ^ bits[r]).sum(axis=1, dtype=np.int64)
-            ok = 7 * differ <= n[c] + n[r]  # the bitmaps' difference is the sets' at least
-            for x in c[ok][np.argsort(differ[ok], kind="stable")]:
-                if root[x] != root[r] and _linked(tokens[x], tokens[r]):
-                    found.append((min(doc[x], doc[r]), max(doc[x], doc[r])))
-                    root[root == root[x]] = root[r]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            for a, b in zip(begin[at[r] : at[r + 1]].tolist(), end[at[r] : at[r + 1]].tolist(), strict=True):
+                if b - a > 1:
+                    near[owner[a:b]] = True
+            near[: r + 1] &= not inside
+            c = np.flatnonzero(near)
+            if not inside:
+                c = c[i[c] != lo]
+            c = c[(root[c] != root[r]) & (4 * np.minimum(n[c], n[r]) >= 3 * np.maximum(n[c], n[r]))]
+            if len(c):
+                differ = np.bitwise_count(bits[c] ^ bits[r]).sum(axis=1, dtype=np.int64)
+                ok = 7 * differ <= n[c] + n[r]  # the bitmaps' difference is the sets' at most
+                one.append(np.full(int(ok.sum()), r))
+                other.append(c[ok])
+                apart.append(differ[ok])
+        x, y, d = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (one, other, apart))
+        if forest:
+            keep = []
+            for e in np.argsort(d, kind="stable").tolist():
+                p, q = root[x[e]], root[y[e]]
+                if p != q:
+                    root[root == q] = p
+                    keep.append(e)
+            x, y = x[keep], y[keep]
+        return pa.table({"a": pa.array(np.minimum(doc[x], doc[y]), pa.int64()), "b": pa.array(np.maximum(doc[x], doc[y]), pa.int64())})
 
     return rows.groupBy("label", "lo", "hi").applyInArrow(block, "a long, b long").where("a <> b").distinct()
 
