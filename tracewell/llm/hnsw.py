@@ -3,9 +3,9 @@
 Vectors are normalised in double precision and equal ones stand for each other. Shards are dealt by a hash of the
 identifier; each task builds its shard's graph: layers of exponentially fewer nodes, inserted in batches whose
 candidates come from a beam search of the graph so far and from the batch itself, with the usual diversity
-rule for neighbours. An audit compares searches of a hashed set of the shard's vectors with brute force over
-the shard and widens the beam until recall is reached. Every vector then queries every shard; a beam that is
-full of links is widened until it isn't. Cosines of what was found are verified in double precision, counted
+rule for neighbours. An audit compares searches for hashed sets of the shard's and of all vectors with brute force
+over the shard and widens the beam until recall is reached. Every vector then queries every shard; a beam that is
+full of links is widened until it isn't, and one that would look at most of the shard becomes a scan. Cosines of what was found are verified in double precision, counted
 per vector, and a task's links are reduced to a spanning forest before they leave it.
 """
 
@@ -28,8 +28,10 @@ LINKS, ROOM, BUILD_BEAM = 12, 36, 32
 SHARDS, SHARD_ROWS = 8, 1 << 16
 #: Queries that meet a shard in one task; queries of one vectorised search.
 BLOCK, TOGETHER = 8192, 512
-#: Vectors of a shard that an audit looks up, the recall it asks for, the first beam.
+#: Vectors of a shard, and of the whole table, that an audit looks up, the recall it asks for, the first beam.
 AUDIT, RECALL, BEAM = 128, 0.98, 12
+#: A beam of more than one in so many of the shard's vectors is slower than a scan of all.
+SCAN = 128
 
 
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +167,23 @@ class Graph:
             best = beam(self.vectors, self.layers[k], queries, best, 4)[0]
         return best
 
+    def scans(self, width: int) -> bool:
+        return width * SCAN >= len(self.vectors)
+
     def search(self, queries: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(query, nodes found with at least the threshold); beams full of them are widened."""
+        """(query, nodes found with at least the threshold); beams full of them are widened, wide ones scan."""
         for a in range(0, len(queries), TOGETHER):
             rows = np.arange(a, min(a + TOGETHER, len(queries)))
             w = min(width, len(self.vectors))
             while len(rows):
+                if self.scans(w):
+                    step = max(1, (1 << 22) // len(self.vectors))
+                    for b in range(0, len(rows), step):
+                        part = rows[b : b + step]
+                        for r, s in zip(part, queries[part] @ self.vectors.T >= threshold - 1e-9, strict=True):
+                            if s.any():
+                                yield r, np.flatnonzero(s)
+                    break
                 starts = self.entries(queries[rows])
                 wide = []
                 step = max(1, TOGETHER * 64 // w)
@@ -184,19 +197,24 @@ class Graph:
                             yield r, x[s]
                 rows, w = np.array(wide, dtype=int), min(4 * w, len(self.vectors))
 
-    def audited(self, threshold: float, chosen: np.ndarray) -> int:
-        """The narrowest beam, by doubling, that finds RECALL of the links and of the nearest others of the chosen nodes."""
+    def audited(self, threshold: float, queries: np.ndarray, own: np.ndarray) -> int:
+        """The narrowest beam, by doubling, that finds RECALL of the queries' links and of their nearest neighbours,
+        however far these are: where links are few only the neighbours tell. own: each query's node, -1 if it has none."""
         width = min(BEAM, len(self.vectors))
-        exact = self.vectors[chosen] @ self.vectors.T
-        exact[np.arange(len(chosen)), chosen] = -np.inf
-        want = exact >= threshold
-        nearest = exact.argmax(axis=1)
-        while width < len(self.vectors):
-            hit = sum(want[r, x].sum() for r, x in self.search(self.vectors[chosen], width, threshold))
-            # without enough links the nearest neighbour stands in for them
-            found = beam(self.vectors, self.layers[0], self.vectors[chosen], self.entries(self.vectors[chosen]), width)[0]
-            near = (found == nearest[:, None]).any(axis=1)[exact.max(axis=1) >= 0.8] if want.any() else np.ones(1)
-            if hit >= RECALL * want.sum() and (not len(near) or near.mean() >= RECALL):
+        if self.scans(width):
+            return width
+        n_links, nearest = 0, np.empty(len(queries))
+        for a in range(0, len(queries), 64):
+            exact = queries[a : a + 64] @ self.vectors.T
+            mine = np.flatnonzero(own[a : a + 64] >= 0)
+            exact[mine, own[a + mine]] = -np.inf
+            n_links += int((exact >= threshold - 1e-9).sum())
+            nearest[a : a + 64] = exact.max(axis=1)
+        while not self.scans(width):
+            hit = sum(int((x != own[r]).sum()) for r, x in self.search(queries, width, threshold))
+            found, sims = beam(self.vectors, self.layers[0], queries, self.entries(queries), width)
+            near = np.where(found == own[:, None], -np.inf, sims).max(axis=1) >= nearest - 1e-9
+            if hit >= RECALL * n_links and near.mean() >= RECALL:
                 break
             width *= 2
         return min(width, len(self.vectors))
@@ -242,6 +260,7 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
     classes = classes.withColumn("key", F.xxhash64("rep", "v"))
     n = (classes := cut(classes, "vectors")).count()
     n_shards = max(shards, math.ceil(n / shard_rows))
+    audit = classes.orderBy(F.xxhash64("key", F.lit(77)), "key").limit(4 * AUDIT).select("key", "v").toArrow()
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
 
     def unit(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -256,6 +275,8 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
             out[int(d)] = at, v / np.linalg.norm(v, axis=1, keepdims=True)
         return out
 
+    asked_by = {d: (np.asarray(audit["key"])[at], v) for d, (at, v) in unit(audit["v"]).items()} if n else {}
+
     def build(table: pa.Table) -> pa.Table:
         key, rep, copies = (np.asarray(table[c]) for c in ("key", "rep", "copies"))
         out = []
@@ -265,7 +286,10 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
             u = (mix(key[at].view(np.uint64)) >> np.uint64(11)).astype(float) / 2.0**53
             graph = Graph(v, np.minimum((-np.log(u + 1e-18) / math.log(LINKS)).astype(int), 8))
             chosen = np.argsort(mix(key[at].view(np.uint64) ^ np.uint64(77)))[:AUDIT]
-            out.append({"shard": table["shard"][0].as_py(), "d": d, "width": graph.audited(threshold, chosen), "keys": key[at].tobytes(), "reps": rep[at].tobytes(), "copies": copies[at].tobytes(), "vectors": v.tobytes(), "members": [m.astype(np.int32).tobytes() for m in graph.members], "layers": [x.astype(np.int32).tobytes() for x in graph.layers]})
+            far, far_v = asked_by.get(d, (key[:0], v[:0]))
+            other = np.flatnonzero(~np.isin(far, key[at]))[:AUDIT]
+            width = graph.audited(threshold, np.concatenate([v[chosen], far_v[other]]), np.concatenate([chosen, np.full(len(other), -1)]))
+            out.append({"shard": table["shard"][0].as_py(), "d": d, "width": width, "keys": key[at].tobytes(), "reps": rep[at].tobytes(), "copies": copies[at].tobytes(), "vectors": v.tobytes(), "members": [m.astype(np.int32).tobytes() for m in graph.members], "layers": [x.astype(np.int32).tobytes() for x in graph.layers]})
         return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int32()), ("d", pa.int32()), ("width", pa.int32()), *((c, pa.binary()) for c in ("keys", "reps", "copies", "vectors")), ("members", pa.list_(pa.binary())), ("layers", pa.list_(pa.binary()))]))
 
     graphs = cut(dealt.repartition(4 * n_shards, "shard").groupBy("shard").applyInArrow(build, "shard int, d int, width int, keys binary, reps binary, copies binary, vectors binary, members array<binary>, layers array<binary>"), "graphs")
