@@ -99,6 +99,18 @@ def test_windows(spark, op, n, distinct):
     assert sorted((r.k, r.win_start, r.win_count) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("op,n,distinct", [(">=", 4, False), ("==", 12, True)])
+def test_windows_over_chunks(spark, op, n, distinct):
+    """A key without quiet times, far larger than a chunk, with frames that reach over chunks; equal times and rows."""
+    rng = random.Random(n)
+    data = [("hot", rng.randrange(100) * 1_000_000, i, str(rng.randrange(40))) for i in range(150)] + [(k, i * 1_500_000, i, str(i % 30)) for k, n_rows in (("cold", 5), ("warm", 40), ("mild", 75)) for i in range(n_rows)]
+    df = spark.createDataFrame(data, "k string, t long, tie int, v string").repartition(3)
+    got = greedy_windows(df, ["k"], "t", AggSpec("v" if distinct else None, ("k",), op, n, 9 if distinct else 4), value="v" if distinct else None, ties=["tie"], chunk=16)
+    holds = {">=": lambda c: c >= n, "==": lambda c: c == n}[op]
+    want = [(k, *x) for k in ("hot", "cold", "warm", "mild") for x in loop([(t, v) for kk, t, i, v in sorted(data, key=lambda d: (d[1], d[2])) if kk == k], (9 if distinct else 4) * 1_000_000, holds, distinct)]
+    assert sorted((r.k, r.win_start, r.win_count) for r in got.collect()) == sorted(want) and len(want) > 4
+
+
 def test_windows_empty_and_open(spark):
     df = spark.createDataFrame([("a", 0, ""), ("a", 9_000_000, ""), ("a", 9_500_000, "")], "k string, t long, v string")
     assert [r.n_rows for r in greedy_windows(df, ["k"], "t", AggSpec(None, (), ">=", 1)).orderBy("win_start").collect()] == [2, 1]

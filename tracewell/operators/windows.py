@@ -1,71 +1,133 @@
 """Greedy count windows and temporal correlation of their blocks.
 
 A window starts at the first row not yet used, takes every row within the frame, and is emitted if its count
-holds; then the next one starts behind it, else one row later. A row farther than the frame from the one
-before it can only start afresh, so a group is first parted into sessions at such gaps: windows never reach
-over them, and a large group is folded session by session. Times are dealt into buckets of the frame for that:
-a bucket without rows between two others parts them, which the distinct buckets tell without sorting the rows.
+holds; then the next one starts behind it, else one row later. No task holds a group: rows are dealt by ranges
+of their order, and a row's number, its window's last row and count come from running sums within ranges and over
+ranges. Of a group's chunks of consecutive rows each tells for every row where a walk from there leaves it; these
+maps are composed by pointer doubling, and each chunk is walked from where it is entered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.shared import cut
 from tracewell.plans.aggregation import AggSpec
 
+#: Rows of a range, and of a chunk of a group.
+CHUNK = 1 << 16
+
 
 def group_key(df: DataFrame, columns: list[str], name: str = "agg_key") -> DataFrame:
     """The values joined by commas, `_` where one is absent; one key for all rows without columns."""
     return df.withColumn(name, F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("_")) for c in columns]) if columns else F.lit("_"))
 
 
-def greedy_windows(rows: DataFrame, keys: list[str], time: str, spec: AggSpec, *, value: str | None = None, ties: list[str] | None = None, unit: int = 1_000_000) -> DataFrame:
+def _running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], most: dict[str, Column]) -> DataFrame:
+    """Running sums and maxima of each group, of rows that lie in ranges `p` of the order."""
+    here = Window.partitionBy(*keys, "p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {c: (F.sum, x) for c, x in sums.items()} | {c: (F.max, x) for c, x in most.items()}
+    whole = df.groupBy(*keys, "p").agg(*[f(x).alias(f"{c}_0") for c, (f, x) in kinds.items()])
+    whole = whole.select(*keys, "p", *[f(f"{c}_0").over(before).alias(f"{c}_0") for c, (f, _) in kinds.items()])
+    df = df.select("*", *[f(x).over(here).alias(c) for c, (f, x) in kinds.items()]).join(whole, [*keys, "p"])
+    both = [F.coalesce(F.col(c) + F.col(f"{c}_0"), c, f"{c}_0").alias(c) if c in sums else F.greatest(c, f"{c}_0").alias(c) for c in kinds]
+    return df.select(*[c for c in df.columns if c not in kinds and c not in {f"{k}_0" for k in kinds}], *both)
+
+
+def greedy_windows(rows: DataFrame, keys: list[str], time: str, spec: AggSpec, *, value: str | None = None, ties: list[str] | None = None, unit: int = 1_000_000, chunk: int = CHUNK) -> DataFrame:
     """One row per window that holds: keys, win_start, win_end (of its rows), n_rows, win_count.
 
     keys must not be null. time: a long, `unit` ticks a second. value: the column whose distinct values are counted (absent counts as
     an empty value), where the spec has a field. ties: columns that order equal times. Without a frame, a
     group's frame is the whole seconds between its first and last row.
     """
-    slim = rows.select(*keys, F.col(time).cast("long").alias("t"), (F.coalesce(F.col(value).cast("string"), F.lit("")) if value else F.lit("")).alias("v"), *[F.col(c).alias(f"tie_{i}") for i, c in enumerate(ties or [])])
-    group = Window.partitionBy(*keys)
-    in_order = group.orderBy("t", *[f"tie_{i}" for i in range(len(ties or []))])
+    order = ["t", *[f"tie_{i}" for i in range(len(ties or []))], "u"]
+    names, keys = keys, [f"key_{i}" for i in range(len(keys))]
+    slim = rows.select(*[F.col(c).alias(k) for c, k in zip(names, keys, strict=True)], F.col(time).cast("long").alias("t"), *([F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v")] if value else []), *[F.col(c).alias(f"tie_{i}") for i, c in enumerate(ties or [])])
+    slim = cut(slim.where("t is not null").withColumn("u", F.monotonically_increasing_id()), "window-rows")
+    ranges = max(1, math.ceil(slim.count() / chunk))
+    dealt = lambda df, *by: cut(df.repartitionByRange(ranges, *keys, *by).withColumn("p", F.spark_partition_id()), "window-ranges")
+    group = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_0"), F.max("t").alias("t_1"))
+    # z: the time that a row's window reaches; i: its number in the group, from 0
+    base = _running(dealt(slim, *order), keys, order, {"i": F.lit(1).cast("long")}, {}).withColumn("i", F.col("i") - 1).drop("p", *order[1:])
     if spec.frame is None:
-        slim = slim.withColumn("first_t", F.min("t").over(group)).withColumn("f", F.floor((F.max("t").over(group) - F.col("first_t")) / unit) * unit)
-        slim = slim.withColumn("i", F.row_number().over(in_order))
-        slim = slim.withColumn("s", (F.col("t") > F.col("first_t") + F.col("f")).cast("long"))
-        slim = slim.withColumn("R", F.count(F.lit(1)).over(Window.partitionBy(*keys, "s")) + F.when(F.col("s") == 1, F.col("i") - F.row_number().over(Window.partitionBy(*keys, "s").orderBy("i"))).otherwise(0))
+        edge = F.col("t_0") + F.floor((F.col("t_1") - F.col("t_0")) / unit) * unit
+        base = base.join(group, keys).withColumn("z", F.when(F.col("t") <= edge, edge).otherwise(F.col("t_1"))).drop("n", "t_0", "t_1")
     else:
-        frame = spec.frame * unit
-        slim = slim.withColumn("bucket", F.floor(F.col("t") / max(1, frame)))
-        along = group.orderBy("bucket")
-        apart = (F.coalesce(F.col("bucket") - F.lag("bucket").over(along), F.lit(1)) > 1).cast("long")
-        parts = slim.select(*keys, "bucket").distinct().withColumn("apart", apart)
-        parts = parts.select(*keys, "bucket", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
-        slim = slim.join(parts, [*keys, "bucket"])
-        group = Window.partitionBy(*keys, "part")
-        in_order = group.orderBy("t", *[f"tie_{i}" for i in range(len(ties or []))])
-        slim = slim.withColumn("i", F.row_number().over(in_order))
-        slim = slim.withColumn("R", F.max("i").over(group.orderBy("t").rangeBetween(0, frame)))
-        gap = (F.col("t") - F.lag("t").over(in_order) > frame).cast("long")
-        slim = slim.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("s", F.sum("gap").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    slim = slim if "part" in slim.columns else slim.withColumn("part", F.lit(0))
-    sessions = slim.groupBy(*keys, "part", "s").agg(F.array_sort(F.collect_list(F.struct("i", "R", "t", "v"))).alias("a"))
-    at = lambda x: (x["i"] - F.col("a")[0]["i"]).cast("int")
+        base = base.withColumn("z", F.col("t") + spec.frame * unit)
     if value:
-        measured = F.transform("a", lambda x: F.struct(x["i"].alias("i"), x["R"].alias("R"), x["t"].alias("t"), F.size(F.array_distinct(F.transform(F.slice("a", at(x) + 1, (x["R"] - x["i"] + 1).cast("int")), lambda z: z["v"]))).cast("long").alias("c")))
+        # of equal values in a window only the first is new, and one leaves it only when none follows within reach
+        base = dealt(base, "v", "i")
+        near, over = Window.partitionBy(*keys, "v", "p").orderBy("i"), Window.partitionBy(*keys, "v").orderBy("p")
+        ends = base.groupBy(*keys, "v", "p").agg(F.max("z").alias("z_p"), F.min("t").alias("t_n"))
+        ends = ends.select(*keys, "v", "p", F.lag("z_p").over(over).alias("z_p"), F.lead("t_n").over(over).alias("t_n"))
+        base = base.select("*", F.lag("z").over(near).alias("z_l"), F.lead("t").over(near).alias("t_l")).join(ends, [*keys, "v", "p"])
+        base = base.select(*keys, "i", "t", "z", F.coalesce(F.coalesce("z_l", "z_p") < F.col("t"), F.lit(True)).cast("long").alias("new"), F.coalesce(F.coalesce("t_l", "t_n") > F.col("z"), F.lit(True)).cast("long").alias("left"))
     else:
-        measured = F.transform("a", lambda x: F.struct(x["i"].alias("i"), x["R"].alias("R"), x["t"].alias("t"), (x["R"] - x["i"] + 1).cast("long").alias("c")))
-    kind = "array<struct<i: int, R: bigint, t: bigint, c: bigint>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("nxt"), F.array().cast(kind).alias("out"))
+        base = base.withColumn("new", F.lit(1).cast("long")).withColumn("left", F.lit(1).cast("long"))
+    base = cut(base.select(*keys, "i", "t", "z", "new", "left"), "window-rows")
+    none = F.lit(0).cast("long")
+    asked = base.select(*keys, "i", F.col("z").alias("x"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("t"), none.alias("new"), none.alias("left"))
+    both = base.select(*keys, "i", F.col("t").alias("x"), F.lit(0).alias("probe"), "t", "new", "left").unionByName(asked)
+    both = _running(dealt(both, "x", "probe", "i"), keys, ["x", "probe", "i"], {"upto": (1 - F.col("probe")).cast("long"), "news": F.col("new"), "lefts": F.col("left")}, {"last": F.col("t")})
+    on = lambda probe, c: F.max(F.when(F.col("probe") == probe, F.col(c)))
+    full = both.groupBy(*keys, "i").agg(on(0, "t").alias("t"), on(1, "last").alias("end"), (on(1, "upto") - 1).alias("R"), (on(1, "news") - on(0, "lefts") + on(0, "left")).alias("c"))
+    full = full.withColumn("ok", spec.holds(F.col("c"))).withColumn("nxt", F.when(F.col("ok"), F.col("R") + 1).otherwise(F.col("i") + 1)).withColumn("q", F.expr(f"i div {chunk}"))
+    full = cut(full, "window-rows")
+    hits = full.join(_entries(full, group, keys, chunk), [*keys, "q"]).repartition(2 * ranges, *keys, "q").sortWithinPartitions(*keys, "q", "i")
+    hits = hits.select("i", "nxt", "ok", "entry", *[F.col(k).alias(c) for c, k in zip(names, keys, strict=True)], F.col("t").alias("win_start"), F.col("end").alias("win_end"), (F.col("R") - F.col("i") + 1).alias("n_rows"), F.col("c").alias("win_count"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            keep = []
+            for k, (i, nxt, ok, entry) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if i % chunk == 0:  # every chunk is whole
+                    at = entry
+                if i == at:
+                    at = nxt
+                    if ok:
+                        keep.append(k)
+            if keep:
+                yield batch.select(batch.schema.names[4:]).take(pa.array(keep))
+
+    return hits.mapInArrow(walk, hits.drop("i", "nxt", "ok", "entry").schema)
+
+
+def _entries(full: DataFrame, group: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """keys, q, entry: the row at which each chunk is entered, of those that are."""
+    group = group.select(*keys, "n")
+    most = group.agg(F.max("n")).first()[0] or 0
+    start = group.select(*keys, F.lit(0).cast("long").alias("i"))
+    if most > chunk:
+        large = full.select(*keys, "q", "i", "nxt").join(group.where(F.col("n") > chunk), keys)
+        large = large.withColumn("leaves", (F.col("nxt") >= F.col("n")) | (F.expr(f"nxt div {chunk}") > F.col("q")))
+        dealt = large.repartition(2 * math.ceil(most / chunk), *keys, "q").sortWithinPartitions(*keys, "q", F.col("i").desc()).select("i", F.when(F.col("nxt") < F.col("n"), F.col("nxt")).otherwise(-1).alias("nxt"), "leaves", *keys)  # -1: the group's end
 
-    def step(acc, x):
-        ok = (x["i"] >= acc["nxt"]) & spec.holds(x["c"])
-        one = F.array(F.struct(x["i"].cast("int").alias("i"), x["R"].cast("bigint").alias("R"), x["t"].alias("t"), x["c"].alias("c")))
-        return F.struct(F.when(ok, x["R"].cast("bigint") + 1).otherwise(acc["nxt"]).alias("nxt"), F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = [0] * chunk
+            for batch in batches:
+                ends = []
+                for i, nxt, leaves in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    out[i % chunk] = end = nxt if leaves else out[nxt % chunk]
+                    ends.append(end)
+                yield pa.RecordBatch.from_arrays([*batch.columns[3:], batch.column(0), pa.array(ends, pa.int64())], names=[*keys, "i", "j"])
 
-    hits = sessions.withColumn("m", measured).withColumn("h", F.explode(F.aggregate("m", start, step)["out"]))
-    return hits.select(*keys, F.col("h.t").alias("win_start"), F.col("a")[(F.col("h.R") - F.col("a")[0]["i"]).cast("int")]["t"].alias("win_end"), (F.col("h.R") - F.col("h.i") + 1).cast("long").alias("n_rows"), F.col("h.c").alias("win_count"))
+        shape = dealt.select(*keys, "i", F.col("nxt").alias("j")).schema
+        met = large.where("leaves and nxt < n").select(*keys, F.col("nxt").alias("i")).unionByName(start).distinct()
+        jump = cut(dealt.mapInArrow(leave, shape).where("j >= 0").join(met, [*keys, "i"], "left_semi"), "window-jumps")
+        steps = 1
+        while steps * chunk < most:
+            start = cut(start.unionByName(start.join(jump, [*keys, "i"]).select(*keys, F.col("j").alias("i"))), "window-entries")
+            jump = cut(jump.join(jump.select(*keys, F.col("i").alias("j"), F.col("j").alias("k")), [*keys, "j"]).select(*keys, "i", F.col("k").alias("j")), "window-jumps")
+            steps *= 2
+    return start.select(*keys, F.expr(f"i div {chunk}").alias("q"), F.col("i").alias("entry"))
 
 
 def window_rows(rows: DataFrame, windows: DataFrame, keys: list[str], time: str) -> DataFrame:
