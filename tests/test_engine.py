@@ -177,3 +177,12 @@ def test_sources_sinks_and_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("found").count() == 2
+
+
+def test_html_report_is_whole(spark, tmp_path):
+    sinks.html_report({"All": spark.range(450).orderBy("id")}, str(tmp_path / "all.html"))
+    page = (tmp_path / "all.html").read_text()
+    assert [int(x.split("<")[0]) for x in page.split("<td>")[1:]] == list(range(450)) and "left out" not in page
+    sinks.html_report({"Some": spark.range(450)}, str(tmp_path / "some.html"), rows=200)
+    page = (tmp_path / "some.html").read_text()
+    assert page.count("<td>") == 200 and "250 more rows are left out" in page

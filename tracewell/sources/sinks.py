@@ -35,16 +35,20 @@ def write_categories(keywords: DataFrame, path: str, *, clobber: bool = False) -
     keywords.select("category", "value").repartition("category").write.partitionBy("category").mode("overwrite" if clobber else "error").text(path)
 
 
-def html_report(sections: dict[str, DataFrame], path: str, *, clobber: bool = False, rows: int = 200) -> None:
-    """Summary tables (each already an aggregate; its first `rows` rows) as one HTML page."""
+def html_report(sections: dict[str, DataFrame], path: str, *, clobber: bool = False, rows: int | None = None) -> None:
+    """Summary tables (each already an aggregate) as one HTML page: all rows, a partition at a time on the driver; with
+    `rows`, the first of them and how many are left out."""
     if Path(path).exists() and not clobber:
         raise FileExistsError(path)
-    out = ["<!DOCTYPE html><meta charset=utf-8><title>Results</title>"]
-    for title, df in sections.items():
-        out.append(f"<h2>{html.escape(title)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>")
-        out += ["<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in df.limit(rows).collect()]
-        out.append("</table>")
-    Path(path).write_text("\n".join(out), encoding="utf-8")
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("<!DOCTYPE html><meta charset=utf-8><title>Results</title>\n")
+        for title, df in sections.items():
+            out.write(f"<h2>{html.escape(title)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>\n")
+            for r in (df if rows is None else df.limit(rows)).toLocalIterator():
+                out.write("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>\n")
+            out.write("</table>\n")
+            if rows is not None and (more := df.count() - rows) > 0:
+                out.write(f"<p>{more} more rows are left out.</p>\n")
 
 
 def show(found: DataFrame, n: int = 50) -> str:
