@@ -345,6 +345,16 @@ def test_toxicity(spark):
     assert toxicity.grade(df.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_grades(spark):
+    """Grades above 1 are learnt from the labels as they are."""
+    rng = random.Random(10)
+    marks = ["zzbad", "zzworse", "zzworst"]
+    rows = [(i, " ".join([word(rng) for _ in range(30)] + marks[: i % 4])) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 4) for i in range(600)], "doc_id long, toxic int")
+    got = [r for r in toxicity.grade(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect() if r.held_out]
+    assert {r.predicted for r in got} == {0, 1, 2, 3} and np.mean([r.predicted == r.doc_id % 4 for r in got]) > 0.9
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against what brute force says of its own input."""
     import corpus_pipeline as pipe

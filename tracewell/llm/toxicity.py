@@ -90,9 +90,12 @@ def train(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, kept: in
     return Ordinal(chosen, weights, thresholds)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", *, n_grades: int = 2, sample: int = SAMPLE) -> Ordinal:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", *, n_grades: int | None = None, sample: int = SAMPLE) -> Ordinal:
     """Learn from at most `sample` labelled rows that aren't held out. Null grades and unknown ids are left out;
-    of several grades of an id the largest counts; grades beyond the last count as the last."""
+    of several grades of an id the largest counts. Grades go from 0 to the labels' largest; with n_grades, those
+    beyond the last count as the last."""
+    if n_grades is None:
+        n_grades = max(2, (labels.agg(F.max(F.col(label).cast("int"))).first()[0] or 0) + 1)
     chosen = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
     chosen = cut(chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample), "ordinal-sample")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # `sample` rows at most
@@ -125,5 +128,5 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", doc_id: str = "do
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "expected_severity")
 
 
-def grade(docs: DataFrame, labels: DataFrame, *, n_grades: int = 2, sample: int = SAMPLE) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, *, n_grades: int | None = None, sample: int = SAMPLE) -> DataFrame:
     return score(docs, fit(docs, labels, n_grades=n_grades, sample=sample))
