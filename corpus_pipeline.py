@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, lsm_dedup, mixing, ngram_join, quality_gam
-from tracewell.llm.shared import cut
+from tracewell.storage import cut
 
 #: SQL can express neither the classifier nor the tokens; a test checks some of what each dedup and the tokens give (see README).
 ORACLE_SQL = None

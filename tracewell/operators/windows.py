@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import cut
 from tracewell.plans.aggregation import AggSpec
+from tracewell.storage import cut, drop_cut
 
 #: Rows of a range, and of a chunk of a group.
 CHUNK = 1 << 16
@@ -52,7 +52,12 @@ def greedy_windows(rows: DataFrame, keys: list[str], time: str, spec: AggSpec, *
     slim = rows.select(*[F.col(c).alias(k) for c, k in zip(names, keys, strict=True)], F.col(time).cast("long").alias("t"), *([F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v")] if value else []), *[F.col(c).alias(f"tie_{i}") for i, c in enumerate(ties or [])])
     slim = cut(slim.where("t is not null").withColumn("u", F.monotonically_increasing_id()), "window-rows")
     ranges = max(1, math.ceil(slim.count() / chunk))
-    dealt = lambda df, *by: cut(df.repartitionByRange(ranges, *keys, *by).withColumn("p", F.spark_partition_id()), "window-ranges")
+    passing: list[DataFrame] = []  # tables that the result doesn't read
+
+    def dealt(df: DataFrame, *by: str) -> DataFrame:
+        passing.append(cut(df.repartitionByRange(ranges, *keys, *by).withColumn("p", F.spark_partition_id()), "window-ranges"))
+        return passing[-1]
+
     group = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_0"), F.max("t").alias("t_1"))
     # z: the time that a row's window reaches; i: its number in the group, from 0
     base = _running(dealt(slim, *order), keys, order, {"i": F.lit(1).cast("long")}, {}).withColumn("i", F.col("i") - 1).drop("p", *order[1:])
@@ -72,6 +77,7 @@ def greedy_windows(rows: DataFrame, keys: list[str], time: str, spec: AggSpec, *
     else:
         base = base.withColumn("new", F.lit(1).cast("long")).withColumn("left", F.lit(1).cast("long"))
     base = cut(base.select(*keys, "i", "t", "z", "new", "left"), "window-rows")
+    passing.append(base)
     none = F.lit(0).cast("long")
     asked = base.select(*keys, "i", F.col("z").alias("x"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("t"), none.alias("new"), none.alias("left"))
     both = base.select(*keys, "i", F.col("t").alias("x"), F.lit(0).alias("probe"), "t", "new", "left").unionByName(asked)
@@ -80,6 +86,7 @@ def greedy_windows(rows: DataFrame, keys: list[str], time: str, spec: AggSpec, *
     full = both.groupBy(*keys, "i").agg(on(0, "t").alias("t"), on(1, "last").alias("end"), (on(1, "upto") - 1).alias("R"), (on(1, "news") - on(0, "lefts") + on(0, "left")).alias("c"))
     full = full.withColumn("ok", spec.holds(F.col("c"))).withColumn("nxt", F.when(F.col("ok"), F.col("R") + 1).otherwise(F.col("i") + 1)).withColumn("q", F.expr(f"i div {chunk}"))
     full = cut(full, "window-rows")
+    drop_cut(*passing)
     hits = full.join(_entries(full, group, keys, chunk), [*keys, "q"]).repartition(2 * ranges, *keys, "q").sortWithinPartitions(*keys, "q", "i")
     hits = hits.select("i", "nxt", "ok", "entry", *[F.col(k).alias(c) for c, k in zip(names, keys, strict=True)], F.col("t").alias("win_start"), F.col("end").alias("win_end"), (F.col("R") - F.col("i") + 1).alias("n_rows"), F.col("c").alias("win_count"))
 
