@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import cut, mix
+from tracewell.llm.shared import mix
+from tracewell.storage import cut
 
 #: Neighbours a node is given, and may gather before it is pruned; width of the beam that looks for them.
 LINKS, ROOM, BUILD_BEAM = 12, 36, 32

@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import SPACES, as_bytes, bit_filter, cut, free_name, maybe_in, probes, steps, without
+from tracewell.llm.shared import SPACES, as_bytes, bit_filter, free_name, maybe_in, probes, steps, without
+from tracewell.storage import cut
 
 #: A null identifier sorts behind every other.
 NO_ID = (1 << 63) - 1

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import WORD, cut, free_name
+from tracewell.llm.shared import WORD, free_name
+from tracewell.storage import cut
 
 #: Rows a range of the random key holds on average; more rows in a source mean more ranges, not longer ones.
 RANGE_ROWS = 4096

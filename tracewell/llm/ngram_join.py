@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import as_bytes, cut, hash_words, id_filter, maybe_in, mix, shingle_hashes, steps, without
+from tracewell.llm.shared import as_bytes, hash_words, id_filter, maybe_in, mix, shingle_hashes, steps, without
+from tracewell.storage import cut
 
 #: Entries of the table of frequent tokens at most (0.5 MB); a frequent token beyond it counts as rare, which
 #: costs time but no link.

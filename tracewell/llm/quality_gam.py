@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import as_bytes, cut, hash_words, steps
+from tracewell.llm.shared import as_bytes, hash_words, steps
+from tracewell.storage import cut
 
 #: Labelled rows that are learnt from at most, chosen by a hash of doc_id.
 SAMPLE = 20_000

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import cut, free_name
+from tracewell.llm.shared import free_name
+from tracewell.storage import cut
 
 #: Bits of the key; a bucket that no bit parts any more (repeated ids, one huge text) stays as it is.
 KEY_BITS = 60
