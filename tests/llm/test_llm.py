@@ -169,6 +169,43 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("range_rows", [3, 4096])
+def test_mixing_by_brute_force(spark, monkeypatch, range_rows):
+    """Targets by hand, documents in the order of their keys, cut where the budget ends."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    df, rows = docs(spark, 300)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total, by = 0, {}
+    for r in rows:
+        by.setdefault(r[3], []).append(r)
+        total += size(r[1])
+    order = sorted(by, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    own = {s: sum(size(r[1]) for r in by[s]) for s in order}
+    target, full = {}, []
+    while True:  # a source at its limit leaves its excess to the others, by weight
+        left, weights = total - sum(3 * own[s] for s in full), sum(weight[s] for s in order if s not in full)
+        target = {s: 3 * own[s] if s in full else left * weight[s] / weights for s in order}
+        above = [s for s in order if s not in full and target[s] > 3 * own[s]]
+        if not above:
+            break
+        full += above
+    keys = df.select("doc_id", "text", F.xxhash64(F.lit(20), F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))).alias("k"), F.xxhash64("text").alias("h")).collect()
+    keys = {(r.doc_id, r.text): (r.k, -1 if r.doc_id is None else r.doc_id, size(r.text), r.h) for r in keys}
+    want = []
+    for s in order:
+        times, rest = divmod(round(target[s]), own[s]) if own[s] else (0, 0)
+        if target[s] >= 3 * own[s]:
+            times, rest = 3, 0
+        for r in sorted(by[s], key=lambda r: keys[r[0], r[1]]):
+            n = size(r[1])
+            want.append((str(r[0]), n, own[s], round(float(target[s]), 6), times * n + min(n, rest)))
+            rest -= min(n, rest)
+    got = mixing.mix(df).collect()
+    assert sorted((str(r.doc_id), r["size_"], r.source_size, round(r.target, 6), r.taken) for r in got) == sorted(want)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 def test_targets():
     assert mixing.targets([("a", 100), ("b", 100), ("c", 800)]) == [300.0, 300.0, 400.0]
     assert mixing.targets([]) == [] and mixing.targets([("a", 0)]) == [0.0]

@@ -424,7 +424,7 @@ def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *
 
     def coded(coder: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
         texts = pc.fill_null(batch.column(1), "")
-        if texts.nbytes > STEP:  # one text
+        if len(texts) == 1 and texts.nbytes > STEP:
             n, *sha, numbers, raw = _joined(coder.stream(texts[0].as_py()), outputs)
             return [pa.array([n], pa.int64()), *(pa.array([x]) for x in sha), *([pa.array([numbers], pa.list_(pa.int32())), pa.array([raw]).cast(pa.string())] if outputs else [])]
         ids, data, n = coder.run(texts)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import WORD, free_name
-from tracewell.storage import cut
+from tracewell.storage import cut, drop_cut
 
 #: Rows a range of the random key holds on average; more rows in a source mean more ranges, not longer ones.
 RANGE_ROWS = 4096
+#: Sources whose plan is broadcast (under 100 bytes each); that of more is joined.
+SENT = 100_000
 WEIGHTS = (5, 2, 1)
 #: A source gives its own size at most so many times.
 REPEATS = 3
@@ -39,6 +41,40 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
             return [float(repeats * n) for _, n in sizes]
 
 
+def _plan(rows: DataFrame, name: str, size: str, key: str, weights: tuple[int, ...], repeats: int) -> list[tuple]:
+    """For each source: name, size, target, how often all of it is given, words beyond that, number of ranges of the
+    key, the range in which those words end and the words before it (after the last range if all are given)."""
+    spark = rows.sparkSession
+    by_source = rows.groupBy(name).agg(F.sum(size), F.count(F.lit(1))).collect()
+    by_source = sorted(map(tuple, by_source), key=lambda r: r[0])
+    plan = []
+    for (s, n, k), goal in zip(by_source, targets([(s, n) for s, n, _ in by_source], weights, repeats), strict=True):
+        whole = min(repeats, int(goal // n)) if n else 0
+        rest = max(0, min(n, round(goal) - whole * n)) if whole < repeats else 0
+        plan.append((s, n, goal, whole, rest, max(1, k // RANGE_ROWS)))
+    ranges = _few(spark.createDataFrame([(s, p, r) for s, _, _, _, r, p in plan], "name string, ranges long, rest long"), len(plan))
+    sums = rows.select(F.col(name).alias("name"), F.col(size).alias("size"), F.col(key).alias("key")).join(ranges, "name")
+    sums = sums.groupBy("name", "rest", _range(F.col("key"), F.col("ranges")).alias("range")).agg(F.sum("size").alias("size"))
+    # prefix sums in two levels: over blocks of ranges, and within each block
+    sums = sums.withColumn("block", F.expr(f"range div {RANGE_ROWS}"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("name", "block").agg(F.sum("size").alias("of")).select("name", "block", F.coalesce(F.sum("of").over(before("name").orderBy("block")), F.lit(0)).alias("base"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("size").over(before("name", "block").orderBy("range")), F.lit(0))).join(blocks, ["name", "block"])
+    sums = sums.withColumn("before", F.col("before") + F.col("base")).where("before <= rest and before + size > rest")
+    cuts = {r["name"]: (r["range"], r["before"]) for r in sums.select("name", "range", "before").collect()}  # one row a source at most
+    return [(*row, *cuts.get(row[0], (row[5], 0))) for row in plan]
+
+
+def _range(key: Column, ranges: Column) -> Column:
+    """The key's upper 32 bits pick one of the source's equal ranges, in order."""
+    return F.floor((F.shiftright(key, 32) + F.lit(1 << 31)) * ranges / F.lit(1 << 32)).cast("long")
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """rows to be broadcast unless they are many."""
+    return F.broadcast(rows) if n <= SENT else rows
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", *, n_words: Column | None = None, text_hash: Column | None = None, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 20) -> DataFrame:
     """docs with columns size, source_size, target and taken added (renamed with underscores if docs has them).
 
@@ -46,39 +82,33 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     all its documents as often as its target holds its size whole; the rest comes from the documents in the
     order of a hash of doc_id, and the document at the cut gives exactly the words that are missing. Rounded
     to whole words, each source gives its target. Null sources form one source that sorts last, null doc_ids
-    hash alike, repeated rows count separately, ties of the hash are ordered by doc_id, size and text. An
+    hash by their text, repeated rows count separately, ties of the hash are ordered by doc_id, size and text. An
     empty table gives an empty result. Reruns agree. Where docs no longer hold the texts, n_words and text_hash
     say what was computed from them.
 
-    Only one row per source reaches the driver; all else is sums over ranges of the key.
+    Two rows per source reach the driver; all else is sums over ranges of the key. Only the range in which a
+    source's budget ends is shuffled and sorted: what lies before it gives all, what lies behind it nothing more.
     """
     names: list[str] = []
-    for wish in ("size", "source_size", "target", "taken", "mix_key", "mix_tie", "mix_source", "mix_range", "mix_before", "mix_full", "mix_rest", "mix_rows"):
+    for wish in ("size", "source_size", "target", "taken", "mix_key", "mix_tie", "mix_source", "mix_range", "mix_before", "mix_full", "mix_rest", "mix_ranges", "mix_cut"):
         names.append(free_name([*docs.columns, *names], wish))
-    size, source_size, target, taken, key, tie, name, piece, before, full, rest, n_rows = names
+    size, source_size, target, taken, key, tie, name, piece, before, full, rest, ranges, at = names
     # a null source gets a key of its own; 1 before 2, so null sorts last
-    docs = docs.withColumn(size, words(F.col(text)) if n_words is None else n_words).withColumn(tie, F.xxhash64(F.col(text).cast("string")) if text_hash is None else text_hash).withColumn(name, F.when(F.col(source).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string"))))
-    by_source = docs.groupBy(name).agg(F.sum(size).alias(source_size), F.count(F.lit(1)).alias(n_rows)).collect()
-    by_source = sorted(((r[0], r[1], r[2]) for r in by_source), key=lambda r: r[0])
-    wanted = targets([(s, n) for s, n, _ in by_source], weights, repeats)
-    plan = []
-    for (s, n, k), goal in zip(by_source, wanted, strict=True):
-        whole = min(repeats, int(goal // n)) if n else 0
-        plan.append((s, n, goal, whole, max(0, min(n, round(goal) - whole * n)) if whole < repeats else 0, max(1, k // RANGE_ROWS)))
-    spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, f"`{name}` string, `{source_size}` long, `{target}` double, `{full}` long, `{rest}` long, `{n_rows}` long")
-    docs = docs.join(plan_df, name)
-    docs = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(doc_id).cast("string")))
-    # the key's upper 32 bits pick one of the source's equal ranges, in order
-    docs = docs.withColumn(piece, F.floor((F.shiftright(F.col(key), 32) + F.lit(1 << 31)) * F.col(n_rows) / F.lit(1 << 32)).cast("long"))
-    sums = docs.groupBy(name, piece).agg(F.sum(size).alias(before))
-    along = Window.partitionBy(name).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn(before, F.coalesce(F.sum(before).over(along), F.lit(0)))
-    within = Window.partitionBy(name, piece).orderBy(key, doc_id, size, tie).rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.join(sums, [name, piece]).withColumn(before, F.col(before) + F.coalesce(F.sum(size).over(within), F.lit(0)))
-    part = F.least(F.greatest(F.col(rest) - F.col(before), F.lit(0)), F.col(size))
-    docs = docs.withColumn(taken, F.col(full) * F.col(size) + part)
-    return docs.drop(name, piece, before, full, rest, n_rows, key, tie)
+    source_key = F.when(F.col(source).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
+    n_words, tied = words(F.col(text)) if n_words is None else n_words, F.xxhash64(F.col(text).cast("string")) if text_hash is None else text_hash
+    columns = [*docs.columns, size, source_size, target, taken]
+    docs = docs.withColumn(name, source_key).withColumn(key, F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), tied.cast("string"))))
+    slim = cut(docs.select(name, n_words.alias(size), key), "mix-sizes")
+    plan = _plan(slim, name, size, key, weights, repeats)
+    drop_cut(slim)
+    plan_df = docs.sparkSession.createDataFrame(plan, f"`{name}` string, `{source_size}` long, `{target}` double, `{full}` long, `{rest}` long, `{ranges}` long, `{at}` long, `{before}` long")
+    docs = docs.join(_few(plan_df, len(plan)), name).withColumn(piece, _range(F.col(key), F.col(ranges)))
+    within = Window.partitionBy(name).orderBy(key, doc_id, size, tie).rowsBetween(Window.unboundedPreceding, -1)
+    here = docs.where(F.col(piece) == F.col(at)).withColumn(size, n_words).withColumn(tie, tied).withColumn(before, F.col(before) + F.coalesce(F.sum(size).over(within), F.lit(0)))
+    here = here.withColumn(taken, F.least(F.greatest(F.col(rest) - F.col(before), F.lit(0)), F.col(size)))
+    there = docs.where(F.col(piece) != F.col(at)).withColumn(size, n_words).withColumn(taken, F.when(F.col(piece) < F.col(at), F.col(size)).otherwise(F.lit(0)))
+    docs = there.unionByName(here.drop(tie)).withColumn(taken, F.col(full) * F.col(size) + F.col(taken))
+    return docs.select(*columns)
 
 
 def expand(mixed: DataFrame, columns: list[str], text: str = "text", size: str = "size", taken: str = "taken") -> DataFrame:
