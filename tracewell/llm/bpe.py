@@ -440,5 +440,7 @@ def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *
         finally:
             if coder:
                 coder.close()
+                coder = None
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, schema)

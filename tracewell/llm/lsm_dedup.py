@@ -5,7 +5,8 @@ with a bit filter of their digests. Size-tiered compaction merges runs; of one d
 row with the most code points, then the smallest identifier, and adds up the counts. A task emits its one
 compacted run, so a group of copies leaves one row a task, however large it is. Runs then meet by digest
 range, where the same compaction makes the final index. Rows whose digest the index counts more than once
-are hits: their normalised bytes are compared with those of the row that stays.
+are hits: their normalised bytes are verified, in that all texts of one digest must be one text. Equal texts of
+a task are aggregated before they are shuffled, so that a group of copies costs one text a task.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import SPACES, as_bytes, bit_filter, free_name, maybe_in, probes, steps, without
-from tracewell.storage import cut
+from tracewell.llm.shared import HOT_KEYS, SPACES, as_bytes, bit_filter, free_name, join_hot, maybe_in, probes, steps, without
+from tracewell.storage import cut, drop_cut
 
 #: A null identifier sorts behind every other.
 NO_ID = (1 << 63) - 1
@@ -145,15 +146,18 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
         normal = [_normal(x) for x in as_bytes(batch.column(1))]
         return normal, [hashlib.sha256(x).digest() for x in normal]
 
-    def chars(batch: pa.RecordBatch) -> np.ndarray:
-        return np.asarray(pc.fill_null(pc.utf8_length(batch.column(1)), 0), dtype=np.int64)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            sha = digests(batch)[1]
+            chars = pc.fill_null(pc.utf8_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.binary()), pa.array([_key(x, width) for x in sha], pa.binary()), chars], names=["id", "sha", "digest", "chars"])
 
     def flush_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LsmIndex(memtable)
-        for batch in steps(batches):
+        for batch in batches:
             rows = np.zeros(batch.num_rows, dtype=_HASHED)
-            rows["digest"] = [_key(x, width) for x in digests(batch)[1]]
-            rows["chars"] = chars(batch)
+            rows["digest"] = batch.column(1).to_pylist()
+            rows["chars"] = np.asarray(batch.column(2))
             rows["id"] = np.asarray(pc.fill_null(batch.column(0), NO_ID))
             rows["rows"] = rows["same"] = 1
             index.put(rows)
@@ -168,7 +172,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
             index.put(rows)
         yield from _batches(index.rows())
 
-    runs = slim.mapInArrow(flush_runs, INDEX)
+    rows = cut(slim.mapInArrow(measure, "id long, sha binary, digest binary, chars long"), "lsm-rows")
+    runs = rows.select("id", "digest", "chars").mapInArrow(flush_runs, INDEX)
     index = cut(runs.repartition("digest").mapInArrow(merge_runs, INDEX), "lsm-index")
     word = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
     several = index.where("rows > 1").select(word.alias("word"))
@@ -176,48 +181,40 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     hits = bit_filter(several, "word", max(16, (16 * n).bit_length())) if n else np.zeros(1 << 13, dtype=np.uint8)
     hits_sent = spark.sparkContext.broadcast(hits)  # at most 16 MB
 
-    def entries(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    def hit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             normal, sha = digests(batch)
             keys = [_key(x, width) for x in sha]
-            out = [batch.column(0), pa.array(sha, pa.binary()), pa.array(keys, pa.binary()), pa.array(chars(batch))]
-            if with_text:
-                words = np.array([int.from_bytes(x[:7], "big") for x in keys], dtype=np.int64)
-                chosen = pa.array(maybe_in(hits_sent.value, words))
-                out = [x.filter(chosen) for x in (*out, pa.array(normal, pa.binary()))]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "sha", "digest", "chars", *["normal"] * with_text])
-
-    fields = "id long, sha binary, digest binary, chars long"
-    best = index.where("rows > 1").select("digest", "keep_chars", "keep_id", "same")
-    copies = slim.mapInArrow(lambda x: entries(x, True), f"{fields}, normal binary").join(best, "digest")
-    copies = cut(copies.select("digest", "id", "chars", "sha", "normal", "keep_chars", "keep_id"), "lsm-hits")
+            chosen = pa.array(maybe_in(hits_sent.value, np.array([int.from_bytes(x[:7], "big") for x in keys], dtype=np.int64)))
+            out = [pa.array(keys, pa.binary()), pa.array(normal, pa.binary())]
+            yield pa.RecordBatch.from_arrays([x.filter(chosen) for x in out], names=["digest", "normal"])
+
+    texts = slim.mapInArrow(hit_texts, "digest binary, normal binary").distinct() if n else slim.limit(0).select(F.lit(b"").alias("digest"), F.lit(b"").alias("normal"))
+    differ = cut(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "lsm-differ")
     top = (F.col("chars") == F.col("keep_chars")) & (F.coalesce("id", F.lit(NO_ID)) == F.col("keep_id"))
-    keepers = copies.where(top).groupBy("digest").agg(F.min("normal").alias("kept_normal"))
-    differ = copies.join(keepers, "digest").where("normal <> kept_normal").select("digest").distinct()
-    differ = cut(differ, "lsm-differ")
-
-    rows = slim.mapInArrow(lambda x: entries(x, False), fields)
-    found = rows.join(index, "digest")
-    collided = differ.head() is not None
-    if collided:  # two texts under one digest: their rows are grouped by the bytes themselves
-        found = found.join(differ, "digest", "left_anti")
-        clash = copies.join(differ, "digest", "left_semi")
+    if differ.head() is None:
+        found = join_hot(rows, index, ["digest"], "rows").select("id", "sha", "keep_id", "rows", "same", top.alias("top"))
+    else:  # two texts under one digest: their rows are grouped by the whole digest of their bytes
+        clash = rows.join(F.broadcast(differ) if differ.count() <= HOT_KEYS else differ, "digest", "left_semi")
         one = F.struct(-F.col("chars"), F.coalesce("id", F.lit(NO_ID)))
-        groups = clash.groupBy("normal").agg(F.min(one).alias("one"), F.count(F.lit(1)).alias("rows"))
-        groups = groups.select("normal", (-F.col("one.col1")).alias("keep_chars"), F.col("one.col2").alias("keep_id"), "rows", F.lit(2).cast("long").alias("same"))
-        clash = clash.drop("keep_chars", "keep_id").join(groups, "normal")
-        found = found.select("id", "sha", "chars", "keep_chars", "keep_id", "rows", "same").unionByName(clash.select("id", "sha", "chars", "keep_chars", "keep_id", "rows", "same"))
-    found = found.select("id", "sha", "keep_id", "rows", "same", top.alias("top"))
-    if collided or index.where("same > 1").head() is not None:  # repeated rows of the one that stays: one of them is kept
-        found = cut(found, "lsm-rows")
+        groups = clash.groupBy("sha").agg(F.min(one).alias("one"), F.count(F.lit(1)).alias("rows"))
+        groups = groups.select("sha", (-F.col("one.col1")).alias("keep_chars"), F.col("one.col2").alias("keep_id"), "rows", F.lit(2).cast("long").alias("same"))
+        found = join_hot(rows.join(differ, "digest", "left_anti"), index.join(differ, "digest", "left_anti"), ["digest"], "rows")
+        columns = ["id", "sha", "keep_id", "rows", "same", top.alias("top")]
+        found = found.select(*columns).unionByName(join_hot(clash, groups, ["sha"], "rows").select(*columns))
+    if index.where("same > 1").head() is not None or differ.head() is not None:  # repeated rows of the one that stays: one of them is kept
+        found = cut(found, "lsm-found")
         again = found.where("top and same > 1").withColumn("nth", F.row_number().over(Window.partitionBy("sha").orderBy("id")))
         found = found.where("not (top and same > 1)").unionByName(again.withColumn("top", F.col("nth") == 1).drop("nth"))
+        drop_cut(rows, index)
+    drop_cut(differ)
     none = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
     return found.select(F.col("id").alias("doc_id"), none.alias("keep_id"), F.col("rows").alias("group_size"), F.col("top").alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_best(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: one of each group of equal texts."""
+    """The rows of docs that stay, with all their columns: one of each group of equal texts, as deduplicate says.
+    Null and empty texts are equal; where ids repeat, of equal rows of an id the first is taken."""
     found = cut(deduplicate(docs, text, doc_id), "lsm-found")
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if repeated.head() is None:

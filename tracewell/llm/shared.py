@@ -30,6 +30,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = STEP_BY
             end = min(max(end, start + 1), len(column))
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # the worker lives on, other tasks need the room
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -180,6 +181,23 @@ def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFram
     return docs.mapInArrow(lambda x: part(x, False), docs.schema).unionByName(doubt)
 
 
+#: Keys that are broadcast at most; rows a key has at least to be one of them.
+HOT_KEYS, HOT_ROWS = 100_000, 4096
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, *, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right on keys. right has one row a key, and in `weight` how many rows of left have it.
+    Frequent keys don't meet in one task: right's rows for them, HOT_KEYS at most as their rows add up to
+    left's, are broadcast. Null keys meet nothing. how: inner or left."""
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    limit = max(hot_rows, total // HOT_KEYS)
+    hot = right.where(F.col(weight) > limit)
+    if hot.head() is None:
+        return left.join(right, keys, how)
+    few = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) <= limit), keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(few)
+
+
 def free_name(taken: list[str], wish: str) -> str:
     """`wish`, with underscores added until no column of `taken` has that name (case ignored)."""
     while wish.lower() in {c.lower() for c in taken}:
