@@ -114,18 +114,34 @@ def test_signatures_meet():
     rng = np.random.default_rng(5)
     pool = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
     for share in (0.0, 0.5, 1.0):
-        common = np.sort(rng.choice(pool, int(len(pool) * share), replace=False))
-        frequent = np.stack([common, rng.permutation(len(common)).astype(np.uint64)])
+        level = dict(zip(pool.tolist(), np.where(rng.random(len(pool)) < share, rng.integers(1, 4, len(pool)), 0).tolist(), strict=True))
+        levels = lambda x: np.array([level[t] for t in x.tolist()])  # noqa: E731, B023
         for n in (1, 2, 3, 5, 9, 40, 300):
             for _ in range(20):
                 x = np.sort(rng.choice(pool, n, replace=False))
                 kept = rng.choice(x, n - int(rng.integers(0, n // 4 + 1)), replace=False)
                 y = np.unique(np.concatenate([kept, rng.choice(pool, int(rng.integers(0, n // 4 + 1)))]))
                 if ngram_join._linked(x, y):
-                    a, b = ngram_join.signatures(x, frequent), ngram_join.signatures(y, frequent)
+                    a, b = ngram_join.signatures(x, levels(x)), ngram_join.signatures(y, levels(y))
                     assert set(a[0]) & set(b[0]) or set(a[1]) & set(b[1])
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    """Two texts of one id and one size, each linked with another id; rows without an id are told apart."""
+    rng = random.Random(12)
+    text = lambda: " ".join(word(rng) + str(rng.randint(0, 99)) for _ in range(120))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a), (5, b), (7, near(a)), (9, near(b)), (None, c), (None, near(c)), (None, d), (11, near(d)), (None, "x y")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join.near_copies(df).collect())
+    assert got == sorted([("5", "5"), ("5", "5"), ("7", "5"), ("9", "5"), ("None", "None"), ("None", "None"), ("None", "11"), ("11", "11"), ("None", "None")])
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns
+    texts = [r.text for r in kept.collect()]
+    assert sorted(t for t in texts if t not in (c, near(c))) == sorted([a, b, near(d), "x y"]) and sum(t in (c, near(c)) for t in texts) == 1
+
+
 def test_hashing():
     words, first, start, length = hash_words([b"One two", b"", b"two  one\n"])
     assert list(np.diff(first)) == [2, 0, 2] and words[0] == words[3] and words[1] == words[2] and list(length) == [3, 3, 3, 3]
@@ -402,3 +418,15 @@ def test_pipeline(spark, tmp_path):
         if name == "byte-level BPE":
             assert sorted(r.decoded_sha256 for r in now) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in before)
         before = now
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_hot(spark, how):
+    from tracewell.llm.shared import join_hot
+
+    rows = [(i, i % 7 if i % 3 else 1) for i in range(60)] + [(100, None), (101, 50)]
+    left = spark.createDataFrame(rows, "id int, k int")
+    right = left.where("k is not null and k <> 50").groupBy("k").count().withColumn("x", F.col("k") * 10)
+    want = sorted(map(str, left.join(right, ["k"], how).collect()))
+    for hot_rows in (1, 5, 1000):
+        assert sorted(map(str, join_hot(left, right, ["k"], "count", how=how, hot_rows=hot_rows).select("k", "id", "count", "x").collect())) == want
