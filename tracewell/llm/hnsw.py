@@ -4,8 +4,9 @@ Vectors are normalised in double precision and equal ones stand for each other.
 identifier; each task builds its shard's graph: layers of exponentially fewer nodes, inserted in batches whose
 candidates come from a beam search of the graph so far and from the batch itself, with the usual diversity
 rule for neighbours. An audit compares searches for hashed sets of the shard's and of all vectors with brute force
-over the shard and widens the beam until recall is reached. Every vector then queries every shard; a beam that is
-full of links is widened until it isn't, and one that would look at most of the shard becomes a scan. Cosines of what was found are verified in double precision, counted
+over the shard and widens the beam until recall is reached. Every vector then queries every shard; the few whose beam
+is full of links, as in a cluster of near copies, are compared with the whole shard, block by block, as are all if
+the beam would have to look at a large part of it. Cosines of what was found are verified in double precision, counted
 per vector, and a task's links are reduced to a spanning forest before they leave it.
 """
 
@@ -18,17 +19,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import mix
-from tracewell.storage import cut
+from tracewell.llm.shared import join_hot, mix
+from tracewell.storage import cut, drop_cut
 
 #: Neighbours a node is given, and may gather before it is pruned; width of the beam that looks for them.
 LINKS, ROOM, BUILD_BEAM = 12, 36, 32
 #: Shards, and rows of one at most: more rows mean more shards.
-SHARDS, SHARD_ROWS = 8, 1 << 16
-#: Queries that meet a shard in one task; queries of one vectorised search.
-BLOCK, TOGETHER = 8192, 512
+SHARDS, SHARD_ROWS = 4, 1 << 17
+#: Bytes of a shard's vectors at most.
+SHARD_BYTES = 1 << 28
+#: Queries that meet a shard in one task; queries of one vectorised search, fewer where it would mark more than CELLS cells.
+BLOCK, TOGETHER, CELLS = 8192, 512, 1 << 25
 #: Vectors of a shard, and of the whole table, that an audit looks up, the recall it asks for, the first beam.
 AUDIT, RECALL, BEAM = 128, 0.98, 12
 #: A beam of more than one in so many of the shard's vectors is slower than a scan of all.
@@ -172,31 +176,29 @@ class Graph:
         return width * SCAN >= len(self.vectors)
 
     def search(self, queries: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(query, nodes found with at least the threshold); beams full of them are widened, wide ones scan."""
-        for a in range(0, len(queries), TOGETHER):
-            rows = np.arange(a, min(a + TOGETHER, len(queries)))
-            w = min(width, len(self.vectors))
-            while len(rows):
-                if self.scans(w):
-                    step = max(1, (1 << 22) // len(self.vectors))
-                    for b in range(0, len(rows), step):
-                        part = rows[b : b + step]
-                        for r, s in zip(part, queries[part] @ self.vectors.T >= threshold - 1e-9, strict=True):
-                            if s.any():
-                                yield r, np.flatnonzero(s)
-                    break
-                starts = self.entries(queries[rows])
-                wide = []
-                step = max(1, TOGETHER * 64 // w)
-                for b in range(0, len(rows), step):
-                    part = rows[b : b + step]
-                    nodes, sims = beam(self.vectors, self.layers[0], queries[part], starts[b : b + step], w)
-                    for r, x, s in zip(part, nodes, sims >= threshold - 1e-9, strict=True):
-                        if s.all() and w < len(self.vectors):
-                            wide.append(r)
-                        elif s.any():
-                            yield r, x[s]
-                rows, w = np.array(wide, dtype=int), min(4 * w, len(self.vectors))
+        """(query, nodes found with at least the threshold); beams full of them, and wide ones, become scans."""
+        width = min(width, len(self.vectors))
+        if self.scans(width):
+            yield from self._scan(queries, np.arange(len(queries)), threshold)
+            return
+        step = max(1, min(TOGETHER, TOGETHER * 64 // width, CELLS // len(self.vectors)))
+        full = []
+        for a in range(0, len(queries), step):
+            part = queries[a : a + step]
+            nodes, sims = beam(self.vectors, self.layers[0], part, self.entries(part), width)
+            hits = sims >= threshold - 1e-9
+            all_ = hits.all(axis=1)
+            full.append(a + np.flatnonzero(all_))
+            for r in np.flatnonzero(hits.any(axis=1) & ~all_):
+                yield a + r, nodes[r][hits[r]]
+        yield from self._scan(queries, np.concatenate(full) if full else np.zeros(0, int), threshold)
+
+    def _scan(self, queries: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        step = max(1, (1 << 22) // len(self.vectors))
+        for b in range(0, len(rows), step):
+            hits = queries[rows[b : b + step]] @ self.vectors.T >= threshold - 1e-9
+            for k in np.flatnonzero(hits.any(axis=1)):
+                yield rows[b + k], np.flatnonzero(hits[k])
 
     def audited(self, threshold: float, queries: np.ndarray, own: np.ndarray) -> int:
         """The narrowest beam, by doubling, that finds RECALL of the queries' links and of their nearest neighbours,
@@ -240,6 +242,22 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the rows that have it and their vectors."""
+    lists = column.combine_chunks()
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    at = {int(d): np.flatnonzero(sizes == d) for d in np.unique(sizes)}
+    return {d: (rows, values[offsets[rows][:, None] + np.arange(d)]) for d, rows in at.items()}
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Normalised vectors in double precision."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: str = "vec_id", *, threshold: float = 0.95, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links, component_id, kept.
 
@@ -251,7 +269,8 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
     component of its own: its component_id is null unless a link gives it one. An empty table gives an empty
     result; other columns are not looked at.
     """
-    x = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    kind = "float" if embeddings.schema[embedding].dataType == T.ArrayType(T.FloatType()) else "double"  # floats are shuffled as they are
+    x = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) | ~F.exists("v", lambda c: c != 0)
     x = x.withColumn("v", F.when(~F.coalesce(bad, F.lit(True)), F.col("v")))
     x = x.withColumn("id", F.coalesce("vec_id", F.lit((1 << 63) - 1)))
@@ -259,38 +278,28 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
     classes = usable.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # classes with one smallest id (repeated ids) still need keys of their own
     classes = classes.withColumn("key", F.xxhash64("rep", "v"))
-    n = (classes := cut(classes, "vectors")).count()
-    n_shards = max(shards, math.ceil(n / shard_rows))
+    n, longest = (classes := cut(classes, "vectors")).agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    n_shards = max(shards, math.ceil(n / max(1, min(shard_rows, SHARD_BYTES // (8 * longest)))))
+    plain_type = np.float32 if kind == "float" else np.float64
     audit = classes.orderBy(F.xxhash64("key", F.lit(77)), "key").limit(4 * AUDIT).select("key", "v").toArrow()
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
 
-    def unit(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By length: the rows that have it and their normalised vectors."""
-        rows = column.to_pylist()
-        sizes = np.fromiter(map(len, rows), int, len(rows))
-        out = {}
-        for d in np.unique(sizes):
-            at = np.flatnonzero(sizes == d)
-            v = np.array([rows[i] for i in at], dtype=np.float64)
-            v /= np.abs(v).max(axis=1, keepdims=True)
-            out[int(d)] = at, v / np.linalg.norm(v, axis=1, keepdims=True)
-        return out
-
-    asked_by = {d: (np.asarray(audit["key"])[at], v) for d, (at, v) in unit(audit["v"]).items()} if n else {}
+    asked_by = {d: (np.asarray(audit["key"])[at], _unit(v)) for d, (at, v) in _by_length(audit["v"]).items()}
 
     def build(table: pa.Table) -> pa.Table:
         key, rep, copies = (np.asarray(table[c]) for c in ("key", "rep", "copies"))
         out = []
-        for d, (at, v) in unit(table["v"]).items():
+        for d, (at, plain) in _by_length(table["v"]).items():
             order = np.argsort(key[at])
-            at, v = at[order], v[order]
+            at, plain = at[order], plain[order]
+            v = _unit(plain)
             u = (mix(key[at].view(np.uint64)) >> np.uint64(11)).astype(float) / 2.0**53
             graph = Graph(v, np.minimum((-np.log(u + 1e-18) / math.log(LINKS)).astype(int), 8))
             chosen = np.argsort(mix(key[at].view(np.uint64) ^ np.uint64(77)))[:AUDIT]
             far, far_v = asked_by.get(d, (key[:0], v[:0]))
             other = np.flatnonzero(~np.isin(far, key[at]))[:AUDIT]
             width = graph.audited(threshold, np.concatenate([v[chosen], far_v[other]]), np.concatenate([chosen, np.full(len(other), -1)]))
-            out.append({"shard": table["shard"][0].as_py(), "d": d, "width": width, "keys": key[at].tobytes(), "reps": rep[at].tobytes(), "copies": copies[at].tobytes(), "vectors": v.tobytes(), "members": [m.astype(np.int32).tobytes() for m in graph.members], "layers": [x.astype(np.int32).tobytes() for x in graph.layers]})
+            out.append({"shard": table["shard"][0].as_py(), "d": d, "width": width, "keys": key[at].tobytes(), "reps": rep[at].tobytes(), "copies": copies[at].tobytes(), "vectors": plain.tobytes(), "members": [m.astype(np.int32).tobytes() for m in graph.members], "layers": [x.astype(np.int32).tobytes() for x in graph.layers]})
         return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int32()), ("d", pa.int32()), ("width", pa.int32()), *((c, pa.binary()) for c in ("keys", "reps", "copies", "vectors")), ("members", pa.list_(pa.binary())), ("layers", pa.list_(pa.binary()))]))
 
     graphs = cut(dealt.repartition(4 * n_shards, "shard").groupBy("shard").applyInArrow(build, "shard int, d int, width int, keys binary, reps binary, copies binary, vectors binary, members array<binary>, layers array<binary>"), "graphs")
@@ -302,14 +311,14 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
     def query(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         key = np.asarray(left["key"])
-        units = unit(left["v"]) if left.num_rows else {}
+        units = {d: (at, _unit(v)) for d, (at, v) in _by_length(left["v"]).items()} if left.num_rows else {}
         ids = np.asarray(left["rep"])
         for g in right.to_pylist():
             if g["d"] not in units:
                 continue
             at, v = units[g["d"]]
             graph = Graph.__new__(Graph)
-            graph.vectors = np.frombuffer(g["vectors"]).reshape(-1, g["d"])
+            graph.vectors = _unit(np.frombuffer(g["vectors"], plain_type).reshape(-1, g["d"]))
             graph.members = [np.frombuffer(m, np.int32) for m in g["members"]]
             graph.layers = [np.frombuffer(m, np.int32).reshape(-1, ROOM) for m in g["layers"]]
             graph.top = (graph.members[-1] if graph.members else np.arange(len(graph.vectors)))[:64]
@@ -336,8 +345,10 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
     counts = found.where("k > 0").groupBy(F.col("a").alias("key")).agg(F.sum("k").alias("k"))
     roots = components(found.where("k = 0").select("a", "b"))
     classes = classes.join(counts, "key", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("v", (F.coalesce("k", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    linked = usable.join(classes, "v").select("vec_id", "id", "n_links", "root")
+    classes = classes.select("v", "copies", (F.coalesce("k", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    classes = cut(classes, "vector-roots")
+    drop_cut(graphs, found, roots)
+    linked = join_hot(usable, classes, ["v"], "copies").select("vec_id", "id", "n_links", "root")
     alone = x.where("v is null").select("vec_id", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("root"))
     both = linked.unionByName(alone)
     return both.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.when(F.col("root") != (1 << 63) - 1, F.col("root")).alias("component_id"), F.coalesce(F.col("vec_id") == F.col("root"), F.lit(False)).alias("kept"))
