@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import as_bytes, steps
+from tracewell.llm.shared import STEP_BYTES, as_bytes, steps
 
 #: A query: True (says nothing), a trigram, or ("and" | "or", queries).
 Query = bool | bytes | tuple
@@ -72,13 +72,13 @@ def _required(strings: set[str]) -> Query:
     return _any([one(s) for s in sorted(strings)])
 
 
-def _walk(items) -> tuple[set[str] | None, Query]:
+def _walk(items, flags: int) -> tuple[set[str] | None, Query]:
     """Strings that a sequence of parsed items spells out, if few, and its query otherwise."""
     spelled: set[str] | None = {""}
     found: list[Query] = []
     whole = True
     for op, arg in items:
-        options, query = _item(op, arg)
+        options, query = _item(op, arg, flags)
         if options is not None and len(spelled) * len(options) <= SPELLED:
             spelled = {a + b for a in spelled for b in options}
             continue
@@ -90,21 +90,30 @@ def _walk(items) -> tuple[set[str] | None, Query]:
     return (spelled, True) if whole else (None, _all([*found, _required(spelled)]))
 
 
-def _item(op, arg) -> tuple[set[str] | None, Query]:
+def _sure(letters: set[str], flags: int) -> bool:
+    """Whether a match shows the letters but for the case of A-Z. With case ignored beyond ASCII, i, k and s also
+    match letters outside it, and those outside match others of different bytes."""
+    if not flags & re.IGNORECASE or flags & re.ASCII:
+        return True
+    return all(c.isascii() and c not in "iksIKS" for c in letters)
+
+
+def _item(op, arg, flags: int) -> tuple[set[str] | None, Query]:
     if op is C.LITERAL:
-        return {chr(arg)}, True
+        return ({chr(arg)}, True) if _sure({chr(arg)}, flags) else (None, True)
     if op is C.IN and all(k is C.LITERAL for k, _ in arg) and len(arg) <= 6:
-        return {chr(v) for _, v in arg}, True
+        letters = {chr(v) for _, v in arg}
+        return (letters, True) if _sure(letters, flags) else (None, True)
     if op is C.SUBPATTERN:
-        return _walk(arg[3])
+        return _walk(arg[3], (flags | arg[1]) & ~arg[2])
     if op is C.BRANCH:
-        parts = [_walk(x) for x in arg[1]]
+        parts = [_walk(x, flags) for x in arg[1]]
         if all(s is not None for s, _ in parts) and len(union := set().union(*(s for s, _ in parts))) <= SPELLED:
             return union, True
         return None, _any([q if s is None else _required(s) for s, q in parts])
     if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
         low, high, body = arg
-        options, query = _walk(body)
+        options, query = _walk(body, flags)
         if low == 0:
             return ({""} | options, True) if options is not None and high == 1 else (None, True)
         return None, query if options is None else _required(options)
@@ -114,7 +123,8 @@ def _item(op, arg) -> tuple[set[str] | None, Query]:
 
 
 def trigram_query(pattern: str) -> Query:
-    strings, query = _walk(_parser.parse(pattern))
+    parsed = _parser.parse(pattern)
+    strings, query = _walk(parsed, parsed.state.flags)
     return query if strings is None else _required(strings)
 
 
@@ -145,6 +155,22 @@ class Index:
         self.fold[65:91] += 32
 
     def postings(self, texts: list[bytes]) -> dict[bytes, np.ndarray]:
+        """The texts that hold each trigram; of a long text, piece by piece."""
+        parts: dict[bytes, list[np.ndarray]] = {g: [] for g in self.grams}
+        for i, text in enumerate(texts):
+            if len(text) > STEP_BYTES:  # pieces overlap by two bytes
+                held = set()
+                for a in range(0, len(text), STEP_BYTES):
+                    held |= {g for g, found in self._postings([text[a : a + STEP_BYTES + 2]]).items() if len(found)}
+                for g in held:
+                    parts[g].append(np.array([i]))
+        short = [i for i, t in enumerate(texts) if len(t) <= STEP_BYTES]
+        if short:
+            for g, found in self._postings([texts[i] for i in short]).items():
+                parts[g].append(np.array(short)[found])
+        return {g: np.sort(np.concatenate(x)) if x else np.zeros(0, dtype=np.int64) for g, x in parts.items()}
+
+    def _postings(self, texts: list[bytes]) -> dict[bytes, np.ndarray]:
         raw = self.fold[np.frombuffer(b"\n".join(texts) + b"\n\n\n", dtype=np.uint8)]
         codes = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]
         at = np.flatnonzero(self.asked[codes])
@@ -176,7 +202,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, rules:
     """doc_id and spans (kind, start, end; in code points, end exclusive; by start, then by the rules' order) of each row.
 
     Matches of a rule are its leftmost non-overlapping ones. Null text counts as empty, which has no spans; null
-    doc_ids stay null; repeated rows are scanned each; an empty table gives an empty result.
+    doc_ids stay null; repeated rows are scanned each; an empty table gives an empty result; other columns are not
+    looked at. A text is matched whole, however long; its trigrams are looked up piece by piece.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(rules)
@@ -189,7 +216,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, rules:
 
 
 def report(docs: DataFrame, **names: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans as text, for each row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans as text, for each row; nulls, empty and repeated rows as
+    scan says. A text without spans has zeros, the hash of the empty string and no spans."""
     told = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     found = scan(docs, **names)
     base = F.filter("spans", lambda x: x["kind"].isin([r.kind for r in BASE]))
