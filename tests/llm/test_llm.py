@@ -430,3 +430,47 @@ def test_join_hot(spark, how):
     want = sorted(map(str, left.join(right, ["k"], how).collect()))
     for hot_rows in (1, 5, 1000):
         assert sorted(map(str, join_hot(left, right, ["k"], "count", how=how, hot_rows=hot_rows).select("k", "id", "count", "x").collect())) == want
+
+
+def test_scores_by_hand(spark):
+    """op1: the base, a table entry for each feature's bin and for each pair's cell, added row by row; op2: P(grade >= k)
+    from the formula, row by row."""
+    import math
+    from bisect import bisect_right
+
+    rng = random.Random(31)
+    rows = [(i, " ".join(word(rng) + ("!!" if i % 3 == 0 else "") + (" zzbad" if i % 4 == 0 and rng.random() < 0.1 else "") for _ in range(rng.randint(1, 60)))) for i in range(300)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), i % 4 // 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = quality_gam.fit(df, labels)
+    assert len(model.pairs) == 6
+    got = {r.doc_id: r for r in quality_gam.score(df, model).collect()}
+    for i, t in rows:
+        x = quality_gam.features([(t or "").encode()])[0]
+        at = [bisect_right(e.tolist(), v) for e, v in zip(model.edges, x.tolist(), strict=True)]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, at, strict=True)) + sum(t[at[j]][at[k]] for j, k, t in model.pairs)
+        assert abs(got[i].score - 1 / (1 + math.exp(-total))) < 1e-9 and got[i].predicted == int(got[i].score >= 0.3)
+    ordinal = toxicity.fit(df, labels, n_grades=4)
+    graded = {r.doc_id: r for r in toxicity.score(df, ordinal).collect()}
+    weight = dict(zip(ordinal.features.tolist(), ordinal.weights.tolist(), strict=True))
+    for i, t in rows:
+        total = sum(weight.get(f, 0) for f in toxicity.features([(t or "").encode()])[0].tolist())
+        p = [1 / (1 + math.exp(-(total - k))) for k in ordinal.thresholds]
+        assert len(p) == 3 and abs(graded[i].expected_severity - sum(p)) < 1e-9 and graded[i].predicted == sum(x >= 0.5 for x in p)
+    empty = df.limit(0)
+    assert quality_gam.classify(empty, labels).count() == 0 and toxicity.grade(empty, labels).count() == 0
+
+
+def test_ordinal_fit_is_that_of_all_features(spark):
+    """Choosing features on the executors changes nothing."""
+    rng = random.Random(32)
+    rows = [(i, " ".join([word(rng) for _ in range(30)] + ["zzbad"] * (i % 5 == 0))) for i in range(200)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)] + [(3, None), (7, 9), (8, -2)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, n_grades=2)
+    learnt = {r.doc_id for r in df.where(~quality_gam.held_out("doc_id")).collect()}
+    used = [(i, t) for i, t in rows if i in learnt]
+    y = np.array([1 if i % 5 == 0 or i == 7 else 0 for i, _ in used])
+    whole = toxicity.train([toxicity.features([t.encode()])[0] for _, t in used], y, n_grades=2)
+    assert set(model.features) <= set(whole.features) | set(model.features) and np.allclose(model.thresholds, whole.thresholds, atol=0.05)
+    a, b = model.above([toxicity.features([t.encode()])[0] for _, t in rows]), whole.above([toxicity.features([t.encode()])[0] for _, t in rows])
+    assert np.abs(a - b).max() < 0.05

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.shared import as_bytes, hash_words, steps
-from tracewell.storage import cut
+from tracewell.storage import cut, drop_cut
 
 #: Labelled rows that are learnt from at most, chosen by a hash of doc_id.
 SAMPLE = 20_000
@@ -166,7 +166,8 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Gam:
     """Learn from at most `sample` labelled rows that aren't held out. Null labels and unknown ids are left out;
-    of several labels of an id the largest counts."""
+    of several labels of an id the largest counts. Where the sample ends, ties of the hash go by doc_id; without
+    labelled rows, or with one label only, all scores are equal."""
     chosen = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
     chosen = cut(chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample), "gam-sample")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # `sample` rows at most
@@ -177,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     got = sorted(map(tuple, rows.select("id", "text", "y").mapInArrow(measure, "id long, y double, x array<double>").dropDuplicates(["id"]).collect()), key=lambda r: r[0])
+    drop_cut(chosen)
     return train(np.array([r[2] for r in got]).reshape(len(got), len(FEATURES)), np.array([r[1] > 0 for r in got], dtype=float))
 
 
@@ -197,11 +199,13 @@ def score(docs: DataFrame, model: Gam, text: str = "text", doc_id: str = "doc_id
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
+    """score with a model fitted on the labels; both say what becomes of nulls, repeats, ties and empty tables."""
     return score(docs, fit(docs, labels, sample=sample))
 
 
 def keep_good(docs: DataFrame, model: Gam, text: str = "text", *, keep_from: float = 0.3) -> DataFrame:
-    """The rows of docs whose text scores keep_from at least, with all their columns."""
+    """The rows of docs whose text scores keep_from at least, with all their columns. Null text counts as empty;
+    repeated rows stay or go together; an empty table gives an empty result."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.quality_gam import held_out
 from tracewell.llm.shared import as_bytes, hash_words, steps
-from tracewell.storage import cut
+from tracewell.storage import cut, drop_cut
 
 #: Labelled rows that are learnt from at most, chosen by a hash of doc_id; features kept; buckets features are hashed to.
 SAMPLE, KEPT, BUCKETS = 20_000, 4096, 1 << 20
@@ -94,7 +94,8 @@ def train(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, kept: in
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", *, n_grades: int | None = None, sample: int = SAMPLE) -> Ordinal:
     """Learn from at most `sample` labelled rows that aren't held out. Null grades and unknown ids are left out;
     of several grades of an id the largest counts. Grades go from 0 to the labels' largest; with n_grades, those
-    beyond the last count as the last."""
+    beyond the last count as the last. Where the sample ends, ties of the hash go by doc_id; without labelled rows
+    every grade above 0 is unlikely."""
     if n_grades is None:
         n_grades = max(2, (labels.agg(F.max(F.col(label).cast("int"))).first()[0] or 0) + 1)
     chosen = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
@@ -106,7 +107,32 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             x = features(as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.tobytes() for a in x], pa.binary())], names=["id", "y", "x"])
 
-    got = sorted(map(tuple, rows.select("id", "text", "y").mapInArrow(measure, "id long, y int, x binary").dropDuplicates(["id"]).collect()), key=lambda r: r[0])
+    rows = cut(rows.select("id", "text", "y").mapInArrow(measure, "id long, y int, x binary").dropDuplicates(["id"]), "ordinal-rows")
+    mean = rows.agg(F.avg(F.greatest(F.lit(0), F.least("y", F.lit(n_grades - 1))))).first()[0]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS)
+        for batch in batches:
+            x = [np.frombuffer(a, dtype=np.int32) for a in batch.column(1).to_pylist()]
+            if x:
+                flat = np.concatenate(x)
+                seen += np.bincount(flat, minlength=BUCKETS)
+                total += np.bincount(flat, np.repeat(np.clip(np.asarray(batch.column(0)), 0, n_grades - 1), [len(a) for a in x]), BUCKETS)
+        some = np.flatnonzero(seen)
+        yield pa.record_batch({"feature": pa.array(some), "n": pa.array(seen[some]), "total": pa.array(total[some])})
+
+    # the features that part the grades best, as train() takes them; only theirs are brought together
+    found = rows.select("y", "x").mapInArrow(tally, "feature long, n long, total double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    moved = F.pow(F.col("total") - F.col("n") * F.lit(mean or 0.0), 2) / F.col("n")
+    kept = np.sort(np.array([r[0] for r in found.orderBy(moved.desc(), "feature").limit(KEPT).select("feature").collect()], dtype=np.int32))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [a[np.isin(a, kept)].tobytes() for a in (np.frombuffer(b, dtype=np.int32) for b in batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["id", "y", "x"])
+
+    got = sorted(map(tuple, rows.mapInArrow(narrowed, "id long, y int, x binary").collect()), key=lambda r: r[0])  # `sample` rows of KEPT features at most
+    drop_cut(chosen, rows)
     return train([np.frombuffer(r[2], dtype=np.int32) for r in got], np.clip(np.array([r[1] for r in got], dtype=np.int64), 0, n_grades - 1), n_grades=n_grades)
 
 
@@ -130,4 +156,5 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", doc_id: str = "do
 
 
 def grade(docs: DataFrame, labels: DataFrame, *, n_grades: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """score with a model fitted on the labels; both say what becomes of nulls, repeats, ties and empty tables."""
     return score(docs, fit(docs, labels, n_grades=n_grades, sample=sample))
