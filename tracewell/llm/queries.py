@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm import bpe, chat_tools, hnsw, lsm_dedup, mixing, ngram_join, quality_gam, secret_scan, sharding, toxicity
 
 
+#: Bytes of a shard: little enough that the small tables split as well.
+OP7_LIMIT = 1 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,7 +42,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_table(spark, sf_dir, "documents"))
+    return sharding.shard(_table(spark, sf_dir, "documents"), limit=OP7_LIMIT)
 
 
 def op8_hnsw_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +102,10 @@ WITH RECURSIVE rows AS (
   SELECT doc_id, bytes, key, 0, 0::BIGINT, (sum(bytes) OVER ())::BIGINT FROM rows
   UNION ALL
   SELECT doc_id, bytes, key, bits + 1, key >> (59 - bits), (sum(bytes) OVER (PARTITION BY key >> (59 - bits)))::BIGINT
-  FROM level WHERE shard_bytes > 16777216 AND bits < 60
+  FROM level WHERE shard_bytes > 1048576 AND bits < 60
 )
-SELECT doc_id, bytes, CASE WHEN bits = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), bits) END AS shard, bits AS shard_bits, shard_bytes, shard_bytes > 16777216 AS oversized
-FROM level WHERE shard_bytes <= 16777216 OR bits = 60
+SELECT doc_id, bytes, CASE WHEN bits = 0 THEN '' ELSE right(lpad(bin(prefix), 60, '0'), bits) END AS shard, bits AS shard_bits, shard_bytes, shard_bytes > 1048576 AS oversized
+FROM level WHERE shard_bytes <= 1048576 OR bits = 60
 """
 
 
