@@ -30,17 +30,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import steps
+from tracewell.llm.shared import small_batches, steps
 
 #: Bytes of words that one recursive query takes; bytes that a task remembers of words and their codes.
-QUERY_BYTES, CACHE_BYTES = 150_000, 24 << 20
+QUERY_BYTES, CACHE_BYTES = 150_000, 16 << 20
 #: Bytes of text that are split and put together at once; a longer text goes through word by word.
-STEP = 4 << 20
+STEP = 2 << 20
 #: A longer word is cut into chunks of CHUNK bytes, within segments of SEGMENT bytes; tokens on either side in a window.
 CHUNK, SEGMENT, BESIDE = 64, 1 << 18, 4
 #: Rows that one query over joined chunks may leave behind; it goes on from there in another one.
 STATE_ROWS = 2_000_000
-MEMORY = "256MB"
+MEMORY = "200MB"
 
 #: `best`: rank and position of the pair that begins at the row, null if it is none.
 STATES = """
@@ -416,6 +416,7 @@ def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *
     looked at. A text is one row of one task's work; of a long one, and of a long word, the codes come in parts,
     so that with digests alone memory holds the text itself and little more.
     """
+    small_batches(docs.sparkSession)
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         sent = docs.sparkSession.sparkContext.broadcast(tables(parse_ranks(file.read())))  # made of one file of fixed size
     pattern = pattern or public_tokenizers.PATTERN

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import HOT_KEYS, SPACES, as_bytes, bit_filter, free_name, join_hot, maybe_in, probes, steps, without
+from tracewell.llm.shared import HOT_KEYS, SPACES, as_bytes, bit_filter, free_name, join_hot, maybe_in, probes, small_batches, steps, without
 from tracewell.storage import cut, drop_cut
 
 #: A null identifier sorts behind every other.
@@ -139,6 +139,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     An empty table gives an empty result; other columns are not looked at. `memtable` bounds the rows a task
     holds unsorted; `width` is the digest's bytes in the index (16; fewer only to test collisions).
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import HOT_KEYS, as_bytes, bit_filter, free_name, hash_words, id_filter, join_hot, maybe_in, mix, shingle_hashes, steps, without
+from tracewell.llm.shared import HOT_KEYS, as_bytes, bit_filter, free_name, hash_words, id_filter, join_hot, maybe_in, mix, shingle_hashes, small_batches, steps, without
 from tracewell.storage import cut, drop_cut
 
 #: Sightings from which on a token is of frequency level 1, 2, 3; below, it is rare. A sighting counts in a chunk of
@@ -119,6 +119,7 @@ def _key(text: str, doc_id: str) -> Column:
 def _near(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
     """(doc, n, root) of each row: its key, the size of its set, the smallest key of its component."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(_key(text, doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

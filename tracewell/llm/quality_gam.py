@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import as_bytes, hash_words, steps
+from tracewell.llm.shared import as_bytes, hash_words, small_batches, steps
 from tracewell.storage import cut, drop_cut
 
 #: Labelled rows that are learnt from at most, chosen by a hash of doc_id.
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """Learn from at most `sample` labelled rows that aren't held out. Null labels and unknown ids are left out;
     of several labels of an id the largest counts. Where the sample ends, ties of the hash go by doc_id; without
     labelled rows, or with one label only, all scores are equal."""
+    small_batches(docs.sparkSession)
     chosen = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
     chosen = cut(chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample), "gam-sample")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # `sample` rows at most
@@ -188,6 +189,7 @@ def score(docs: DataFrame, model: Gam, text: str = "text", doc_id: str = "doc_id
     Only the text counts. Null text counts as empty, and an empty text has a score as well; null doc_ids stay
     null; repeated rows get equal scores; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few tables of 32 bins
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +208,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Dat
 def keep_good(docs: DataFrame, model: Gam, text: str = "text", *, keep_from: float = 0.3) -> DataFrame:
     """The rows of docs whose text scores keep_from at least, with all their columns. Null text counts as empty;
     repeated rows stay or go together; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import STEP_BYTES, as_bytes, steps
+from tracewell.llm.shared import STEP_BYTES, as_bytes, small_batches, steps
 
 #: A query: True (says nothing), a trigram, or ("and" | "or", queries).
 Query = bool | bytes | tuple
@@ -205,6 +205,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, rules:
     doc_ids stay null; repeated rows are scanned each; an empty table gives an empty result; other columns are not
     looked at. A text is matched whole, however long; its trigrams are looked up piece by piece.
     """
+    small_batches(docs.sparkSession)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and U+0009..U+000D.
@@ -17,6 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch where Spark's own number, which suits rows of few bytes, stands: texts are longer.
+BATCH_ROWS, _DEFAULT_ROWS, _ROWS = 500, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts sent to Python in small batches, unless the session has a number of its own: a batch lies in
+    memory twice on either side."""
+    if spark.conf.get(_ROWS, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `limit` bytes of text each, one row at least."""
     for batch in batches:

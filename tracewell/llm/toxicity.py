@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.quality_gam import held_out
-from tracewell.llm.shared import as_bytes, hash_words, steps
+from tracewell.llm.shared import as_bytes, hash_words, small_batches, steps
 from tracewell.storage import cut, drop_cut
 
 #: Labelled rows that are learnt from at most, chosen by a hash of doc_id; features kept; buckets features are hashed to.
@@ -98,6 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     every grade above 0 is unlikely."""
     if n_grades is None:
         n_grades = max(2, (labels.agg(F.max(F.col(label).cast("int"))).first()[0] or 0) + 1)
+    small_batches(docs.sparkSession)
     chosen = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
     chosen = cut(chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample), "ordinal-sample")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # `sample` rows at most
@@ -143,6 +144,7 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", doc_id: str = "do
     Null text counts as empty and has no features; null doc_ids stay null; repeated rows get equal scores; an
     empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # KEPT weights at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
