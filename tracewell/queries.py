@@ -39,9 +39,9 @@ def rule(detection: dict, **more) -> Rule:
 LEAVES: dict[str, tuple[str, dict, str]] = {
     "p1_map_and": ("e", {"s": {"Channel": "error", "user_id": "8"}}, "channel = 'error' AND f_user_id = '8'"),
     "p2_list_or": ("e", {"s": {"Channel": ["error", "click"]}}, "channel IN ('error', 'click')"),
-    "p3_list_all": ("d", {"s": {"text|contains|all": ["the", "password"]}}, "contains(lower(f_text), 'the') AND contains(lower(f_text), 'password')"),
+    "p3_list_all": ("d", {"s": {"text|contains|all": ["the", "ToKen"]}}, "contains(lower(f_text), 'the') AND contains(lower(f_text), 'token')"),
     "p4_keyless_all": ("d", {"s": {"|all": ["the", "token"]}}, "contains(lower(data_string), 'the') AND contains(lower(data_string), 'token')"),
-    "p5_grep": ("d", {"s": ["pass*word=", "AKIA"]}, "contains(lower(data_string), 'akia') OR regexp_matches(data_string, '(?is)pass.*word=')"),
+    "p5_grep": ("d", {"s": ["tok?n*=", "LICENSE"]}, "contains(lower(data_string), 'license') OR regexp_matches(data_string, '(?is)tok[^\\n]n.*=')"),
     "p6_neq_list": ("e", {"s": {"Channel|neq": ["error", "click"]}}, "coalesce(channel NOT IN ('error', 'click'), true)"),
     "p7_not": ("e", {"a": {"owner|startswith": "User-1"}, "condition": "not a"}, "NOT coalesce(starts_with(f_owner, 'User-1'), false)"),
     "p10_data_array": ("e", {"s": {"Data": ["8", "error"]}}, "f_user_id = '8' OR f_k = '8' OR channel = 'error'"),
@@ -52,16 +52,16 @@ LEAVES: dict[str, tuple[str, dict, str]] = {
     "p14_all_of": ("e", {"sel_a": {"Channel": "error"}, "sel_b": {"EventID": 3}, "other": {"EventID": 5}, "condition": "all of sel_* and not other"}, "channel = 'error' AND event_id = '3'"),
     "m1_equality": ("e", {"s": {"owner": "uSER-8"}}, "lower(f_owner) = 'user-8'"),
     "m2_wildcard": ("e", {"s": {"owner": "us?r-1*5"}}, r"regexp_matches(f_owner, '(?i)^us[^\n]r-1.*5$')"),
-    "m3_contains": ("d", {"s": {"text|contains": "PassWord="}}, "contains(lower(f_text), 'password=')"),
+    "m3_contains": ("d", {"s": {"text|contains": "ToKen"}}, "contains(lower(f_text), 'token')"),
     "m4_startswith": ("e", {"s": {"owner|startswith": "USER-1"}}, "starts_with(lower(f_owner), 'user-1')"),
     "m4_endswith": ("e", {"s": {"owner|endswith": "7"}}, "ends_with(f_owner, '7')"),
     "m5_cased": ("e", {"s": {"login|contains|cased": "SER-1"}}, "contains(f_login, 'SER-1')"),
     "m6_cased_alone": ("e", {"s": {"login|cased": "user-11"}}, "lower(f_login) = 'user-11'"),
     "m8_windash": ("e", {"s": {"owner|contains|windash": "user/1"}}, "contains(replace(lower(f_owner), '-', '/'), 'user/1')"),
-    "m9_startswith_windash": ("e", {"s": {"owner|startswith|windash": "user/1"}}, "starts_with(lower(f_owner), 'user/1')"),
-    "m10_re": ("d", {"s": {"text|re": "AKIA[A-Z0-9]{16}"}}, "regexp_matches(f_text, 'AKIA[A-Z0-9]{16}')"),
+    "m9_startswith_windash": ("e", {"s": {"owner|startswith|windash": ["user/1", "user-2"]}}, "starts_with(lower(f_owner), 'user-2')"),
+    "m10_re": ("d", {"s": {"text|re": "[0-9a-f]{24,}"}}, "regexp_matches(f_text, '[0-9a-f]{24,}')"),
     "m11_re_flags": ("d", {"s": {"text|re|i": "TOKEN\\s*="}}, r"regexp_matches(f_text, '(?i)TOKEN\s*=')"),
-    "m12_base64": ("d", {"s": {"text|base64|contains": "the"}}, "contains(lower(f_text), lower(rtrim(base64('the'::BLOB), '=')))"),
+    "m12_base64": ("d", {"s": {"text|base64|contains": "j"}}, "contains(lower(f_text), lower(rtrim(base64('j'::BLOB), '=')))"),
     "m13_base64offset": ("d", {"s": {"text|base64offset|contains": "on"}}, "contains(f_text, 'b2') OR contains(f_text, '9u') OR contains(f_text, 'vb')"),
     "m15_base64_alone": ("e", {"s": {"owner|base64": "user-11"}}, "lower(f_owner) = 'user-11'"),
     "m16_cidr": ("e", {"s": {"ip|cidr": "10.2.0.0/16"}}, "starts_with(f_ip, '10.2.')"),
@@ -72,13 +72,13 @@ LEAVES: dict[str, tuple[str, dict, str]] = {
     "m21_neq": ("e", {"s": {"owner|neq": "User-8"}}, "coalesce(lower(f_owner) <> 'user-8', true)"),
     "m22_null": ("e", {"s": {"owner": None}}, "f_owner IS NULL"),
     "m24_min_length": ("d", {"s": {"text": {"min_length": 4000}}}, "strlen(f_text) >= 4000"),
-    "m25_regexes": ("d", {"s": {"text": {"regexes": "keys"}}}, "regexp_matches(f_text, 'AKIA[A-Z0-9]+|password=')"),
+    "m25_regexes": ("d", {"s": {"text": {"regexes": "keys"}}}, "regexp_matches(f_text, 'AKIA[A-Z0-9]+|[0-9a-f]{24,}')"),
     "m26_allowlist": ("e", {"s": {"owner": {"allowlist": "owners"}}}, "NOT coalesce(regexp_matches(f_owner, '^User-1'), false)"),
     "m27_value": ("e", {"s": {"owner": {"value": "user-8"}}}, "lower(f_owner) = 'user-8'"),
     "m28_scalars": ("e", {"s": {"k": 69}}, "f_k = '69'"),
     "m32_absent": ("e", {"s": {"nothing|contains": "x"}}, "false"),
 }
-LISTS = Lists({"keys": ["AKIA[A-Z0-9]+", "password="], "owners": ["^User-1"]})
+LISTS = Lists({"keys": ["AKIA[A-Z0-9]+", "[0-9a-f]{24,}"], "owners": ["^User-1"]})
 
 
 def _records(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -254,7 +254,7 @@ _simple("u1_rule_union", _over_found(lambda d: d.select("record_id", "rule_id",
 _simple("r1_event_metrics", _over_events(lambda r: reports.event_metrics(r, {("3", "error"): "Three"})), f"WITH {EVENTS} SELECT lower(channel) AS channel, event_id, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 1) AS percent, CASE WHEN event_id = '3' AND channel = 'error' THEN 'Three' ELSE 'Unknown' END AS title FROM rec GROUP BY channel, event_id")
 _simple("r3_computer_metrics", _over_events(lambda r: reports.computer_metrics(r).select("computer", "n", "last_ts")), f"WITH {EVENTS} SELECT computer, count(*) AS n, max(ts) AS last_ts FROM rec GROUP BY computer")
 _simple("r4_file_metrics", _over_events(reports.file_metrics), f"WITH {EVENTS} SELECT file, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, string_agg(DISTINCT computer, ' ¦ ' ORDER BY computer) AS computers, string_agg(DISTINCT channel, ' ¦ ' ORDER BY channel) AS channels, string_agg(DISTINCT provider, ' ¦ ' ORDER BY provider) AS providers FROM rec GROUP BY file")
-_simple("r5_search_keyword", lambda s, d: reports.sorted_search(reports.search(from_documents(s, d), ["PASSWORD", "secret"], ignore_case=True)).select(*_IDS, "computer"), f"WITH {DOCS} SELECT DISTINCT record_id, channel, computer FROM rec WHERE contains(lower(data_string), 'password') OR contains(lower(data_string), 'secret')")
+_simple("r5_search_keyword", lambda s, d: reports.sorted_search(reports.search(from_documents(s, d), ["TOKEN", "secret"], ignore_case=True)).select(*_IDS, "computer"), f"WITH {DOCS} SELECT DISTINCT record_id, channel, computer FROM rec WHERE contains(lower(data_string), 'token') OR contains(lower(data_string), 'secret')")
 _simple("r6_search_regex", lambda s, d: reports.search(from_documents(s, d), pattern="[0-9a-f]{24,}").select(*_IDS, "computer"), f"WITH {DOCS} SELECT record_id, channel, computer FROM rec WHERE regexp_matches(data_string, '[0-9a-f]{{24,}}')")
 _simple("r11_pivot", _over_found(lambda d: reports.pivot_keywords(d, {"users": [F.col("f_owner")], "hosts": [F.col("computer"), F.col("f_ip")]})), _WITH.replace("f_user_id, f_owner, r.*", "f_user_id, f_owner, f_ip, r.*") + "SELECT DISTINCT category, value FROM (SELECT 'users' AS category, f_owner AS value FROM found UNION ALL SELECT 'hosts', computer FROM found UNION ALL SELECT 'hosts', f_ip FROM found) WHERE value IS NOT NULL")
 _simple("r12_time_span", _over_events(reports.time_span), f"WITH {EVENTS} SELECT count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM rec")
