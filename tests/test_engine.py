@@ -6,13 +6,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators.detect import resolver
+from tracewell.functions import text
+from tracewell.operators.detect import count_detections, count_rows, for_present_channels, matches, resolver
 from tracewell.operators.windows import greedy_windows
 from tracewell.plans import rules as R
 from tracewell.plans.aggregation import AggSpec, parse_count, parse_frame
 from tracewell.plans.condition import compile_condition, tokens
 from tracewell.plans.errors import RuleError
 from tracewell.plans.leaves import Lists, selection, wildcard_regex
+from tracewell.plans.scope import scope_of
 from tracewell.sources import files, sinks
 from tracewell.streaming.stream import detect_stream
 
@@ -186,3 +188,75 @@ def test_html_report_is_whole(spark, tmp_path):
     sinks.html_report({"Some": spark.range(450)}, str(tmp_path / "some.html"), rows=200)
     page = (tmp_path / "some.html").read_text()
     assert page.count("<td>") == 200 and "250 more rows are left out" in page
+
+
+def test_scopes():
+    def scope(**detection):
+        return scope_of(R.Rule("p", {"detection": detection}, "i", "t")).channels
+
+    one, two = {"Channel": "A"}, {"Channel": ["B", "C*"], "x": "y"}
+    assert scope(s=one) == {"A"} and scope(s=two) == {"B", "C*"} and scope(s=[one, two]) == {"A", "B", "C*"}
+    assert scope(s=one, t=two, condition="s or t") == {"A", "B", "C*"} and scope(s=one, t=two, condition="s and t") == {"A"}
+    assert scope(s=one, t={"x": "y"}, condition="s and not t") == {"A"} and scope(s=one, t={"x": "y"}, condition="s or t") is None
+    assert scope(s=one, condition="not s") is None and scope(s={"Channel|neq": "A"}) is None and scope(s={"Channel": None}) is None
+    assert scope(s=[one, {"x": "y"}]) is None and scope(s=["word"]) is None and scope(s=one, condition="nope") is None
+
+
+def test_matches_by_scope_are_those_of_each_predicate(spark):
+    detections = [
+        {"s": {"Channel": "a", "x": "1"}}, {"s": {"Channel": "A"}}, {"s": {"x": "2"}}, {"s": {"Channel": "b*"}}, {"a": {"Channel": "a"}, "condition": "not a"},
+        {"s": {"Channel": ["a", "bc"]}, "t": {"x": "2"}, "condition": "s and not t"},
+    ]
+    rules = [R.Rule("p", {"detection": d}, str(i), "t") for i, d in enumerate(detections)]
+    rows = [(f"{c}{x}", c, {"x": x}) for c in ("a", "A", "bc", "d", None, "") for x in ("1", "2", None)]
+    df = spark.createDataFrame(rows, "record_id string, channel string, event_data map<string,string>").withColumn("data_array", F.array().cast("array<string>")).withColumn("data_string", F.lit(""))
+    resolve = resolver(df)
+    for chosen in (rules, rules[:2] + rules[3:4] + rules[5:], []):
+        want = sorted((r.record_id, i) for i, rule in enumerate(chosen) for r in df.where(rule.predicate(resolve)).collect())
+        assert sorted((r.record_id, r.rule_no) for r in matches(df, chosen, resolve).collect()) == want
+
+
+def test_present_channels(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "channel string")
+    rules = [R.Rule("p", {"detection": {"s": {"Channel": c}}}, c, "t") for c in ("A", "*z*")]
+    kept, left = for_present_channels(df, rules, resolver(df))
+    assert [r.channel for r in kept.collect()] == ["a"] and [r.rule_id for r in left] == ["A"]
+    kept, left = for_present_channels(df, rules, resolver(df), most=2)
+    assert kept.count() == 3 and len(left) == 2
+    kept, left = for_present_channels(df.limit(0), rules, resolver(df))
+    assert kept.count() == 0 and left == []
+
+
+@pytest.mark.parametrize("op", ["==", ">=", "<", "<="])
+def test_count_rows_hold_the_records_of_their_windows(spark, op):
+    rng = random.Random(op)
+    rows = [(rng.randrange(12), rng.choice("kl"), f"r{i:03}", rng.choice("xyz")) for i in range(120)]
+    df = spark.createDataFrame(rows, "s int, key string, record_id string, computer string")
+    df = df.select(F.timestamp_seconds("s").alias("ts"), F.create_map(F.lit("key"), "key").alias("event_data"), "record_id", "computer", F.lit("c").alias("channel"), F.col("record_id").alias("event_id"), F.lit("f").alias("file"))
+    rule = R.Rule("p", {"detection": {"s": {"Channel": "c"}}}, "i", "t", agg=AggSpec(None, ("key",), op, 7, 1))
+    made = count_rows(df, rule, count_detections(df, rule, resolver(df)), resolver(df)).collect()
+    want = []
+    for key in "kl":
+        mine = sorted((s, r, c) for s, k, r, c in rows if k == key)
+        at = 0
+        while at < len(mine):
+            inside = [m for m in mine[at:] if m[0] <= mine[at][0] + 1]
+            holds = {"==": len(inside) == 7, ">=": len(inside) >= 7, "<": len(inside) < 7, "<=": len(inside) <= 7}[op]
+            if holds:
+                want.append((" ¦ ".join(sorted({m[2] for m in inside})), " ¦ ".join(sorted(m[1] for m in inside)), f"Count:{len(inside)} ¦ by:{key}"))
+            at += len(inside) if holds else 1
+    assert sorted((r.computer, r.event_id, r.details) for r in made) == sorted(want)
+
+
+def test_nested_values(spark):
+    raw = '{"Event":{"System":{"a":1},"EventData":{"x":" q ","Data":["u",null,{"k":true}],"n":{"m":[[1,2],[3]]}}},"xmlns":"z"}'
+    df = spark.createDataFrame([(raw,), ("5",), (None,), ("{}",)], "raw string").select(F.try_parse_json("raw").alias("v"))
+    got = [[tuple(p) for p in r[0]] for r in df.select(text.leaves(F.col("v"))).collect()]
+    assert got == [[("Data[1]", "u"), ("k", "true"), ("m[1]", "1"), ("m[2]", "2"), ("m[1]", "3"), ("x", " q ")], [], [], []]
+    assert [tuple(p) for p in df.select(text.leaves(F.col("v"), 4)).first()[0]][2] == ("m", "[[1,2],[3]]")
+
+
+def test_templates_that_are_data(spark):
+    df = spark.createDataFrame([("A %x% b %Data[2]% %zz%",), ("plain",), (None,), ("",), ("%x%",)], "t string")
+    filled = text.template_of(F.col("t"), F.create_map(F.lit("x"), F.lit("1  2")), F.array(F.lit("d1"), F.lit("d2")))
+    assert [r[0] for r in df.select(filled).collect()] == ["A 1 2 b d2 n/a", "plain", None, "", "1 2"]

@@ -116,6 +116,45 @@ def template(text: str, resolve) -> Column:
     return F.concat(*parts, F.lit(text[at:]))
 
 
+def template_of(text: Column, fields: Column, data: Column) -> Column:
+    """A template that is data itself, filled as `template` fills it: names are keys of `fields`; null stays null."""
+    field = r"%([a-zA-Z0-9_\-\[\]]+)%"
+
+    def value(name: Column) -> Column:
+        nth = F.regexp_extract(name, r"\AData\[(\d+)\]\z", 1).try_cast("int")
+        return F.coalesce(one_line(F.coalesce(F.get(data, nth - 1), F.try_element_at(fields, name))), F.lit("n/a"))
+
+    rest, names = F.split(text, field, -1), F.regexp_extract_all(text, F.lit(field), F.lit(1))
+    return F.array_join(F.zip_with(rest, names, lambda r, n: F.concat(r, F.when(n.isNull(), "").otherwise(value(n)))), "")
+
+
+#: Levels of nested values that become fields of their own; what lies deeper stays JSON text in one.
+DEPTH = 8
+
+
+def leaves(v: Column, depth: int = DEPTH) -> Column:
+    """Array of (name, value) of a variant's scalars, at any level: a scalar has its own key's name, one of an array
+    also its place from 1 (`Name[2]`); nulls, `xmlns` and the system part of an event are left out."""
+    kind = lambda x: F.schema_of_variant(x)
+    one = lambda n, x: F.struct(n.alias("name"), x.alias("value"))
+
+    def members(m: Column) -> Column:
+        name, x = m["name"], m["value"]
+        fields = F.filter(F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")), lambda e: (e["key"] != "xmlns") & ~((e["key"] == "System") & (name == "Event")))
+        place = lambda y, i: F.when(kind(y).rlike(r"\A(OBJECT|ARRAY)"), name).otherwise(F.concat(name, F.lit("["), (i + 1).cast("string"), F.lit("]")))
+        return (
+            F.when(kind(x).startswith("OBJECT"), F.transform(fields, lambda e: one(e["key"], e["value"])))
+            .when(kind(x).startswith("ARRAY"), F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y, i: one(place(y, i), y)))
+            .otherwise(F.array(one(name, x)))
+        )
+
+    found = F.filter(F.array(one(F.lit(""), v)), lambda m: kind(m["value"]).startswith("OBJECT"))
+    for _ in range(depth):
+        found = F.flatten(F.transform(found, members))
+    found = F.filter(found, lambda m: m["value"].isNotNull() & (kind(m["value"]) != "VOID"))
+    return F.array_distinct(F.transform(found, lambda m: one(m["name"], F.coalesce(F.try_variant_get(m["value"], "$", "string"), F.to_json(m["value"])))))
+
+
 def split_details(c: Column) -> Column:
     """Map of a rendered details text: pairs at " ¦ ", names at the first ": "."""
     pairs = F.filter(F.split(c, " ¦ "), lambda x: F.locate(": ", x) > 0)

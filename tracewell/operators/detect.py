@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import micros
+from tracewell.functions.text import all_fields, micros, template_of
 from tracewell.operators.windows import greedy_windows, group_key, temporal
 from tracewell.plans.correlation import resolve as resolve_rules
-from tracewell.plans.leaves import Lists
-from tracewell.plans.rules import Rule
+from tracewell.plans.leaves import Lists, selection
+from tracewell.plans.rules import Rule, for_channels
+from tracewell.plans.scope import Scope, scope_of
 
 #: Columns of records that rules may name directly; other names are looked up in event_data.
 SYSTEM = {"Channel": "channel", "EventID": "event_id", "Computer": "computer", "Provider_Name": "provider", "EventRecordID": "record_id"}
+#: Columns that a rule adds to its detections.
+RULE = ("rule_id", "rule_title", "level", "level_rank", "rule_path", "author", "tags")
+
+
+def fields_of(records: DataFrame) -> Column:
+    """Map of a record's fields: its event data, else its hot columns `f_<name>` that aren't null."""
+    if "event_data" in records.columns:
+        return F.coalesce("event_data", F.create_map().cast("map<string,string>"))
+    hot = [c for c in records.columns if c.startswith("f_")]
+    if not hot:
+        return F.create_map().cast("map<string,string>")
+    whole = F.create_map(*[x for c in hot for x in (F.lit(c[2:]), F.col(c).cast("string"))])
+    return F.map_filter(whole, lambda _, v: v.isNotNull())
 
 
 def resolver(records: DataFrame, aliases: dict[str, str] | None = None) -> Callable[[str], Column]:
@@ -33,15 +48,54 @@ def resolver(records: DataFrame, aliases: dict[str, str] | None = None) -> Calla
     return resolve
 
 
+def _in_scope(scope: Scope, resolve: Callable[[str], Column], lists: Lists | None) -> Column:
+    return selection(sorted(scope.channels), resolve, lists or Lists(), "Channel")
+
+
 def matches(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
-    """records with rule_no (the rule's place) for every plain rule that matches; one pass over the records."""
-    hits = F.array_compact(F.array(*[F.when(r.predicate(resolve, lists), F.lit(i)) for i, r in enumerate(rules)]))
+    """records with rule_no (the rule's place) for every plain rule that matches; one pass over the records.
+
+    Rules of one scope of channels are evaluated together, and only on records of these channels; records of
+    channels that no rule can match leave before."""
+    none = F.array().cast("array<int>")
+    groups: dict[Scope, list[int]] = {}
+    for i, r in enumerate(rules):
+        groups.setdefault(scope_of(r), []).append(i)
+    parts, inside = [], []
+    for scope, members in groups.items():
+        hits = F.array_compact(F.array(*[F.when(rules[i].predicate(resolve, lists), F.lit(i)) for i in members]))
+        if scope.channels is not None:
+            inside.append(_in_scope(scope, resolve, lists))
+            hits = F.when(inside[-1], hits).otherwise(none)
+        parts.append(hits)
+    if parts and len(inside) == len(parts):
+        records = records.where(reduce(Column.__or__, inside))
+    hits = F.concat(*parts) if parts else none
     return records.withColumn("hits", hits).where(F.size("hits") > 0).withColumn("rule_no", F.explode("hits")).drop("hits")
 
 
+def for_present_channels(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None, *, most: int = 10_000) -> tuple[DataFrame, list[Rule]]:
+    """Records and rules of a run, less those that cannot meet: rules that name no channel of the records, and
+    (where every rule left has a scope) channels and so files that no rule can match, by a filter that reaches the scan.
+
+    One pass over the channel column finds the channels, at most `most` of them; with more, nothing is left out."""
+    kinds = records.select("channel").distinct()
+    present = [r[0] for r in kinds.limit(most + 1).collect()]
+    if len(present) > most:
+        return records, rules
+    kept = for_channels(rules, {c for c in present if c is not None})
+    scopes = [scope_of(r) for r in kept]
+    if not kept or any(s.channels is None for s in scopes):  # correlation rules have none either
+        return records, kept
+    inside = reduce(Column.__or__, [_in_scope(s, resolve, lists) for s in sorted(set(scopes), key=lambda s: sorted(s.channels))])
+    hit = [r[0] for r in kinds.where(inside).collect()]
+    return records.where(F.col("channel").isin(hit)), kept
+
+
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
-    rows = [(i, r.rule_id, r.title, r.level, r.rank, r.path, r.author, ",".join(r.tags)) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "rule_no int, rule_id string, rule_title string, level string, level_rank int, rule_path string, author string, tags string")
+    rows = [(i, r.rule_id, r.title, r.level, r.rank, r.path, r.author, ",".join(r.tags), r.details) for i, r in enumerate(rules)]
+    names = "rule_id string, rule_title string, level string, level_rank int, rule_path string, author string, tags string"
+    return spark.createDataFrame(rows, f"rule_no int, {names}, rule_details string")
 
 
 def detections(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
@@ -51,13 +105,89 @@ def detections(records: DataFrame, rules: list[Rule], resolve: Callable[[str], C
     return found.join(F.broadcast(rule_table(records.sparkSession, plain)), "rule_no").drop("rule_no")  # one row a rule
 
 
-def count_detections(records: DataFrame, rule: Rule, resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
-    """Windows of a count rule: agg_key, win_start and win_end (microseconds), n_rows, win_count."""
+#: Time of counted records that have none.
+NO_TIME = 220_924_800_000_000
+
+
+def _counted(records: DataFrame, rule: Rule, resolve: Callable[[str], Column], lists: Lists | None, *more: str) -> DataFrame:
+    """Matching records as agg_key, t (microseconds), file, record_id, counted (where a field is) and more columns."""
     spec = rule.agg
     hit = records.where(rule.predicate(resolve, lists))
-    keyed = hit.select(F.coalesce(micros(F.col("ts")), F.lit(220_924_800_000_000)).alias("t"), *[resolve(c).alias(f"by_{i}") for i, c in enumerate(spec.by)], *([resolve(spec.field).alias("counted")] if spec.field else []), "file", "record_id")
-    keyed = group_key(keyed, [f"by_{i}" for i in range(len(spec.by))])
-    return greedy_windows(keyed, ["agg_key"], "t", spec, value="counted" if spec.field else None, ties=["file", "record_id"])
+    by = [resolve(c).alias(f"by_{i}") for i, c in enumerate(spec.by)]
+    field = [resolve(spec.field).alias("counted")] if spec.field else []
+    keyed = hit.select(F.coalesce(micros(F.col("ts")), F.lit(NO_TIME)).alias("t"), *by, *field, "file", "record_id", *more)
+    return group_key(keyed, [f"by_{i}" for i in range(len(spec.by))])
+
+
+def count_detections(records: DataFrame, rule: Rule, resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
+    """Windows of a count rule: agg_key, win_start and win_end (microseconds), n_rows, win_count."""
+    keyed = _counted(records, rule, resolve, lists)
+    return greedy_windows(keyed, ["agg_key"], "t", rule.agg, value="counted" if rule.agg.field else None, ties=["file", "record_id"])
+
+
+def count_rows(records: DataFrame, rule: Rule, windows: DataFrame, resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
+    """Timeline rows of a count rule's windows, at their first record's time: computer, channel, event_id and file
+    hold the distinct values of the window's records, sorted and joined; record_id is empty, provider a dash.
+
+    Windows of a key start more than a frame apart, so in a bucket of the frame's width a record meets two at
+    most, and a frequent key is split by its buckets."""
+    spec, names = rule.agg, ["computer", "channel", "event_id"]
+    rows, met = _counted(records, rule, resolve, lists, *names), windows
+    on = ["agg_key"]
+    if spec.frame is not None:
+        width = max(1, spec.frame * 1_000_000)
+        bucket = lambda c: F.floor(F.col(c) / width)
+        rows = rows.withColumn("b", bucket("t"))
+        met = met.withColumn("b", F.explode(F.array_distinct(F.array(bucket("win_start"), bucket("win_end")))))
+        on = ["agg_key", "b"]
+    held = rows.join(met, on).where("t between win_start and win_end")
+    if spec.op in ("==", "<", "<="):  # a window may begin behind rows of the same time that were passed over
+        last = Window.partitionBy("agg_key", "win_start").orderBy(F.col("t").desc(), F.col("file").desc(), F.col("record_id").desc())
+        held = held.withColumn("nth", F.row_number().over(last)).where("nth <= n_rows")
+    joined = [F.array_join(F.array_sort(F.collect_set(c)), " ¦ ").alias(c) for c in (*names, "file")]
+    values = [F.collect_set(F.coalesce("counted", F.lit(""))).alias("counted")] if spec.field else []
+    made = held.groupBy("agg_key", "win_start", "win_count").agg(*joined, *values)
+    text = count_text(F.col("win_count"), F.col("agg_key"), spec.field, F.col("counted") if spec.field else None, bool(spec.by))
+    return made.select(F.timestamp_micros("win_start").alias("ts"), *names, "file", F.lit("").alias("record_id"), F.lit("-").alias("provider"), text.alias("details"))
+
+
+#: Columns of a timeline row, ahead of its rule's.
+ROW = ("ts", "computer", "channel", "event_id", "file", "record_id", "provider", "details")
+
+
+def timeline_rows(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None, templates: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Every row of a timeline: plain detections with their details, windows of count rules, first blocks of temporal
+    rules; and errors of rules that can't run. Plain rows without a time are set to 1970-01-01."""
+    spark = records.sparkSession
+    done, timed, errors = resolve_rules(rules)
+    found = with_details(detections(records, done, resolve, lists), templates)
+    found = found.withColumn("ts", F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_micros(F.lit(0))))
+    parts = [found.select(*ROW, *RULE)]
+
+    def add(of: Rule, rule: Rule, windows: DataFrame) -> None:
+        parts.append(count_rows(records, rule, windows, resolve, lists).join(F.broadcast(rule_table(spark, [of])).drop("rule_no", "rule_details")).select(*ROW, *RULE))  # one row
+
+    for r in done:
+        if r.agg and r.generate:
+            add(r, r, count_detections(records, r, resolve, lists))
+    for rule, blocks, frame, ordered in timed:
+        if len(blocks) > 1:
+            made = [count_detections(records, b, resolve, lists) for b in blocks]
+            add(rule, blocks[0], temporal(made, "agg_key", frame, ordered=ordered))
+    return reduce(DataFrame.unionByName, parts), errors
+
+
+def with_details(found: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    """details of detections: the rule's template, else the one of `<provider>_<event id>`, else all fields."""
+    fields = fields_of(found)
+    known = F.map_concat(F.map_from_arrays(F.array(*map(F.lit, SYSTEM)), F.array(*[F.col(c) for c in SYSTEM.values()])), F.map_filter(fields, lambda k, _: ~k.isin(*SYSTEM)))
+    text = F.col("rule_details")
+    if templates:
+        table = found.sparkSession.createDataFrame(list(templates.items()), "template_of string, template string")
+        found = found.join(F.broadcast(table), F.concat_ws("_", "provider", "event_id") == F.col("template_of"), "left")  # a file's rows
+        text = F.coalesce(text, "template")
+    data = F.col("data_array") if "data_array" in found.columns else F.array().cast("array<string>")
+    return found.withColumn("details", F.coalesce(template_of(text, known, data), all_fields(fields))).drop("template_of", "template")
 
 
 def correlate(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None) -> tuple[DataFrame | None, list[str]]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import enrich, payload, text
 from tracewell.operators import filters, reports, timeline
-from tracewell.operators.detect import correlate, count_detections, count_text, detections, matches, resolver
+from tracewell.operators.detect import correlate, count_detections, count_text, detections, for_present_channels, matches, resolver, timeline_rows, with_details
 from tracewell.plans.leaves import Lists
 from tracewell.plans.rules import Rule, filter_rules, parse_rules, rule_of
 from tracewell.sources import sinks
@@ -301,6 +301,134 @@ _simple("k2_json_rows", _over_found(lambda d: sinks.json_text(d.select("record_i
 _simple("a8_count_text", lambda s, d: (lambda r: count_detections(r, rule({"s": {"Channel": "error"}, "condition": "s | count() by user_id >= 3", "timeframe": "6h"}), resolver(r)).select("agg_key", "win_start", count_text(F.col("win_count"), F.col("agg_key")).alias("details")))(from_events(s, d)), "SELECT agg_key, epoch_us(win_start) AS win_start, 'Count:' || win_count || ' ¦ by:' || agg_key AS details FROM (" + greedy_sql("channel = 'error'", "f_user_id", 21600, ">= 3") + ") x")
 
 
+#: A count rule and a rule of a channel that no record has, beside RULES.
+COUNT_RULE = """
+title: Busy
+id: k1
+author: Ann
+level: high
+status: stable
+date: 2024-01-01
+logsource: {}
+detection: {s: {Channel: [error, click]}, condition: s | count() by user_id >= 3, timeframe: 6h}
+"""
+NOWHERE = """
+title: Nowhere
+id: r4
+author: Ann
+level: high
+status: stable
+date: 2024-01-01
+logsource: {}
+detection: {s: {Channel: nowhere}, n: {EventID: 3}, condition: s or (s and not n)}
+"""
+_ROWS = ["ts", "computer", "channel", "event_id", "file", "record_id", "provider", "details", "rule_id", "level"]
+
+
+def _timeline(yaml_text: str, only: list[str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = from_events(spark, sf_dir)
+        made, _ = timeline_rows(r, parse_rules(yaml_text, "inline"), resolver(r))
+        return made.where(F.col("rule_id").isin(only)).select(F.col("ts").cast("timestamp_ntz").alias("ts"), *_ROWS[1:])
+
+    return run
+
+
+def _window_rows_sql(windows: str, where: str, rule_id: str, level: str) -> str:
+    """Timeline rows of windows over user ids: distinct values of their records, joined."""
+    joined = ", ".join(f"string_agg(DISTINCT {c}, ' ¦ ' ORDER BY {c}) AS {c}" for c in ("computer", "channel", "event_id", "file"))
+    return f"""SELECT win_start AS ts, computer, channel, event_id, file, '' AS record_id, '-' AS provider,
+  'Count:' || win_count || ' ¦ by:' || agg_key AS details, '{rule_id}' AS rule_id, '{level}' AS level
+FROM (
+  WITH {EVENTS} SELECT w.agg_key, w.win_start, w.win_count, {joined} FROM ({windows}) w
+  JOIN rec ON f_user_id = w.agg_key AND rec.ts BETWEEN w.win_start AND w.win_end AND ({where}) GROUP BY 1, 2, 3
+) joined"""
+
+
+_BUSY = "channel IN ('error', 'click')"
+_DETAILS = """CASE rule_id WHEN 'r1' THEN 'User: ' || f_user_id || ' ¦ Owner: ' || coalesce(f_owner, 'n/a')
+  ELSE 'k: ' || f_k || coalesce(' ¦ owner: ' || f_owner, '') || ' ¦ user_id: ' || f_user_id END"""
+
+
+def _slim(r: DataFrame) -> DataFrame:
+    """Event records with fewer fields, so that SQL can spell all of them."""
+    return r.drop("f_value", "f_ip", "f_login")
+
+
+def _with_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _slim(from_events(spark, sf_dir))
+    found = with_details(_found(r), {"view_3": "Seen by %user_id% at %Computer%, %Data[2]%"})
+    return found.select("record_id", "rule_id", "details")
+
+
+def _present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = from_events(spark, sf_dir)
+    first, _, third = RULES.split("---")
+    kept, rules = for_present_channels(r, parse_rules("---".join((first, third, NOWHERE)), "inline"), resolver(r))
+    by_channel = kept.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+    return by_channel.withColumn("rules", F.lit(",".join(x.rule_id for x in rules)))
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = from_events(spark, sf_dir)
+    shape = F.struct(
+        F.struct(F.struct("computer").alias("System"), F.struct("f_k", F.array("f_user_id", "f_owner").alias("Data")).alias("EventData")).alias("Event"),
+        F.col("f_ip").alias("xmlns"),
+    )
+    pairs = F.transform(text.leaves(F.to_variant_object(shape)), lambda p: F.concat(p["name"], F.lit("="), p["value"]))
+    return r.select("record_id", F.array_join(F.array_sort(pairs), ";").alias("fields"))
+
+
+_simple("a9_count_rows", _timeline(COUNT_RULE, ["k1"]), _window_rows_sql(greedy_sql(_BUSY, "f_user_id", 21600, ">= 3"), _BUSY, "k1", "high"))
+_simple(
+    "a9_count_rows_equal",
+    _timeline(COUNT_RULE.replace(">= 3", "== 2"), ["k1"]),
+    _window_rows_sql(greedy_sql(_BUSY, "f_user_id", 21600, "= 2"), _BUSY, "k1", "high"),
+)
+_simple(
+    "t4_temporal_rows",
+    _timeline(TEMPORAL, ["c"]),
+    _window_rows_sql(
+        f"""SELECT * FROM ({greedy_sql("channel = 'error'", "f_user_id", 3600, ">= 1")}) a WHERE EXISTS (
+  SELECT 1 FROM ({greedy_sql("channel = 'click'", "f_user_id", 3600, ">= 1")}) b
+  WHERE b.agg_key = a.agg_key AND abs(epoch_us(b.win_start) - epoch_us(a.win_start)) <= 3600000000)""",
+        "channel = 'error'", "c", "high",
+    ),
+)
+_simple(
+    "o1_whole_timeline",
+    lambda s, d: _timeline("---".join((RULES, COUNT_RULE)), ["r1", "k1"])(s, d).select("ts", "computer", "channel", "event_id", "record_id", "details", "rule_id"),
+    _WITH + f"""SELECT ts, computer, channel, event_id, record_id, 'User: ' || f_user_id || ' ¦ Owner: ' || coalesce(f_owner, 'n/a') AS details, rule_id
+FROM found WHERE rule_id = 'r1'
+UNION ALL SELECT ts, computer, channel, event_id, record_id, details, rule_id
+FROM ({_window_rows_sql(greedy_sql(_BUSY, "f_user_id", 21600, ">= 3"), _BUSY, "k1", "high")}) k""",
+)
+_simple(
+    "e1_details_precedence",
+    _with_details,
+    _WITH + f"""SELECT record_id, rule_id, CASE WHEN rule_id <> 'r1' AND channel = 'view' AND event_id = '3'
+  THEN 'Seen by ' || f_user_id || ' at ' || computer || ', ' || f_k ELSE {_DETAILS} END AS details
+FROM (SELECT found.*, rec.f_k FROM found JOIN rec USING (record_id)) found""",
+)
+_simple(
+    "f8_present_channels",
+    _present,
+    f"WITH {EVENTS} SELECT channel, count(*) AS n, 'r1,r3' AS rules FROM rec WHERE channel IN ('error', 'signup', 'purchase') GROUP BY channel",
+)
+_simple(
+    "e3_nested_fields",
+    _nested,
+    f"WITH {EVENTS} SELECT record_id, concat_ws(';', 'Data[1]=' || f_user_id, 'Data[2]=' || f_owner, 'f_k=' || f_k) AS fields FROM rec",
+)
+_simple(
+    "e6_all_time_formats",
+    _over_events(lambda r: r.select("record_id", *[text.format_time(F.col("ts"), k).alias(k.replace("-", "_")) for k in ("rfc-2822", "rfc-3339", "us-time", "us-military-time", "european-time")])),
+    f"""WITH {EVENTS} SELECT record_id, strftime(ts, '%a, %-d %b %Y %H:%M:%S +0000') AS rfc_2822, strftime(ts, '%Y-%m-%d %H:%M:%S.%f+00:00') AS rfc_3339,
+  strftime(ts, '%m-%d-%Y %I:%M:%S.%g %p +00:00') AS us_time, strftime(ts, '%m-%d-%Y %H:%M:%S.%g +00:00') AS us_military_time,
+  strftime(ts, '%d-%m-%Y %H:%M:%S.%g +00:00') AS european_time FROM rec""",
+)
+
+
 def queries() -> dict[str, Query]:
     return {k: run for k, (run, _) in _ALL.items()}
 

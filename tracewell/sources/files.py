@@ -1,6 +1,7 @@
 """Log files as records: JSON lines, JSON arrays, concatenated objects and search-product exports.
 
-Records are parsed as variants once; system fields come out as columns, scalar event data as a map of strings.
+Records are parsed as variants once; system fields come out as columns, event data as a map of strings: nested
+values too, by their own names, the n-th of an array as `Name[n]`.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import strip
+from tracewell.functions.text import leaves, strip
 
 JSON_EXTENSIONS = ("json", "jsonl")
 
@@ -57,11 +58,17 @@ def records(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("v", inner)
     got = lambda *names: F.coalesce(*[F.try_variant_get("v", f"$['{n}']", "string") for n in names])
     values = F.try_variant_get("v", "$", "map<string,variant>")
-    scalars = F.map_filter(F.transform_values(values, lambda k, x: scalar(x)), lambda k, x: x.isNotNull())
+    scalars = F.coalesce(F.map_filter(F.transform_values(values, lambda k, x: scalar(x)), lambda k, x: x.isNotNull()), F.create_map().cast("map<string,string>"))
+    rows = rows.withColumns({"top": scalars, "nested": F.filter(leaves(F.col("v")), lambda p: p["value"].isNotNull())})
+    # names of nested values that no scalar of the record itself has; of equal names the first counts
+    rows = rows.withColumn("nested", F.filter("nested", lambda p: ~F.map_contains_key("top", p["name"])))
+    names = F.transform("nested", lambda p: p["name"])
+    first = F.filter("nested", lambda p, i: F.array_position(names, p["name"]) == i + 1)
+    fields = F.map_concat("top", F.map_from_entries(F.transform(first, lambda p: F.struct(p["name"], strip(p["value"])))))
     raw_time = got("@timestamp", "_time", "SystemTime")
     return rows.select(
         "file", F.try_to_timestamp(raw_time).alias("ts"), got("Channel").alias("channel"), got("EventID").alias("event_id"), got("Computer", "Hostname").alias("computer"),
-        got("SourceName", "Name").alias("provider"), got("EventRecordID", "RecordNumber").alias("record_id"), scalars.alias("event_data"),
+        got("SourceName", "Name").alias("provider"), got("EventRecordID", "RecordNumber").alias("record_id"), fields.alias("event_data"),
         F.coalesce(F.try_variant_get("v", "$.Data", "array<string>"), F.array().cast("array<string>")).alias("data_array"), F.to_json("v").alias("data_string"), F.lit(False).alias("recovered"),
     )
 
