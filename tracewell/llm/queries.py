@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, chat_tools, hnsw, lsm_dedup, mixing, ngram_join, quality_gam, secret_scan, sharding, toxicity
+from tracewell.llm import bpe, chat_tools, divergence, fingerprints, hnsw, lsm_dedup, mixing, ngram_join, quality_gam, secret_scan, sharding, toxicity, whitening
 
 
 #: Bytes of a shard: little enough that the small tables split as well.
@@ -57,8 +57,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_toxicity_ordinal, op3_ngram_jaccard, op4_chat_tools, op5_mixing_sources, op6_secret_scan, op7_extendible_sharding, op8_hnsw_embeddings, op9_exact_dedup, op10_byte_bpe)}
+    ones = (op1_quality_gam, op2_toxicity_ordinal, op3_ngram_jaccard, op4_chat_tools, op5_mixing_sources, op6_secret_scan, op7_extendible_sharding, op8_hnsw_embeddings)
+    return {f.__name__: f for f in (*ones, op9_exact_dedup, op10_byte_bpe, op11_embedding_whitening, op12_document_fingerprints, op13_source_divergence)}
 
 
 OP9_SQL = r"""
@@ -108,6 +121,33 @@ SELECT doc_id, bytes, CASE WHEN bits = 0 THEN '' ELSE right(lpad(bin(prefix), 60
 FROM level WHERE shard_bytes <= 1048576 OR bits = 60
 """
 
+#: Every group against every kept term of its language, without the sparse form.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), t AS (SELECT doc, lang, source, unnest(terms) AS item FROM d),
+kept AS (SELECT lang, item, count(*)::HUGEINT AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(lang_n)::HUGEINT AS total FROM kept GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, item, count(*)::HUGEINT AS n FROM t GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.item, coalesce(c.n, 0)::HUGEINT AS n, k.lang_n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, item)),
+shares AS (
+  SELECT lang, source, item, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 5 * v) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 5)) // (total + 5 * v) AS q
+  FROM dense JOIN langs USING (lang)
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, (p - q)::BIGINT, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, item) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_tools": OP4_SQL, "op7_extendible_sharding": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_chat_tools": OP4_SQL, "op7_extendible_sharding": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op13_source_divergence": OP13_SQL}
