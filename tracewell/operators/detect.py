@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import all_fields, micros, template_of
 from tracewell.operators.windows import greedy_windows, group_key, temporal
 from tracewell.plans.correlation import resolve as resolve_rules
+from tracewell.plans.index import Index
 from tracewell.plans.leaves import Lists, selection
 from tracewell.plans.rules import Rule, for_channels
 from tracewell.plans.scope import Scope, scope_of
@@ -48,30 +49,28 @@ def resolver(records: DataFrame, aliases: dict[str, str] | None = None) -> Calla
     return resolve
 
 
+def once(c: Column) -> Column:
+    """c, evaluated once a row: the optimizer copies no expression that depends on chance into filters and projections."""
+    return F.when(F.rand(0) + 1 > 0, c)  # a bare rand() would be folded away
+
+
 def _in_scope(scope: Scope, resolve: Callable[[str], Column], lists: Lists | None) -> Column:
     return selection(sorted(scope.channels), resolve, lists or Lists(), "Channel")
 
 
 def matches(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
-    """records with rule_no (the rule's place) for every plain rule that matches; one pass over the records.
-
-    Rules of one scope of channels are evaluated together, and only on records of these channels; records of
-    channels that no rule can match leave before."""
-    none = F.array().cast("array<int>")
-    groups: dict[Scope, list[int]] = {}
-    for i, r in enumerate(rules):
-        groups.setdefault(scope_of(r), []).append(i)
-    parts, inside = [], []
-    for scope, members in groups.items():
-        hits = F.array_compact(F.array(*[F.when(rules[i].predicate(resolve, lists), F.lit(i)) for i in members]))
-        if scope.channels is not None:
-            inside.append(_in_scope(scope, resolve, lists))
-            hits = F.when(inside[-1], hits).otherwise(none)
-        parts.append(hits)
-    if parts and len(inside) == len(parts):
-        records = records.where(reduce(Column.__or__, inside))
-    hits = F.concat(*parts) if parts else none
-    return records.withColumn("hits", hits).where(F.size("hits") > 0).withColumn("rule_no", F.explode("hits")).drop("hits")
+    """records with rule_no (the rule's place) for every plain rule that matches; one pass over the records, in which
+    each distinct leaf of all rules is evaluated once (tracewell.plans.index). Records of channels that no rule can match
+    leave before."""
+    if not rules:
+        return records.withColumn("rule_no", F.lit(0)).limit(0)
+    scopes = {scope_of(r) for r in rules}
+    if all(s.channels is not None for s in scopes):
+        records = records.where(_in_scope(reduce(Scope.__or__, scopes), resolve, lists))
+    index = Index(rules, resolve, lists)
+    seen = records.withColumn("true_leaves", once(index.true_leaves()))
+    hits = seen.withColumn("hits", once(index.matching(F.col("true_leaves"))))
+    return hits.withColumn("rule_no", F.explode("hits")).drop("hits", "true_leaves")
 
 
 def for_present_channels(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None, *, most: int = 10_000) -> tuple[DataFrame, list[Rule]]:

@@ -74,22 +74,34 @@ def _literal(pieces) -> str | None:
     return _plain("".join(v for _, v in pieces)) if all(k == "lit" for k, _ in pieces) else None
 
 
-def wildcard(c: Column, pattern: str) -> Column:
-    """Whole-value match, case ignored; simple shapes avoid the regular expression."""
+def wildcard_shape(pattern: str) -> tuple[str, str] | None:
+    """(kind, text) of a pattern that needs no regular expression; the whole value is compared, case ignored."""
     pieces = _pieces(pattern)
-    ascii_only = pattern.isascii()
-    body = pieces[1 if pieces[:1] == [("*", "")] else 0 : -1 if len(pieces) > 1 and pieces[-1] == ("*", "") else None]
-    literal = _literal(body)
     lead, tail = pieces[:1] == [("*", "")], len(pieces) > 1 and pieces[-1] == ("*", "")
-    if literal is not None and not lead and not tail:
-        return ascii_lower(c) == ascii_fold(literal)
-    if literal is not None and ascii_only and literal:
-        if lead and tail:
-            return F.lower(c).contains(literal.lower())
-        if tail:
-            return ascii_lower(c).startswith(ascii_fold(literal))
-        return ascii_lower(c).endswith(ascii_fold(literal))
-    return c.rlike(rf"(?iu)\A(?:{wildcard_regex(pattern)})\z")
+    literal = _literal(pieces[1 if lead else 0 : -1 if tail else None])
+    if literal is None or ((lead or tail) and not (literal and pattern.isascii())):
+        return None
+    if not lead and not tail:
+        return "equals", ascii_fold(literal)
+    return ("contains", literal.lower()) if lead and tail else ("prefix" if tail else "suffix", ascii_fold(literal))
+
+
+#: How each kind of shape tests a column against its text.
+SHAPES: dict[str, Callable[[Column, Column], Column]] = {
+    "equals": lambda c, x: ascii_lower(c) == x,
+    "contains": lambda c, x: F.lower(c).contains(x),
+    "prefix": lambda c, x: ascii_lower(c).startswith(x),
+    "suffix": lambda c, x: ascii_lower(c).endswith(x),
+    "contains_cased": lambda c, x: c.contains(x),
+    "prefix_cased": lambda c, x: c.startswith(x),
+    "suffix_cased": lambda c, x: c.endswith(x),
+}
+
+
+def wildcard(c: Column, pattern: str) -> Column:
+    """Whole-value match, case ignored; simple shapes avoid the regular expression."""
+    shape = wildcard_shape(pattern)
+    return SHAPES[shape[0]](c, F.lit(shape[1])) if shape else c.rlike(rf"(?iu)\A(?:{wildcard_regex(pattern)})\z")
 
 
 def ascii_fold(text: str) -> str:
@@ -146,20 +158,51 @@ def cidr(c: Column, block: str) -> Column:
     return (F.length(bits) == 128) & bits.startswith(want)
 
 
-def value_leaf(key: str, value, resolve: Resolve) -> Column:
-    """One field and one scalar value."""
+def _modifiers(key: str) -> tuple[str, list[str], bool]:
+    """Field, modifiers and whether the leaf is negated."""
     name, *mods = key.split("|")
     for m in mods:
         if m not in MODIFIERS:
             raise RuleError(f"unknown modifier {m} in {key}")
-    negate = "neq" in mods
-    if negate and not name:
+    if "neq" in mods and not name:
         raise RuleError(f"neq needs a field: {key}")
-    mods = [m for m in mods if m not in ("neq", "expand")]
+    return name, [m for m in mods if m not in ("neq", "expand")], "neq" in mods
+
+
+def shape_of(key: str, value) -> tuple[str, str, str] | None:
+    """(kind, field, text) of a leaf (its negation left aside) that compares one field with one text natively."""
+    name, mods, _ = _modifiers(key)
+    text = text_of(value)
+    if not name or value is None or isinstance(value, dict | list) or "re" in mods or (mods and mods[0] in _FIRST_ONLY):
+        return None
+    if name == "EventID" and not mods and isinstance(value, int) and not isinstance(value, bool):
+        return "equals", name, text
+    cased = "_cased" if "cased" in mods else ""
+    literal = _literal(_pieces(text))
+    if "contains" in mods:
+        if literal is None or {"base64", "base64offset", "windash"} & set(mods):
+            return None
+        return f"contains{cased}", name, literal if cased else literal.lower()
+    for how, kind in (("startswith", "prefix"), ("endswith", "suffix")):
+        if how in mods:
+            if literal is not None and cased:
+                return f"{kind}_cased", name, literal
+            if literal is not None and text.isascii():
+                return kind, name, ascii_fold(literal)
+            text = text + "*" if how == "startswith" else "*" + text
+            break
+    shape = wildcard_shape(text)  # cased alone, and encodings without contains, change nothing
+    return (shape[0], name, shape[1]) if shape else None
+
+
+def value_leaf(key: str, value, resolve: Resolve) -> Column:
+    """One field and one scalar value."""
+    name, mods, negate = _modifiers(key)
     if value is None:
         absent = resolve(key).isNull() if name else F.lit(False)
         return ~sure(absent) if negate else sure(absent)
-    p = sure(_positive(name, mods, value, resolve))
+    shape = shape_of(key, value)
+    p = sure(SHAPES[shape[0]](resolve(name), F.lit(shape[2])) if shape else _positive(name, mods, value, resolve))
     return ~p if negate else p
 
 
@@ -189,8 +232,6 @@ def _positive(name: str, mods: list[str], value, resolve: Resolve) -> Column:
         return getattr(number, _NUMBERS[first])(F.lit(int(text)).cast("decimal(20,0)"))
     if "re" in mods:
         return c.rlike(java_regex(text, "".join(f for f in "ims" if f in mods)))
-    if name == "EventID" and not mods and isinstance(value, int) and not isinstance(value, bool):
-        return F.coalesce(c, F.lit("")) == text
     if "contains" in mods:
         if "base64offset" in mods:
             return _any([c.contains(n) for n in _needles(text, mods)])
@@ -200,19 +241,9 @@ def _positive(name: str, mods: list[str], value, resolve: Resolve) -> Column:
             seen = F.lower(F.regexp_replace(c, rf"(?s)\A([^{DASHES}]*)[{DASHES}]", "$1/"))
             slashed = re.sub(f"[{DASHES}]", "/", text, count=1)
             return F.lower(c).contains(text.lower()) | seen.contains(text.lower()) | seen.contains(slashed.lower())
-        literal = _literal(_pieces(text))
-        if literal is None:
-            return c.rlike(rf"{'' if 'cased' in mods else '(?iu)'}{wildcard_regex(text)}")
-        return c.contains(literal) if "cased" in mods else F.lower(c).contains(literal.lower())
-    for how in ("startswith", "endswith"):
-        if how in mods:
-            literal = _literal(_pieces(text))
-            if literal is not None and "cased" in mods:
-                return getattr(c, how)(literal)
-            if literal is not None and text.isascii():
-                return getattr(ascii_lower(c), how)(ascii_fold(literal))
-            return wildcard(c, text + "*" if how == "startswith" else "*" + text)
-    return wildcard(c, text)  # cased alone, and encodings without contains, change nothing
+        return c.rlike(rf"{'' if 'cased' in mods else '(?iu)'}{wildcard_regex(text)}")
+    ends = next((m for m in mods if m in ("startswith", "endswith")), None)
+    return wildcard(c, text + "*" if ends == "startswith" else "*" + text if ends else text)
 
 
 def _any(parts: list[Column]) -> Column:
@@ -243,31 +274,55 @@ def nested_leaf(key: str, spec: dict, resolve: Resolve, lists: Lists) -> Column:
     return out
 
 
+class Columns:
+    """Leaves as Columns."""
+
+    def __init__(self, resolve: Resolve, lists: Lists):
+        self.resolve, self.lists = resolve, lists
+
+    def nested(self, key: str, spec: dict) -> Column:
+        return nested_leaf(key, spec, self.resolve, self.lists)
+
+    def value(self, key: str, value) -> Column:
+        name, *mods = key.split("|")
+        if name in ("Data", "EventData") and value is not None:
+            plain = "|".join([m for m in mods if m != "neq"])
+            of = lambda n: f"{n}|{plain}" if plain else n
+            hit = sure(F.exists(F.col("data_array"), lambda x: value_leaf(of("Data"), value, lambda _: x))) | value_leaf(of(name), value, self.resolve)
+            return ~hit if "neq" in mods else hit
+        return value_leaf(key, value, self.resolve)
+
+    def values(self, key: str, values: list) -> Column | None:
+        """All values of a list at once, if that differs from one by one."""
+        return None
+
+
 def selection(node, resolve: Resolve, lists: Lists, key: str = "") -> Column:
-    """A selection: maps are AND, lists OR; `|all` makes a list AND, and neq turns both around."""
+    return combine(node, Columns(resolve, lists), key)
+
+
+def combine(node, leaves, key: str = ""):
+    """A selection from its leaves: maps are AND, lists OR; `|all` makes a list AND, and neq turns both around."""
     if isinstance(node, dict):
         if key:
-            return nested_leaf(key, node, resolve, lists)
-        parts = [selection(v, resolve, lists, str(k)) for k, v in node.items()]
+            return leaves.nested(key, node)
+        parts = [combine(v, leaves, str(k)) for k, v in node.items()]
         if not parts:
             raise RuleError("empty selection")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p
-        return out
-    if isinstance(node, list):
+        both = True
+    elif isinstance(node, list):
         if not node:
             raise RuleError(f"empty list {key}")
-        both = "|all" in key
-        if "neq" in key.split("|"):
-            both = not both
-        parts = [selection(v, resolve, lists, key) for v in node]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if both else out | p
-        return out
-    if key.split("|")[0] in ("Data", "EventData") and node is not None:
-        inside = lambda x: value_leaf("|".join(["Data", *[m for m in key.split("|")[1:] if m != "neq"]]), node, lambda _: x)
-        hit = sure(F.exists(F.col("data_array"), inside)) | value_leaf("|".join([key.split("|")[0], *[m for m in key.split("|")[1:] if m != "neq"]]), node, resolve)
-        return ~hit if "neq" in key.split("|") else hit
-    return value_leaf(key, node, resolve)
+        negated = "neq" in key.split("|")
+        both = ("|all" in key) != negated
+        if both == negated:  # any of them, or none of them
+            whole = leaves.values(key, node)
+            if whole is not None:
+                return whole
+        parts = [combine(v, leaves, key) for v in node]
+    else:
+        return leaves.value(key, node)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p if both else out | p
+    return out

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from tracewell.plans.aggregation import AggSpec, parse_count
 from tracewell.plans.condition import compile_condition
 from tracewell.plans.errors import RuleError
-from tracewell.plans.leaves import Lists, Resolve, selection
+from tracewell.plans.leaves import Columns, Lists, Resolve, combine
 
 LEVELS = ("undefined", "informational", "low", "medium", "high", "critical", "emergency")
 STATUSES = ("stable", "test", "experimental", "deprecated", "unsupported")
@@ -58,14 +58,17 @@ class Rule:
 
     def predicate(self, resolve: Resolve, lists: Lists | None = None) -> Column:
         """Whether a record matches; of a merged rule, whether it matches one of those it refers to."""
+        return self.build(Columns(resolve, lists or Lists()))
+
+    def build(self, leaves):
+        """The rule's condition over its selections, made of whatever `leaves` makes of theirs."""
         if self.refs:
-            parts = [r.predicate(resolve, lists) for r in self.refs]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out | p
+            out = self.refs[0].build(leaves)
+            for r in self.refs[1:]:
+                out = out | r.build(leaves)
             return out
         detection = self.raw["detection"]
-        named = {k: selection(v, resolve, lists or Lists()) for k, v in detection.items() if k not in RESERVED}
+        named = {k: combine(v, leaves) for k, v in detection.items() if k not in RESERVED}
         condition = detection.get("condition")
         if condition is None:
             if len(named) != 1:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from tracewell.plans.condition import compile_condition
 from tracewell.plans.errors import RuleError
-from tracewell.plans.leaves import text_of
+from tracewell.plans.leaves import shape_of, text_of
 from tracewell.plans.rules import RESERVED, Rule
 
 
@@ -46,6 +46,45 @@ def _selected(node) -> Scope:
     return Scope()
 
 
+@dataclass(frozen=True)
+class Homes:
+    """Pairs of channel and event id (folded; None: any), one of which a record has wherever the predicate holds."""
+
+    pairs: frozenset = frozenset({(None, None)})
+
+    def __and__(self, other: Homes) -> Homes:
+        if len(self.pairs) * len(other.pairs) > 64:
+            return min((x for x in (self, other)), key=lambda x: ((None, None) in x.pairs, len(x.pairs)))
+        return Homes(frozenset((a if a is not None else c, b if b is not None else d) for a, b in self.pairs for c, d in other.pairs))
+
+    def __or__(self, other: Homes) -> Homes:
+        return Homes(self.pairs | other.pairs)
+
+    def __invert__(self) -> Homes:
+        return Homes()
+
+
+class _HomesOf:
+    """Leaves as Homes."""
+
+    def nested(self, key: str, spec: dict) -> Homes:
+        return Homes()
+
+    def value(self, key: str, value) -> Homes:
+        return self.values(key, [value])
+
+    def values(self, key: str, values: list) -> Homes:
+        shapes = [shape_of(key, v) for v in values]
+        if key not in ("Channel", "EventID") or any(s is None or s[0] != "equals" for s in shapes):
+            return Homes()
+        return Homes(frozenset((s[2], None) if key == "Channel" else (None, s[2]) for s in shapes))
+
+
+def homes_of(rule: Rule) -> set[tuple[str | None, str | None]]:
+    """Where a rule can match, by channel and event id."""
+    return set(rule.build(_HomesOf()).pairs)
+
+
 def scope_of(rule: Rule) -> Scope:
     """The rule's scope; of a merged rule that of all it refers to. A rule that doesn't compile has none, so that
     compiling it reports the error."""

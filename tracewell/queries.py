@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import enrich, payload, text
+from tracewell.many_rules import many_rules, many_rules_sql
 from tracewell.operators import filters, reports, timeline
 from tracewell.operators.detect import correlate, count_detections, count_text, detections, for_present_channels, matches, resolver, timeline_rows, with_details
 from tracewell.plans.leaves import Lists
@@ -427,6 +428,7 @@ _simple(
   strftime(ts, '%m-%d-%Y %I:%M:%S.%g %p +00:00') AS us_time, strftime(ts, '%m-%d-%Y %H:%M:%S.%g +00:00') AS us_military_time,
   strftime(ts, '%d-%m-%Y %H:%M:%S.%g +00:00') AS european_time FROM rec""",
 )
+_simple("u1_many_rules", many_rules, many_rules_sql(EVENTS, DOCS))
 
 
 def queries() -> dict[str, Query]:
