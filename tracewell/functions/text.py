@@ -26,12 +26,14 @@ def micros(ts: Column) -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    """A-Z folded; of ASCII texts by lower(), which is many times faster."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def strip(c: Column) -> Column:
-    """Trim all Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space. Values that begin and end with a visible ASCII character are left as they are."""
+    seen = lambda x: F.ascii(x).between(33, 126)
+    return F.when(seen(c) & seen(F.substring(c, -1, 1)), c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def clean(c: Column) -> Column:

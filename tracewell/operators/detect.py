@@ -49,11 +49,6 @@ def resolver(records: DataFrame, aliases: dict[str, str] | None = None) -> Calla
     return resolve
 
 
-def once(c: Column) -> Column:
-    """c, evaluated once a row: the optimizer copies no expression that depends on chance into filters and projections."""
-    return F.when(F.rand(0) + 1 > 0, c)  # a bare rand() would be folded away
-
-
 def _in_scope(scope: Scope, resolve: Callable[[str], Column], lists: Lists | None) -> Column:
     return selection(sorted(scope.channels), resolve, lists or Lists(), "Channel")
 
@@ -67,10 +62,8 @@ def matches(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Colu
     scopes = {scope_of(r) for r in rules}
     if all(s.channels is not None for s in scopes):
         records = records.where(_in_scope(reduce(Scope.__or__, scopes), resolve, lists))
-    index = Index(rules, resolve, lists)
-    seen = records.withColumn("true_leaves", once(index.true_leaves()))
-    hits = seen.withColumn("hits", once(index.matching(F.col("true_leaves"))))
-    return hits.withColumn("rule_no", F.explode("hits")).drop("hits", "true_leaves")
+    found = Index(rules, resolve, lists).match(records, "hits")
+    return found.withColumn("rule_no", F.explode("hits")).drop("hits")
 
 
 def for_present_channels(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None, *, most: int = 10_000) -> tuple[DataFrame, list[Rule]]:

@@ -15,7 +15,7 @@ from collections import Counter, defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import ascii_lower
@@ -150,11 +150,20 @@ class _Table:
         return F.coalesce(F.try_element_at(found, F.lit(1))["v"], self.none)
 
 
+def once(c: Column) -> Column:
+    """c, evaluated once a row: the optimizer copies no expression that depends on chance into filters and projections."""
+    return F.when(F.rand(0) + 1 > 0, c)  # a bare rand() would be folded away
+
+
 class Index:
-    """Rules numbered by their place; true_leaves and matching are Columns over a record."""
+    """Rules numbered by their place. `match` adds the array of those that match a record, in steps: the fields that
+    rules ask for, their folded values, the true leaves, the rules; each is computed once a record."""
 
     def __init__(self, rules: list[Rule], resolve: Resolve, lists: Lists | None = None):
-        self.columns, self.resolve = Columns(resolve, lists or Lists()), resolve
+        self._plain: dict[str, Column] = {}
+        self._folded: dict[str, Column] = {}
+        self.resolve = lambda name: self._column(self._plain, "field", name, lambda: resolve(name))
+        self.columns = Columns(self.resolve, lists or Lists())
         made = Numbered()
         found: list[tuple[int, Alternative]] = []
         for i, rule in enumerate(rules):
@@ -176,10 +185,28 @@ class Index:
             entry = {"r": rule_no, "y": sorted(yes - {first}), "n": sorted(no)}
             (self.always if first is None else self.filed[first]).append(entry)
 
+    @staticmethod
+    def _column(known: dict[str, Column], kind: str, name: str, make: Callable[[], Column]) -> Column:
+        """The column that will hold a value; it is added to the record by match."""
+        if name not in known:
+            known[name] = once(make()).alias(f"index_{kind}_{len(known)}")
+        return F.col(f"index_{kind}_{list(known).index(name)}")
+
+    def _lower(self, name: str, fold: Callable[[Column], Column] = ascii_lower) -> Column:
+        return self._column(self._folded, "folded", f"{fold.__name__} {name}", lambda: fold(self.resolve(name)))
+
+    def match(self, records: DataFrame, out: str) -> DataFrame:
+        """records with the numbers of the rules that match, an array, in the column `out`."""
+        leaves = self.true_leaves()
+        for step in (self._plain, self._folded, {"": once(leaves).alias("index_leaves")}, {"": once(self.matching(F.col("index_leaves"))).alias(out)}):
+            records = records.select("*", *step.values())
+        return records.drop(*[c for c in records.columns if c.startswith("index_")])
+
     def _homes(self) -> dict[str, Column]:
-        """Texts that name where a record lies: anywhere, its channel, its event id, both."""
-        channel, event = ascii_lower(self.resolve("Channel")), ascii_lower(self.resolve("EventID"))
-        return {"": F.lit(""), "c": F.concat(F.lit("c"), channel), "e": F.concat(F.lit("e"), event), "b": F.concat(F.lit("b"), channel, F.lit(_NONE), event)}
+        """Texts that name where a record lies: its channel, its event id, both."""
+        channel, event = self._lower("Channel"), self._lower("EventID")
+        both = self._column(self._folded, "folded", "both", lambda: F.concat(F.lit("b"), ascii_lower(self.resolve("Channel")), F.lit(_NONE), ascii_lower(self.resolve("EventID"))))
+        return {"c": F.concat(F.lit("c"), channel), "e": F.concat(F.lit("e"), event), "b": both}
 
     @staticmethod
     def _home(pair: tuple[str | None, str | None]) -> str:
@@ -208,7 +235,7 @@ class Index:
         if equal:
             table = _Table({k: sorted(v) for k, v in equal.items()}, "int")
             for name in sorted({k.split(_NONE)[0] for k in equal}):
-                parts.append(table.get(F.concat(F.lit(name + _NONE), ascii_lower(self.resolve(name)))))
+                parts.append(table.get(F.concat(F.lit(name + _NONE), self._lower(name))))
         at = self._homes()
         for (kind, name), by_home in sorted(texts.items()):
             whole, c = by_home.pop("", []), self.resolve(name)
@@ -216,7 +243,7 @@ class Index:
             if by_home:
                 table = _Table(by_home, "struct<n: int, t: string>")
                 asked += [table.get(at[k]) for k in sorted({h[0] for h in by_home})]
-            folded = {"contains": F.lower, "prefix": ascii_lower, "suffix": ascii_lower}.get(kind, lambda x: x)(c)
+            folded = c if kind.endswith("_cased") else self._lower(name, F.lower if kind == "contains" else ascii_lower)
             how = {"contains": "contains", "prefix": "startswith", "suffix": "endswith"}[kind.removesuffix("_cased")]
             parts.append(F.when(c.isNotNull(), _found(folded, F.concat(*asked), how)).otherwise(F.array().cast("array<int>")))
         if others:

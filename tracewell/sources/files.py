@@ -58,13 +58,21 @@ def records(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("v", inner)
     got = lambda *names: F.coalesce(*[F.try_variant_get("v", f"$['{n}']", "string") for n in names])
     values = F.try_variant_get("v", "$", "map<string,variant>")
-    scalars = F.coalesce(F.map_filter(F.transform_values(values, lambda k, x: scalar(x)), lambda k, x: x.isNotNull()), F.create_map().cast("map<string,string>"))
-    rows = rows.withColumns({"top": scalars, "nested": F.filter(leaves(F.col("v")), lambda p: p["value"].isNotNull())})
+    scalars = F.map_filter(F.transform_values(values, lambda k, x: scalar(x)), lambda k, x: x.isNotNull())
+    # an object without objects and arrays inside becomes a map at once
+    shape = F.schema_of_variant("v")
+    flat = F.length(shape) - F.length(F.replace(shape, F.lit("<"), F.lit(""))) <= 1
+    plain = F.map_filter(F.transform_values(F.try_variant_get("v", "$", "map<string,string>"), lambda k, x: strip(x)), lambda k, x: x.isNotNull())
+    none = F.create_map().cast("map<string,string>")
+    rows = rows.withColumn("flat", flat)
+    rows = rows.withColumn("top", F.coalesce(F.when(F.col("flat"), plain).otherwise(scalars), none))
+    rows = rows.withColumn("nested", F.when(~F.col("flat"), F.filter(leaves(F.col("v")), lambda p: p["value"].isNotNull())))
     # names of nested values that no scalar of the record itself has; of equal names the first counts
     rows = rows.withColumn("nested", F.filter("nested", lambda p: ~F.map_contains_key("top", p["name"])))
     names = F.transform("nested", lambda p: p["name"])
     first = F.filter("nested", lambda p, i: F.array_position(names, p["name"]) == i + 1)
-    fields = F.map_concat("top", F.map_from_entries(F.transform(first, lambda p: F.struct(p["name"], strip(p["value"])))))
+    named = F.map_concat("top", F.map_from_entries(F.transform(first, lambda p: F.struct(p["name"], strip(p["value"])))))
+    fields = F.when(F.col("flat"), F.col("top")).otherwise(named)
     raw_time = got("@timestamp", "_time", "SystemTime")
     return rows.select(
         "file", F.try_to_timestamp(raw_time).alias("ts"), got("Channel").alias("channel"), got("EventID").alias("event_id"), got("Computer", "Hostname").alias("computer"),
