@@ -105,6 +105,12 @@ def json_scalar(c: Column) -> Column:
     return F.when(number, c.try_cast("long").cast("string")).when(c.isin("true", "false"), c).otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6))
 
 
+def json_bare(c: Column) -> Column:
+    """A text as JSON spells it, without its double quotes."""
+    spelled = F.to_json(F.struct(c.alias("x")))  # {"x":"..."}
+    return F.when(c.rlike(r'[\\"\x00-\x1F]'), F.replace(F.substring(spelled, F.lit(6), F.length(spelled) - 6), F.lit('"'), F.lit(""))).otherwise(c)
+
+
 def template(text: str, resolve) -> Column:
     """A details template: %Field% by its value on one line (n/a if absent), %Data[n]% by the n-th data value."""
     parts: list[Column] = []

@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import all_fields, micros, template_of
-from tracewell.operators.windows import greedy_windows, group_key, temporal
+from tracewell.functions.text import all_fields, json_bare, micros, template_of
+from tracewell.operators.windows import group_key_of, rule_windows, temporal
 from tracewell.plans.correlation import resolve as resolve_rules
 from tracewell.plans.index import Index
 from tracewell.plans.leaves import Lists, selection
 from tracewell.plans.rules import Rule, for_channels
 from tracewell.plans.scope import Scope, scope_of
+from tracewell.storage import cut
 
 #: Columns of records that rules may name directly; other names are looked up in event_data.
 SYSTEM = {"Channel": "channel", "EventID": "event_id", "Computer": "computer", "Provider_Name": "provider", "EventRecordID": "record_id"}
@@ -101,46 +102,78 @@ def detections(records: DataFrame, rules: list[Rule], resolve: Callable[[str], C
 NO_TIME = 220_924_800_000_000
 
 
-def _counted(records: DataFrame, rule: Rule, resolve: Callable[[str], Column], lists: Lists | None, *more: str) -> DataFrame:
-    """Matching records as agg_key, t (microseconds), file, record_id, counted (where a field is) and more columns."""
-    spec = rule.agg
-    hit = records.where(rule.predicate(resolve, lists))
-    by = [resolve(c).alias(f"by_{i}") for i, c in enumerate(spec.by)]
-    field = [resolve(spec.field).alias("counted")] if spec.field else []
-    keyed = hit.select(F.coalesce(micros(F.col("ts")), F.lit(NO_TIME)).alias("t"), *by, *field, "file", "record_id", *more)
-    return group_key(keyed, [f"by_{i}" for i in range(len(spec.by))])
+#: Columns of counted records that timeline rows join.
+JOINED = ("computer", "channel", "event_id")
+#: Copies of the windows of rules without a frame, so that a frequent key's records meet them in many tasks.
+_SALTS = 64
+
+
+def _by_rule(values: list, kind: str) -> Column:
+    """What each rule has of something, by rule_no."""
+    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("rule_no") + 1)
+
+
+def counted(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
+    """Records that count rules match, one row a rule: rule_no, agg_key, t (microseconds), counted (the value of the rule's
+    field, if it has one), file, record_id and JOINED. One pass over the records serves all rules."""
+    hit = matches(records, rules, resolve, lists)
+    keys = list(dict.fromkeys(r.agg.by for r in rules))
+    fields = list(dict.fromkeys(r.agg.field for r in rules if r.agg.field))
+    of = _by_rule([keys.index(r.agg.by) for r in rules], "int")
+    key = F.coalesce(*[F.when(of == i, group_key_of([resolve(c) for c in by])) for i, by in enumerate(keys)])
+    asked = _by_rule([fields.index(r.agg.field) if r.agg.field else None for r in rules], "int")
+    value = F.coalesce(*[F.when(asked == i, json_bare(resolve(f).cast("string"))) for i, f in enumerate(fields)]) if fields else F.lit(None).cast("string")
+    return hit.select("rule_no", key.alias("agg_key"), F.coalesce(micros(F.col("ts")), F.lit(NO_TIME)).alias("t"), value.alias("counted"), "file", "record_id", *JOINED)
+
+
+def count_windows(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None) -> tuple[DataFrame, DataFrame]:
+    """Windows of all count rules (rule_no, agg_key, win_start and win_end in microseconds, n_rows, win_count) and the
+    counted records. The records are read once, by a job that runs while the plan is being built; the results read tables
+    in the shared folder."""
+    rows = cut(counted(records, rules, resolve, lists), "counted")
+    made = rule_windows(rows, ["agg_key"], "t", [r.agg for r in rules], value="counted", ties=["file", "record_id"])
+    return made, rows
 
 
 def count_detections(records: DataFrame, rule: Rule, resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
-    """Windows of a count rule: agg_key, win_start and win_end (microseconds), n_rows, win_count."""
-    keyed = _counted(records, rule, resolve, lists)
-    return greedy_windows(keyed, ["agg_key"], "t", rule.agg, value="counted" if rule.agg.field else None, ties=["file", "record_id"])
+    """Windows of one count rule: agg_key, win_start and win_end (microseconds), n_rows, win_count."""
+    return count_windows(records, [rule], resolve, lists)[0].drop("rule_no")
 
 
-def count_rows(records: DataFrame, rule: Rule, windows: DataFrame, resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
-    """Timeline rows of a count rule's windows, at their first record's time: computer, channel, event_id and file
-    hold the distinct values of the window's records, sorted and joined; record_id is empty, provider a dash.
+def window_rows(rows: DataFrame, windows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Timeline rows of windows, with rule_no, at their first record's time: computer, channel, event_id and file hold the
+    distinct values of the window's records, sorted and joined; record_id is empty, provider a dash.
 
     Windows of a key start more than a frame apart, so in a bucket of the frame's width a record meets two at
-    most, and a frequent key is split by its buckets."""
-    spec, names = rule.agg, ["computer", "channel", "event_id"]
-    rows, met = _counted(records, rule, resolve, lists, *names), windows
-    on = ["agg_key"]
-    if spec.frame is not None:
-        width = max(1, spec.frame * 1_000_000)
-        bucket = lambda c: F.floor(F.col(c) / width)
-        rows = rows.withColumn("b", bucket("t"))
-        met = met.withColumn("b", F.explode(F.array_distinct(F.array(bucket("win_start"), bucket("win_end")))))
-        on = ["agg_key", "b"]
-    held = rows.join(met, on).where("t between win_start and win_end")
-    if spec.op in ("==", "<", "<="):  # a window may begin behind rows of the same time that were passed over
-        last = Window.partitionBy("agg_key", "win_start").orderBy(F.col("t").desc(), F.col("file").desc(), F.col("record_id").desc())
-        held = held.withColumn("nth", F.row_number().over(last)).where("nth <= n_rows")
-    joined = [F.array_join(F.array_sort(F.collect_set(c)), " ¦ ").alias(c) for c in (*names, "file")]
-    values = [F.collect_set(F.coalesce("counted", F.lit(""))).alias("counted")] if spec.field else []
-    made = held.groupBy("agg_key", "win_start", "win_count").agg(*joined, *values)
-    text = count_text(F.col("win_count"), F.col("agg_key"), spec.field, F.col("counted") if spec.field else None, bool(spec.by))
-    return made.select(F.timestamp_micros("win_start").alias("ts"), *names, "file", F.lit("").alias("record_id"), F.lit("-").alias("provider"), text.alias("details"))
+    most, and a frequent key is split by its buckets. Without a frame a key has two windows at most, whose copies
+    the records meet by a hash."""
+    width = _by_rule([None if r.agg.frame is None else max(1, r.agg.frame * 1_000_000) for r in rules], "long")
+    bucket = lambda c: F.floor(F.col(c) / width)
+    salt = F.pmod(F.xxhash64("file", "record_id"), F.lit(_SALTS))
+    rows = rows.withColumn("b", F.coalesce(bucket("t"), salt))
+    buckets = F.coalesce(F.array_distinct(F.array(bucket("win_start"), bucket("win_end"))), F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))
+    met = windows.withColumn("b", F.explode(F.when(width.isNotNull(), buckets).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))))
+    held = rows.join(met, ["rule_no", "agg_key", "b"]).where("t between win_start and win_end")
+    late = [i for i, r in enumerate(rules) if r.agg.op in ("==", "<", "<=")]
+    if late:  # a window may begin behind rows of the same time that were passed over
+        last = Window.partitionBy("rule_no", "agg_key", "win_start").orderBy(F.col("t").desc(), F.col("file").desc(), F.col("record_id").desc())
+        some = held.where(F.col("rule_no").isin(late)).withColumn("nth", F.row_number().over(last)).where("nth <= n_rows").drop("nth")
+        held = some.unionByName(held.where(~F.col("rule_no").isin(late)))
+    joined = [F.array_join(F.array_sort(F.collect_set(c)), " ¦ ").alias(c) for c in (*JOINED, "file")]
+    has_field = _by_rule([r.agg.field is not None for r in rules], "boolean")
+    values = F.collect_set(F.when(has_field, F.coalesce("counted", F.lit("")))).alias("counted")
+    made = held.groupBy("rule_no", "agg_key", "win_start", "win_count").agg(*joined, values)
+    text = F.concat_ws(
+        " ¦ ", F.concat(F.lit("Count:"), F.col("win_count").cast("string")),
+        F.concat(_by_rule([r.agg.field and f"{r.agg.field}:" for r in rules], "string"), F.array_join(F.array_sort("counted"), "/")),
+        F.when(_by_rule([bool(r.agg.by) for r in rules], "boolean") & (F.col("agg_key") != "_"), F.concat(F.lit("by:"), F.col("agg_key"))),
+    )
+    return made.select("rule_no", F.timestamp_micros("win_start").alias("ts"), *JOINED, "file", F.lit("").alias("record_id"), F.lit("-").alias("provider"), text.alias("details"))
+
+
+def count_rows(records: DataFrame, rule: Rule, windows: DataFrame, resolve: Callable[[str], Column], lists: Lists | None = None) -> DataFrame:
+    """Timeline rows of one count rule's windows (see window_rows); reads the records."""
+    return window_rows(counted(records, [rule], resolve, lists), windows.withColumn("rule_no", F.lit(0)), [rule]).drop("rule_no")
 
 
 #: Columns of a timeline row, ahead of its rule's.
@@ -155,18 +188,34 @@ def timeline_rows(records: DataFrame, rules: list[Rule], resolve: Callable[[str]
     found = with_details(detections(records, done, resolve, lists), templates)
     found = found.withColumn("ts", F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_micros(F.lit(0))))
     parts = [found.select(*ROW, *RULE)]
+    made = _all_windows(records, done, timed, resolve, lists)
+    if made:
+        windows, rows, counts, owners = made
+        texts = window_rows(rows, windows, counts)
+        parts.append(texts.join(F.broadcast(rule_table(spark, owners)).drop("rule_details"), "rule_no").select(*ROW, *RULE))  # one row a rule
+    return reduce(DataFrame.unionByName, parts), errors
 
-    def add(of: Rule, rule: Rule, windows: DataFrame) -> None:
-        parts.append(count_rows(records, rule, windows, resolve, lists).join(F.broadcast(rule_table(spark, [of])).drop("rule_no", "rule_details")).select(*ROW, *RULE))  # one row
 
-    for r in done:
-        if r.agg and r.generate:
-            add(r, r, count_detections(records, r, resolve, lists))
-    for rule, blocks, frame, ordered in timed:
-        if len(blocks) > 1:
-            made = [count_detections(records, b, resolve, lists) for b in blocks]
-            add(rule, blocks[0], temporal(made, "agg_key", frame, ordered=ordered))
-    return reduce(DataFrame.unionByName, parts), errors
+def _all_windows(records: DataFrame, done: list[Rule], timed: list, resolve: Callable[[str], Column], lists: Lists | None) -> tuple[DataFrame, DataFrame, list[Rule], list[Rule]] | None:
+    """Windows that are reported, of count rules and of the first blocks of temporal rules; the counted records; the
+    rules by rule_no, and the rules by whose names each is reported. All come from one pass over the records."""
+    plain = [r for r in done if r.agg and r.generate]
+    chosen = [(r, blocks, frame, ordered) for r, blocks, frame, ordered in timed if len(blocks) > 1]  # a single rule never fires
+    counts, owners = list(plain), list(plain)
+    for rule, blocks, _, _ in chosen:
+        counts += blocks
+        owners += [rule] * len(blocks)
+    if not counts:
+        return None
+    windows, rows = count_windows(records, counts, resolve, lists)
+    if not chosen:
+        return windows, rows, counts, owners
+    windows, at = cut(windows, "windows"), len(plain)
+    parts = [windows.where(F.col("rule_no") < at)] if plain else []
+    for _, blocks, frame, ordered in chosen:
+        parts.append(temporal([windows.where(F.col("rule_no") == at + i) for i in range(len(blocks))], "agg_key", frame, ordered=ordered))
+        at += len(blocks)
+    return reduce(DataFrame.unionByName, parts), rows, counts, owners
 
 
 def with_details(found: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -185,15 +234,11 @@ def with_details(found: DataFrame, templates: dict[str, str] | None = None) -> D
 def correlate(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None) -> tuple[DataFrame | None, list[str]]:
     """Windows of all count and temporal rules, with rule_id; and errors of rules that can't run."""
     done, timed, errors = resolve_rules(rules)
-    parts = [count_detections(records, r, resolve, lists).withColumn("rule_id", F.lit(r.rule_id)) for r in done if r.agg and r.generate]
-    for rule, blocks, frame, ordered in timed:
-        made = [count_detections(records, b, resolve, lists) for b in blocks]
-        if len(made) > 1:
-            parts.append(temporal(made, "agg_key", frame, ordered=ordered).withColumn("rule_id", F.lit(rule.rule_id)))
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out, errors
+    made = _all_windows(records, done, timed, resolve, lists)
+    if not made:
+        return None, errors
+    windows, _, _, owners = made
+    return windows.withColumn("rule_id", _by_rule([r.rule_id for r in owners], "string")).drop("rule_no"), errors
 
 
 def count_text(count: Column, key: Column, field: str | None = None, values: Column | None = None, by: bool = True) -> Column:

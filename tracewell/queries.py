@@ -428,6 +428,40 @@ _simple(
   strftime(ts, '%m-%d-%Y %I:%M:%S.%g %p +00:00') AS us_time, strftime(ts, '%m-%d-%Y %H:%M:%S.%g +00:00') AS us_military_time,
   strftime(ts, '%d-%m-%Y %H:%M:%S.%g +00:00') AS european_time FROM rec""",
 )
+def _many_counts() -> list[tuple[Rule, str]]:
+    """20 count rules with windows of their own, and SQL of each."""
+    out = []
+    for i in range(20):
+        channel, by, op, n, hours = ("error", "click", "signup", "purchase", "view")[i % 5], ("user_id", "EventID", "owner")[i % 3], (">=", "==", ">")[i % 3], 2 + i % 4, 1 + i % 7
+        field = "k" if i % 4 == 1 else ""
+        spec = {"s": {"Channel": channel}, "condition": f"s | count({field}) by {by} {op} {n}", "timeframe": f"{hours}h"}
+        key = {"user_id": "f_user_id", "EventID": "event_id", "owner": "coalesce(f_owner, '_')"}[by]
+        compare = f"{'=' if op == '==' else op} {n}"
+        out.append((rule(spec, id=f"m{i}"), greedy_sql(f"channel = '{channel}'", key, hours * 3600, compare, "coalesce(f_k, '')" if field else None)))
+    return out
+
+
+def _count_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = from_events(spark, sf_dir)
+    made, _ = correlate(r, [x for x, _ in _many_counts()], resolver(r))
+    return made.select("rule_id", "agg_key", F.timestamp_micros("win_start").cast("timestamp_ntz").alias("win_start"), "n_rows", "win_count")
+
+
+_simple(
+    "a3_many_counts",
+    _count_many,
+    "\nUNION ALL\n".join(f"SELECT '{x.rule_id}' AS rule_id, agg_key, win_start, n_rows, win_count FROM ({sql}) x{i}" for i, (x, sql) in enumerate(_many_counts())),
+)
+
+
+def _escaped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group keys are JSON texts without quotes: a backslash counts double, a quote leaves its backslash."""
+    r = from_events(spark, sf_dir).withColumn("f_path", F.concat(F.lit('C:\\a "b"\n'), "f_user_id"))
+    made = count_detections(r, rule({"s": {"Channel": "error"}, "condition": "s | count() by path >= 3", "timeframe": "6h"}), resolver(r))
+    return made.select("agg_key", "n_rows")
+
+
+_simple("a2_escaped_keys", _escaped_keys, "SELECT agg_key, n_rows FROM (" + greedy_sql("channel = 'error'", r"'C:\\a \b\\n' || f_user_id", 21600, ">= 3") + ") x")
 _simple("u1_many_rules", many_rules, many_rules_sql(EVENTS, DOCS))
 
 
