@@ -5,29 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.plans.leaves import cidr, java_quote
+from tracewell.functions.text import ascii_lower
+from tracewell.plans.leaves import ascii_fold, cidr, java_quote
 
 #: Networks without a place (fixed values).
 PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "fc00::/7", "fe80::/10")
 LOOPBACK = ("127.0.0.0/8", "::1/128")
 
 
-def rewrite(c: Column, pairs: dict[str, str]) -> Column:
-    """All keys by their values in one pass from the left; of keys that begin at one place the first wins."""
-    if not pairs:
+def _replaced(c: Column, pairs: dict[str, str], keys: list[str], flags: str = "") -> Column:
+    """The leftmost matches of the keys (of those that begin at one place the first in order) by their values, in one
+    pass: what a value brings in isn't looked at again."""
+    if not keys:
         return c
-    any_key = "|".join(java_quote(k) for k in pairs)
+    any_key = flags + "|".join(java_quote(k) for k in keys)
+    found = F.regexp_extract_all(c, F.lit(f"{flags}({any_key.removeprefix(flags)})"), F.lit(1))
     table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    rest, hits = F.split(c, any_key, -1), F.regexp_extract_all(c, F.lit(f"({any_key})"), F.lit(1))
-    return F.array_join(F.zip_with(rest, hits, lambda r, h: F.concat(r, F.coalesce(F.try_element_at(table, h), F.lit("")))), "")
+    name = ascii_lower if flags else lambda x: x
+    value = lambda h: F.coalesce(F.try_element_at(table, name(h)), F.lit(""))
+    return F.array_join(F.zip_with(F.split(c, any_key, -1), found, lambda r, h: F.concat(r, value(h))), "")
+
+
+def abbreviate(c: Column, pairs: dict[str, str]) -> Column:
+    """Keys by their values, A-Z folded; of keys that begin at one place the longest wins."""
+    folded: dict[str, str] = {}
+    for k, v in pairs.items():
+        folded.setdefault(ascii_fold(k), v)
+    return _replaced(c, folded, sorted((k for k in folded if k), key=len, reverse=True), "(?i)")
+
+
+def rewrite(c: Column, pairs: dict[str, str]) -> Column:
+    """Keys by their values as they end: the match that ends first wins, of those that end at one place the longest.
+
+    A key in which another one ends before its own end is therefore never found. Without these, keys that begin earlier
+    never end later, so the leftmost match is the one that ends first."""
+    keys = [k for k in pairs if k and not any(o and o in k[:-1] for o in pairs)]
+    return _replaced(c, pairs, keys)
 
 
-def rewrite_fields(field: str, c: Column, tables: list[tuple[str, str, str, dict[str, str]]]) -> Column:
-    """Values of one field by (channel, event id, field, pairs); channel and field case ignored."""
+def rewrite_fields(field: str, c: Column, tables: list[tuple]) -> Column:
+    """Values of one field by (channel, event id, field, pairs) and, where a fifth item is given, only of its providers;
+    case of channel and field ignored."""
     out = c
-    for channel, event_id, name, pairs in tables:
+    for channel, event_id, name, pairs, *providers in tables:
         if name.lower() == field.lower():
-            out = F.when((F.lower("channel") == channel.lower()) & (F.col("event_id") == event_id), rewrite(c, pairs)).otherwise(out)
+            here = (F.lower("channel") == channel.lower()) & (F.col("event_id") == event_id)
+            if providers and providers[0]:
+                here = here & F.coalesce(F.col("provider").isin(list(providers[0])), F.lit(False))
+            out = F.when(here, rewrite(c, pairs)).otherwise(out)
     return out
 
 

@@ -71,13 +71,6 @@ def uptime(seconds: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def replace_all(c: Column, pairs: dict[str, str]) -> Column:
-    """Each key by its value, in the given order."""
-    for old, new in pairs.items():
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
-
-
 def lookup(c: Column, table: dict[str, str], *, lower: bool = False, default: Column | None = None) -> Column:
     """Literal map lookup of a bounded table; misses give the default, or the value itself."""
     if not table:

@@ -276,7 +276,7 @@ _simple("e4_extra_fields", _over_events(lambda r: r.select("record_id", text.ext
 _simple("e5_clean", lambda s, d: from_documents(s, d).select("record_id", F.length(text.clean(F.col("f_text"))).alias("n")), rf"WITH {DOCS} SELECT record_id, length(trim(regexp_replace(regexp_replace(f_text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g'), ' {{2,}}', ' ', 'g'), ' '))::INT AS n FROM rec")
 _simple("e6_time_format", _over_events(lambda r: r.select("record_id", text.format_time(F.col("ts")).alias("t"), text.format_time(F.col("ts"), "iso-8601").alias("iso"))), f"WITH {EVENTS} SELECT record_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' +00:00' AS t, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso FROM rec")
 _simple("e7_titlecase", _over_events(lambda r: r.select("record_id", text.titlecase(F.col("channel")).alias("name"))), f"WITH {EVENTS} SELECT record_id, upper(channel[1]) || channel[2:] AS name FROM rec")
-_simple("e8_abbreviations", _over_events(lambda r: r.select("record_id", text.replace_all(text.lookup(F.col("channel"), {"ERROR": "Err", "click": "Clk"}, lower=True), {"purchase": "buy"}).alias("short"))), f"WITH {EVENTS} SELECT record_id, CASE channel WHEN 'error' THEN 'Err' WHEN 'click' THEN 'Clk' WHEN 'purchase' THEN 'buy' ELSE channel END AS short FROM rec")
+_simple("e8_abbreviations", _over_events(lambda r: r.select("record_id", enrich.abbreviate(text.lookup(F.col("channel"), {"ERROR": "Err", "click": "Clk"}, lower=True), {"purchase": "buy"}).alias("short"))), f"WITH {EVENTS} SELECT record_id, CASE channel WHEN 'error' THEN 'Err' WHEN 'click' THEN 'Clk' WHEN 'purchase' THEN 'buy' ELSE channel END AS short FROM rec")
 _simple("e11_hex", _over_events(lambda r: r.select("record_id", text.hex_to_decimal(F.concat(F.lit("0x"), F.hex(F.col("f_k").cast("long")))).alias("k"))), f"WITH {EVENTS} SELECT record_id, f_k AS k FROM rec")
 _simple("e16_uptime", _over_events(lambda r: r.select("record_id", text.uptime(F.col("f_user_id").cast("long") * 86461).alias("up"))), f"WITH {EVENTS}, u AS (SELECT record_id, f_user_id::BIGINT * 86461 AS s FROM rec) SELECT record_id, '0Y ' || (s // 2592000) || 'M ' || (s % 2592000 // 86400) || 'd ' || (s % 86400 // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' AS up FROM u")
 _simple("e18_json_scalar", _over_events(lambda r: r.select("record_id", text.json_scalar(F.col("f_k")).alias("k"), text.json_scalar(F.col("channel")).alias("c"))), f"""WITH {EVENTS} SELECT record_id, f_k AS k, '"' || channel || '"' AS c FROM rec""")
@@ -291,7 +291,47 @@ _LOGONS = (("3", "error", False), ("5", "click", True))
 _simple("r2_logon_summary", _over_events(lambda r: reports.logon_summary(r, {"target": F.col("f_owner"), "source": F.col("f_ip")}, _LOGONS)), f"WITH {EVENTS} SELECT coalesce(f_owner, '-') AS target, f_ip AS source, event_id, count(*) FILTER (channel = 'click') AS successes, count(*) FILTER (channel = 'error') AS failures, min(ts) AS first_ts, max(ts) AS last_ts FROM rec WHERE (event_id, channel) IN (('3', 'error'), ('5', 'click')) GROUP BY 1, 2, 3")
 _simple("r10_critical_systems", _over_events(lambda r: reports.critical_systems(r, F.col("f_owner"), channel="error", ticket="3", share="5", skipped="User-13")), f"WITH {EVENTS} SELECT DISTINCT CASE event_id WHEN '3' THEN 'domain controller' ELSE 'file server' END AS kind, computer FROM rec WHERE channel = 'error' AND (event_id = '3' OR (event_id = '5' AND f_owner <> 'User-13'))")
 _simple("e2_split_details", _over_events(lambda r: r.select("record_id", F.try_element_at(text.split_details(F.concat(F.lit("Host: "), F.col("computer"), F.lit(" ¦ k: "), F.col("f_k"))), F.lit("k")).alias("k"))), f"WITH {EVENTS} SELECT record_id, f_k AS k FROM rec")
-_simple("e12_field_values", _over_events(lambda r: r.select("record_id", enrich.rewrite_fields("k", F.col("f_k"), [("ERROR", "3", "K", {"1": "one", "11": "eleven", "2": "1"})]).alias("k"))), f"WITH {EVENTS} SELECT record_id, CASE WHEN channel = 'error' AND event_id = '3' THEN replace(replace(replace(f_k, '1', 'one'), '2', '1'), 'x', 'x') ELSE f_k END AS k FROM rec")
+def _keys_sql(pairs: dict[str, str]) -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in pairs.items())
+
+
+def longest_sql(values: str, pairs: dict[str, str]) -> str:
+    """s and t, its replaced text: from each place on the longest key, case ignored, else one character."""
+    return f"""WITH RECURSIVE k(k, v) AS (VALUES {_keys_sql(pairs)}), walk(s, i, t) AS (
+  SELECT DISTINCT s, 1::BIGINT, '' FROM ({values}) UNION ALL
+  SELECT s, i + coalesce(length(m.k), 1), t || coalesce(m.v, s[i]) FROM walk
+  LEFT JOIN LATERAL (SELECT k, v FROM k WHERE lower(s[i : i + length(k) - 1]) = lower(k) ORDER BY length(k) DESC LIMIT 1) m ON true WHERE i <= length(s))
+SELECT s, t FROM walk WHERE i > length(s)"""
+
+
+def earliest_sql(values: str, pairs: dict[str, str]) -> str:
+    """s and t, its replaced text: at each end j the longest key that ends there and begins at b or behind, if any."""
+    return f"""WITH RECURSIVE k(k, v) AS (VALUES {_keys_sql(pairs)}), walk(s, b, j, t) AS (
+  SELECT DISTINCT s, 1::BIGINT, 1::BIGINT, '' FROM ({values}) UNION ALL
+  SELECT s, CASE WHEN m.k IS NULL THEN b ELSE j + 1 END, j + 1, CASE WHEN m.k IS NULL THEN t ELSE t || s[b : j - length(m.k)] || m.v END FROM walk
+  LEFT JOIN LATERAL (SELECT k, v FROM k WHERE j - length(k) + 1 >= b AND s[j - length(k) + 1 : j] = k ORDER BY length(k) DESC LIMIT 1) m ON true WHERE j <= length(s))
+SELECT s, t || s[b:] AS t FROM walk WHERE j > length(s)"""
+
+
+_OVERLAPS = {"a": "b", "b": "z", "US": "u", "user": "S", "User-1": "one", "er-": "E", "r-12": "twelve", "2": "1", "12": "2"}
+_DIGITS = {"1": "one", "11": "eleven", "2": "1", "23": "x", "34": "y", "4": "four", "567": "long", "67": "s", "89": "98", "98": "89"}
+_simple(
+    "e8_overlapping_keys",
+    _over_events(lambda r: r.select("record_id", enrich.abbreviate(F.concat("channel", F.lit(" "), "f_login"), _OVERLAPS).alias("short"))),
+    f"""WITH {EVENTS} SELECT record_id, t AS short FROM (SELECT record_id, channel || ' ' || f_login AS s FROM rec) JOIN ({longest_sql(f"WITH {EVENTS} SELECT channel || ' ' || f_login AS s FROM rec", _OVERLAPS)}) USING (s)""",
+)
+_LONG = "f_user_id || f_k || record_id"
+_simple(
+    "e12_overlapping_keys",
+    _over_events(lambda r: r.select("record_id", enrich.rewrite(F.concat("f_user_id", "f_k", "record_id"), _DIGITS).alias("k"))),
+    f"""WITH {EVENTS} SELECT record_id, t AS k FROM (SELECT record_id, {_LONG} AS s FROM rec) JOIN ({earliest_sql(f"WITH {EVENTS} SELECT {_LONG} AS s FROM rec", _DIGITS)}) USING (s)""",
+)
+_simple(
+    "e12_field_values",
+    _over_events(lambda r: r.select("record_id", enrich.rewrite_fields("k", F.col("f_k"), [("ERROR", "3", "K", _DIGITS), ("click", "3", "k", {"1": "no"}, ["error"]), ("view", "3", "k", {"1": "yes"}, ["view", "x"])]).alias("k"))),
+    f"""WITH {EVENTS} SELECT record_id, CASE WHEN channel = 'error' AND event_id = '3' THEN t WHEN channel = 'view' AND event_id = '3' THEN replace(f_k, '1', 'yes') ELSE f_k END AS k
+FROM rec LEFT JOIN ({earliest_sql(f"WITH {EVENTS} SELECT f_k AS s FROM rec", _DIGITS)}) ON s = f_k""",
+)
 _GEO = [(0x0B000000, 0x0B00FFFF, "A"), (0x0B010000, 0x0B0200FF, "B")]
 _simple("e13_geo", lambda s, d: enrich.geolocate(from_events(s, d).withColumn("addr", F.when(F.col("f_user_id") == "7", "::1").when(F.col("event_id") == "0", F.col("f_ip")).otherwise(F.concat(F.lit("::ffff:"), F.regexp_replace("f_ip", "^10", "11")))), "addr", s.createDataFrame(_GEO, "lo long, hi long, place string")).select("record_id", "place"), f"WITH {EVENTS} SELECT record_id, CASE WHEN f_user_id = '7' THEN 'Local' WHEN event_id = '0' THEN 'Private' WHEN f_ip LIKE '10.0.%' THEN 'A' WHEN f_ip LIKE '10.1.%' OR f_ip LIKE '10.2.0.%' THEN 'B' ELSE '-' END AS place FROM rec")
 _simple("e15_shell_fields", _over_events(lambda r: r.select("record_id", F.try_element_at(text.powershell_fields(F.lit("Windows PowerShell"), F.when(F.col("event_id") == "3", "800").otherwise("1"), F.array(F.concat(F.lit("a=1\n\tk="), F.col("f_k")))), F.lit("k")).alias("k"))), f"WITH {EVENTS} SELECT record_id, CASE event_id WHEN '3' THEN f_k END AS k FROM rec")
