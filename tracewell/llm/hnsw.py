@@ -3,11 +3,11 @@
 Vectors are normalised in double precision and equal ones stand for each other. Shards are dealt by a hash of the
 identifier; each task builds its shard's graph: layers of exponentially fewer nodes, inserted in batches whose
 candidates come from a beam search of the graph so far and from the batch itself, with the usual diversity
-rule for neighbours. An audit compares searches for hashed sets of the shard's and of all vectors with brute force
-over the shard and widens the beam until recall is reached. Every vector then queries every shard; the few whose beam
-is full of links, as in a cluster of near copies, are compared with the whole shard, block by block, as are all if
-the beam would have to look at a large part of it. Cosines of what was found are verified in double precision, counted
-per vector, and a task's links are reduced to a spanning forest before they leave it.
+rule for neighbours. An audit looks up links of the shard's and of all vectors, and points placed at the threshold from
+vectors of the shard, and widens the beam until recall is reached. Every vector then queries every shard; the few whose
+beam is full of links, as in a cluster of near copies, are compared with the whole shard, block by block. Cosines of
+what was found are verified in double precision. A pair that one side's search found counts for both; counts of whole
+comparisons stand by themselves. A task's links are reduced to a spanning forest before they leave it.
 """
 
 from __future__ import annotations
@@ -31,12 +31,11 @@ LINKS, ROOM, BUILD_BEAM = 12, 36, 32
 SHARDS, SHARD_ROWS = 4, 1 << 17
 #: Bytes of a shard's vectors at most.
 SHARD_BYTES = 1 << 28
-#: Queries that meet a shard in one task; queries of one vectorised search, fewer where it would mark more than CELLS cells.
-BLOCK, TOGETHER, CELLS = 8192, 512, 1 << 25
+#: Queries that meet a shard in one task, at least and at most; of one vectorised search, fewer where it would mark more
+#: than CELLS cells.
+BLOCK, MOST_BLOCK, TOGETHER, CELLS = 8192, 1 << 17, 512, 1 << 25
 #: Vectors of a shard, and of the whole table, that an audit looks up, the recall it asks for, the first beam.
 AUDIT, RECALL, BEAM = 128, 0.98, 12
-#: A beam of more than one in so many of the shard's vectors is slower than a scan of all.
-SCAN = 128
 
 
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,15 +171,10 @@ class Graph:
             best = beam(self.vectors, self.layers[k], queries, best, 4)[0]
         return best
 
-    def scans(self, width: int) -> bool:
-        return width * SCAN >= len(self.vectors)
-
-    def search(self, queries: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(query, nodes found with at least the threshold); beams full of them, and wide ones, become scans."""
+    def search(self, queries: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(query, nodes found with at least the threshold, whether all nodes were compared): they are for queries whose
+        beam is full of links."""
         width = min(width, len(self.vectors))
-        if self.scans(width):
-            yield from self._scan(queries, np.arange(len(queries)), threshold)
-            return
         step = max(1, min(TOGETHER, TOGETHER * 64 // width, CELLS // len(self.vectors)))
         full = []
         for a in range(0, len(queries), step):
@@ -190,8 +184,9 @@ class Graph:
             all_ = hits.all(axis=1)
             full.append(a + np.flatnonzero(all_))
             for r in np.flatnonzero(hits.any(axis=1) & ~all_):
-                yield a + r, nodes[r][hits[r]]
-        yield from self._scan(queries, np.concatenate(full) if full else np.zeros(0, int), threshold)
+                yield a + r, nodes[r][hits[r]], False
+        for r, found in self._scan(queries, np.concatenate(full) if full else np.zeros(0, int), threshold):
+            yield r, found, True
 
     def _scan(self, queries: np.ndarray, rows: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
         step = max(1, (1 << 22) // len(self.vectors))
@@ -200,29 +195,35 @@ class Graph:
             for k in np.flatnonzero(hits.any(axis=1)):
                 yield rows[b + k], np.flatnonzero(hits[k])
 
-    def audited(self, threshold: float, queries: np.ndarray, own: np.ndarray) -> int:
-        """The narrowest beam, by doubling, that finds RECALL of the queries' links and of their nearest neighbours,
-        however far these are: where links are few only the neighbours tell. own: each query's node, -1 if it has none."""
-        width = min(BEAM, len(self.vectors))
-        if self.scans(width):
-            return width
-        n_links, nearest = 0, np.empty(len(queries))
+    def audited(self, threshold: float, queries: np.ndarray, own: np.ndarray, sources: np.ndarray) -> int:
+        """The narrowest beam, by doubling, that finds RECALL of the queries' links and of the sources from points at the
+        threshold from them (where links are few only these tell). own: each query's node, -1 if it has none."""
+        exact = 0
         for a in range(0, len(queries), 64):
-            exact = queries[a : a + 64] @ self.vectors.T
+            sims = queries[a : a + 64] @ self.vectors.T
             mine = np.flatnonzero(own[a : a + 64] >= 0)
-            exact[mine, own[a + mine]] = -np.inf
-            n_links += int((exact >= threshold - 1e-9).sum())
-            nearest[a : a + 64] = exact.max(axis=1)
-        while not self.scans(width):
-            hit = sum(int((x != own[r]).sum()) for r, x in self.search(queries, width, threshold))
-            found, sims = beam(self.vectors, self.layers[0], queries, self.entries(queries), width)
-            near = np.where(found == own[:, None], -np.inf, sims).max(axis=1) >= nearest - 1e-9
-            if hit >= RECALL * n_links and near.mean() >= RECALL:
+            sims[mine, own[a + mine]] = -np.inf
+            exact += int((sims >= threshold - 1e-9).sum())
+        placed = points_at(self.vectors[sources], threshold)
+        width = min(BEAM, len(self.vectors))
+        while width < len(self.vectors):
+            links = sum(int((x != own[r]).sum()) for r, x, _ in self.search(queries, width, threshold))
+            told = beam(self.vectors, self.layers[0], placed, self.entries(placed), width)[0] if len(placed) else np.zeros((0, 1))
+            if links >= RECALL * exact and (told == sources[:, None]).any(axis=1).sum() >= RECALL * len(sources):
                 break
             width *= 2
         return min(width, len(self.vectors))
 
 
+def points_at(vectors: np.ndarray, cosine: float) -> np.ndarray:
+    """A point at the given cosine from each unit vector, in a direction that depends on the number of vectors only."""
+    aside = np.random.default_rng(len(vectors)).normal(size=vectors.shape)
+    aside -= (aside * vectors).sum(axis=1, keepdims=True) * vectors
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.divide(aside, length, out=np.zeros_like(aside), where=length > 1e-12)
+    return cosine * vectors + math.sqrt(max(0.0, 1 - cosine * cosine)) * aside
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the links a-b those that join what the earlier ones left apart."""
     root: dict[int, int] = {}
@@ -265,7 +266,8 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
     found, none is below. n_links counts other rows; component_id is the smallest vec_id reachable by links,
     itself included; kept says whether that is the row's own. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different lengths. Rows with equal vectors are
-    linked with each other and searched once. Rows that share a vec_id count each; a null vec_id has no
+    linked with each other and searched once. A pair of which one side's search found the other counts for both, but for
+    one case: that the side that found it was compared with a whole shard, and the other one's beam, not full, missed it. Rows that share a vec_id count each; a null vec_id has no
     component of its own: its component_id is null unless a link gives it one. An empty table gives an empty
     result; other columns are not looked at.
     """
@@ -298,19 +300,21 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
             chosen = np.argsort(mix(key[at].view(np.uint64) ^ np.uint64(77)))[:AUDIT]
             far, far_v = asked_by.get(d, (key[:0], v[:0]))
             other = np.flatnonzero(~np.isin(far, key[at]))[:AUDIT]
-            width = graph.audited(threshold, np.concatenate([v[chosen], far_v[other]]), np.concatenate([chosen, np.full(len(other), -1)]))
+            width = graph.audited(threshold, np.concatenate([v[chosen], far_v[other]]), np.concatenate([chosen, np.full(len(other), -1)]), chosen)
             out.append({"shard": table["shard"][0].as_py(), "d": d, "width": width, "keys": key[at].tobytes(), "reps": rep[at].tobytes(), "copies": copies[at].tobytes(), "vectors": plain.tobytes(), "members": [m.astype(np.int32).tobytes() for m in graph.members], "layers": [x.astype(np.int32).tobytes() for x in graph.layers]})
         return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int32()), ("d", pa.int32()), ("width", pa.int32()), *((c, pa.binary()) for c in ("keys", "reps", "copies", "vectors")), ("members", pa.list_(pa.binary())), ("layers", pa.list_(pa.binary()))]))
 
     graphs = cut(dealt.repartition(4 * n_shards, "shard").groupBy("shard").applyInArrow(build, "shard int, d int, width int, keys binary, reps binary, copies binary, vectors binary, members array<binary>, layers array<binary>"), "graphs")
-    blocks = max(1, math.ceil(n / BLOCK))
+    blocks = max(1, math.ceil(n / min(MOST_BLOCK, max(BLOCK, n // 64))))
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
     asked = classes.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", everywhere)
     copies_of_graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def query(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        key = np.asarray(left["key"])
+        """kind 0: a link of the ids a and b; 1: class a has n links in shard b, all compared; 2: classes a and b are linked,
+        a asked, b has n rows and a has m."""
+        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        key, own = np.asarray(left["key"]), np.asarray(left["copies"])
         units = {d: (at, _unit(v)) for d, (at, v) in _by_length(left["v"]).items()} if left.num_rows else {}
         ids = np.asarray(left["rep"])
         for g in right.to_pylist():
@@ -323,27 +327,39 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
             graph.layers = [np.frombuffer(m, np.int32).reshape(-1, ROOM) for m in g["layers"]]
             graph.top = (graph.members[-1] if graph.members else np.arange(len(graph.vectors)))[:64]
             keys, reps, copies = (np.frombuffer(g[c], np.int64) for c in ("keys", "reps", "copies"))
+            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
             links: list[tuple[np.ndarray, np.ndarray]] = []
-            counts = np.zeros(len(at), dtype=np.int64)
-            for r, nodes in graph.search(v, g["width"], threshold):
-                nodes = nodes[(keys[nodes] != key[at[r]]) & (graph.vectors[nodes] @ v[r] >= threshold)]
-                counts[r] = copies[nodes].sum()
-                links.append((np.full(len(nodes), ids[at[r]]), reps[nodes]))
-            some = np.flatnonzero(counts)
-            out.append((key[at[some]], np.full(len(some), -1), counts[some]))
-            if links:
-                a, b = _forest(*(np.concatenate(z) for z in zip(*links, strict=True)))
-                out.append((a, b, np.zeros(len(a), dtype=np.int64)))
-        a, b, k = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "k": pa.array(k, pa.int64())})
+            held = 0
+            for r, nodes, compared in graph.search(v, g["width"], threshold):
+                me = at[r]
+                nodes = nodes[(keys[nodes] != key[me]) & (graph.vectors[nodes] @ v[r] >= threshold)]
+                same = np.full(len(nodes), 1)
+                links.append((same * ids[me], reps[nodes]))
+                held += len(nodes)
+                if compared:
+                    out.append((1, key[me : me + 1], np.array([g["shard"]]), copies[nodes].sum(keepdims=True), np.zeros(1, np.int64)))
+                else:
+                    out.append((2, same * key[me], keys[nodes], copies[nodes], same * own[me]))
+                if held > 1 << 20:  # what joins nothing new goes before more is gathered
+                    a, b = _forest(*(np.concatenate(z) for z in zip((a, b), *links, strict=True)))
+                    links, held = [], 0
+            a, b = _forest(*(np.concatenate(z) for z in zip((a, b), *links, strict=True)))
+            out.append((0, a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)))
+        kind = np.concatenate([np.full(len(x[1]), x[0]) for x in out]) if out else np.zeros(0, np.int64)
+        columns = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(1, 5)]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("kind", "a", "b", "n", "m"), (kind, *columns), strict=True)})
 
     # searches take far longer than their few bytes suggest: the number of tasks is not left to the sizes
     tasks = 2 * n_shards * blocks
     asked, copies_of_graphs = (t.repartition(tasks, "shard", "block") for t in (asked, copies_of_graphs))
-    found = asked.groupBy("shard", "block").cogroup(copies_of_graphs.groupBy("shard", "block")).applyInArrow(query, "a long, b long, k long")
-    found = cut(found, "vector-links")  # k > 0: a is a class, k its links in a shard; else a link of two ids
-    counts = found.where("k > 0").groupBy(F.col("a").alias("key")).agg(F.sum("k").alias("k"))
-    roots = components(found.where("k = 0").select("a", "b"))
+    found = asked.groupBy("shard", "block").cogroup(copies_of_graphs.groupBy("shard", "block")).applyInArrow(query, "kind long, a long, b long, n long, m long")
+    found = cut(found, "vector-links")
+    compared, pairs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("shard"), "n"), found.where("kind = 2")
+    turned = pairs.select(F.col("b").alias("key"), F.col("a").alias("other"), F.col("m").alias("n"))
+    pairs = pairs.select(F.col("a").alias("key"), F.col("b").alias("other"), "n").unionByName(turned).dropDuplicates(["key", "other"])
+    pairs = pairs.withColumn("shard", F.pmod(F.xxhash64("other"), F.lit(n_shards)).cast("long")).join(compared.select("key", "shard"), ["key", "shard"], "left_anti")
+    counts = pairs.select("key", "n").unionByName(compared.select("key", "n")).groupBy("key").agg(F.sum("n").alias("k"))
+    roots = components(found.where("kind = 0").select("a", "b"))
     classes = classes.join(counts, "key", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("v", "copies", (F.coalesce("k", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     classes = cut(classes, "vector-roots")
