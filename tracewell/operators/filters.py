@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import micros
 from tracewell.plans.errors import RuleError
 
-#: Channels that fixed reports read (fixed values).
-LOGON_CHANNELS = ("Security", "Microsoft-Windows-TerminalServices-LocalSessionManager/Operational", "Microsoft-Windows-TerminalServices-Gateway/Operational")
+#: Channels that fixed reports read; give them to a source's `channels` (fixed values).
+LOGON_CHANNELS = (
+    "Security",
+    "Microsoft-Windows-TerminalServices-Gateway/Operational",
+    "Microsoft-Windows-TerminalServices-LocalSessionManager/Operational",
+    "Microsoft-Windows-TerminalServices-RemoteConnectionManager/Operational",
+)
 CRITICAL_CHANNELS = ("Security",)
 
 

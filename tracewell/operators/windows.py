@@ -34,7 +34,7 @@ def group_key_of(columns: list[Column]) -> Column:
     return F.concat_ws(",", *[F.coalesce(json_bare(c.cast("string")), F.lit("_")) for c in columns]) if columns else F.lit("_")
 
 
-def _running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], most: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], most: dict[str, Column]) -> DataFrame:
     """Running sums and maxima of each group, of rows that lie in ranges `p` of the order."""
     here = Window.partitionBy(*keys, "p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
@@ -170,7 +170,7 @@ def _large_groups(slim: DataFrame, group: DataFrame, keys: list[str], order: lis
         return passing[-1]
 
     # z: the time that a row's window reaches; i: its number in the group, from 0
-    base = _running(dealt(slim, *order), keys, order, {"i": F.lit(1).cast("long")}, {}).withColumn("i", F.col("i") - 1).drop("p", *order[1:])
+    base = running(dealt(slim, *order), keys, order, {"i": F.lit(1).cast("long")}, {}).withColumn("i", F.col("i") - 1).drop("p", *order[1:])
     edge = F.col("t_0") + F.floor((F.col("t_1") - F.col("t_0")) / unit) * unit
     base = base.join(group, keys).withColumn("z", F.coalesce(F.col("t") + frame, F.when(F.col("t") <= edge, edge).otherwise(F.col("t_1")))).drop("n", "t_0", "t_1")
     one = F.lit(1).cast("long")
@@ -188,7 +188,7 @@ def _large_groups(slim: DataFrame, group: DataFrame, keys: list[str], order: lis
     none = F.lit(0).cast("long")
     asked = base.select(*keys, "i", F.col("z").alias("x"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("t"), none.alias("new"), none.alias("left"))
     both = base.select(*keys, "i", F.col("t").alias("x"), F.lit(0).alias("probe"), "t", "new", "left").unionByName(asked)
-    both = _running(dealt(both, "x", "probe", "i"), keys, ["x", "probe", "i"], {"upto": (1 - F.col("probe")).cast("long"), "news": F.col("new"), "lefts": F.col("left")}, {"last": F.col("t")})
+    both = running(dealt(both, "x", "probe", "i"), keys, ["x", "probe", "i"], {"upto": (1 - F.col("probe")).cast("long"), "news": F.col("new"), "lefts": F.col("left")}, {"last": F.col("t")})
     on = lambda probe, c: F.max(F.when(F.col("probe") == probe, F.col(c)))
     full = both.groupBy(*keys, "i").agg(on(0, "t").alias("t"), on(1, "last").alias("end"), (on(1, "upto") - 1).alias("R"), (on(1, "news") - on(0, "lefts") + on(0, "left")).alias("c"))
     op, number = of([s.op for s in specs], "string"), of([s.number for s in specs], "long")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import enrich, payload, text
 from tracewell.many_rules import many_rules, many_rules_sql
+from tracewell.source_queries import REPORTED, concatenated, file_channels, report_channels
 from tracewell.operators import filters, reports, timeline
 from tracewell.operators.detect import correlate, count_detections, count_text, detections, for_present_channels, matches, resolver, timeline_rows, with_details
 from tracewell.plans.leaves import Lists
@@ -502,6 +503,22 @@ def _escaped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _simple("a2_escaped_keys", _escaped_keys, "SELECT agg_key, n_rows FROM (" + greedy_sql("channel = 'error'", r"'C:\\a \b\\n' || f_user_id", 21600, ">= 3") + ") x")
+_simple(
+    "s3_concatenated_json",
+    concatenated,
+    f"""WITH {EVENTS} SELECT record_id, 'if (x) {{a}} }}{{ "' || f_user_id || '\\" {{ \\\\' || data_string AS msg, f_k AS deep FROM rec""",
+)
+_RULES_OF_CHANNELS = "---".join(RULES.split("---")[i] for i in (0, 2))
+_simple(
+    "f7_file_channels",
+    lambda s, d: file_channels(s, d, parse_rules(_RULES_OF_CHANNELS, "inline")),
+    _WITH + "SELECT record_id, rule_id, channel FROM found WHERE rule_id <> 'r2'",
+)
+_simple(
+    "f9_report_channels",
+    report_channels,
+    f"WITH {EVENTS} SELECT CASE channel " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REPORTED.items()) + f" END AS channel, event_id, count(*) AS n FROM rec WHERE channel IN {tuple(REPORTED)} GROUP BY ALL",
+)
 _simple("u1_many_rules", many_rules, many_rules_sql(EVENTS, DOCS))
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import leaves, strip
+from tracewell.operators.windows import running
+from tracewell.sources.prune import Channels, channel_files, of_files
+from tracewell.storage import cut
 
 JSON_EXTENSIONS = ("json", "jsonl")
 
@@ -21,28 +24,58 @@ def _paths(path: str, extensions: tuple[str, ...]) -> dict:
     return {"recursiveFileLookup": "true", "pathGlobFilter": "[!.]*.{" + ",".join(extensions) + "}"}
 
 
-def read_text(spark: SparkSession, path: str, *, whole: bool = False, extensions: tuple[str, ...] = JSON_EXTENSIONS) -> DataFrame:
-    """Lines (or whole files) below a folder; dot-files are skipped. `path` may be one file or a list."""
+def read_text(spark: SparkSession, path: str | list[str], *, whole: bool = False, line_end: str | None = None, extensions: tuple[str, ...] = JSON_EXTENSIONS) -> DataFrame:
+    """Lines (or whole files) below a folder as file, block (where the split begins) and raw; dot-files are skipped.
+    `path` may be one file or a list."""
     paths = [path] if isinstance(path, str) else path
     options = _paths(path, extensions) if all("." not in p.rsplit("/", 1)[-1] for p in paths) else {}
-    return spark.read.options(**options).text(paths, wholetext=whole).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
-
-
-def json_lines(spark: SparkSession, path: str, **options) -> DataFrame:
-    """One record per line; blank and malformed lines are skipped."""
-    rows = read_text(spark, path, **options).where(F.trim("raw") != "")
+    if line_end is not None:
+        options["lineSep"] = line_end
+    return spark.read.options(**options).text(paths, wholetext=whole).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
+
+
+def json_lines(spark: SparkSession, path: str | list[str], *, channels: Channels | None = None, **options) -> DataFrame:
+    """One record per line; blank and malformed lines are skipped. channels: only files whose first record's channel is
+    one of them are read (see tracewell.sources.prune)."""
+    rows = read_text(spark, path, **options)
+    if channels is not None:
+        rows = of_files(rows, channel_files(first_lines(rows), channels))
+    return records(rows.where(F.trim("raw") != "").withColumn("v", F.try_parse_json("raw")).where("v is not null").select("file", "v"))
+
+
+def json_files(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """Files that hold an array of objects, or objects one behind the other; whatever lies between objects is skipped, and
+    objects that can't be parsed are. Files are split at every closing brace and so over tasks, whatever their size; which
+    braces lie in a string, and which end an object, follows from running sums over pieces, blocks and file. Behind a
+    closing brace too many a file's objects are lost. The pieces are written to the shared folder by a job that runs at
+    once."""
+    source = read_text(spark, path, line_end="}", **options)
+    text = F.regexp_replace("raw", r"(?s)\\.", "")  # escapes stand in strings only; a piece ends before none
+    count = lambda c, x: (F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("long")
+    quotes = count(F.col("bare"), '"')
+
+    def opened(inside: bool) -> Column:
+        """Braces that open outside strings, if the piece begins inside one or not."""
+        odd = (quotes + int(inside)) % 2 == 1
+        whole = F.concat(F.lit('"' if inside else ""), "bare", F.when(odd, '"').otherwise(""))
+        return count(F.regexp_replace(whole, r'"[^"]*+"', ""), "{")
+
+    pieces = source.withColumn("bare", text).select("file", F.col("block").alias("p"), F.monotonically_increasing_id().alias("pos"), "raw", quotes.alias("quotes"), opened(False).alias("opens_out"), opened(True).alias("opens_in"))
+    pieces = cut(pieces, "json-pieces")
+    order = ["pos"]
+    line = running(pieces.drop("raw"), ["file"], order, {"q": F.col("quotes")}, {})
+    inside, ends_inside = (F.col("q") - F.col("quotes")) % 2 == 1, F.col("q") % 2 == 1
+    close = F.when(ends_inside, 0).otherwise(1)
+    line = line.select("file", "p", "pos", close.alias("closes"), (F.when(inside, F.col("opens_in")).otherwise(F.col("opens_out")) - close).alias("step"))
+    line = running(line, ["file"], order, {"depth": F.col("step")}, {})
+    line = line.select("file", "p", "pos", ((F.col("depth") == 0) & (F.col("closes") == 1)).cast("long").alias("last"))
+    line = running(line, ["file"], order, {"nth": F.col("last")}, {}).select("file", "p", "pos", (F.col("nth") - F.col("last")).alias("nth"))
+    whole = pieces.select("file", "p", "pos", "raw").join(line, ["file", "p", "pos"]).groupBy("file", "nth").agg(F.array_sort(F.collect_list(F.struct("p", "pos", "raw"))).alias("parts"))  # one object's pieces
+    text = F.concat(F.array_join(F.transform("parts", lambda x: x["raw"]), "}"), F.lit("}"))
+    rows = whole.select("file", F.regexp_replace(text, r"(?s)\A[^{]*+", "").alias("raw")).where(F.col("raw") != "")
     return records(rows.withColumn("v", F.try_parse_json("raw")).where("v is not null").select("file", "v"))
 
 
-def json_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Files that hold an array of objects, or objects one behind the other."""
-    rows = read_text(spark, path, whole=True, **options)
-    flat = F.regexp_replace(F.trim("raw"), r"[\r\n]+", "")
-    array = F.when(flat.startswith("["), flat).otherwise(F.concat(F.lit("["), F.regexp_replace(flat, r"\}\s*\{", "},{"), F.lit("]")))
-    rows = rows.withColumn("all", F.try_variant_get(F.try_parse_json(array), "$", "array<variant>"))
-    return records(rows.select("file", F.explode("all").alias("v")))
-
-
 def export_rows(spark: SparkSession, path: str, **options) -> DataFrame:
     """Exports with `fields` and `rows`: one record per row."""
     rows = read_text(spark, path, whole=True, **options)
@@ -52,6 +85,13 @@ def export_rows(spark: SparkSession, path: str, **options) -> DataFrame:
     return records(rows.select("file", F.to_variant_object("m").alias("v")))
 
 
+def first_lines(rows: DataFrame) -> DataFrame:
+    """(file, channel) of the first record of each file of read_text: of a file's first split, which one task reads, the
+    first line that isn't blank."""
+    first = rows.where((F.col("block") == 0) & (F.trim("raw") != "")).groupBy("file").agg(F.first("raw").alias("raw"))
+    return first.select("file", F.coalesce(*[F.get_json_object("raw", f"$.{p}Channel") for p in ("", "result.", "Event.System.")]).alias("channel"))
+
+
 def records(rows: DataFrame) -> DataFrame:
     """(file, v) to records. An object under `result` is unwrapped; known names become system fields."""
     inner = F.coalesce(F.try_variant_get("v", "$.result", "variant"), F.col("v"))
