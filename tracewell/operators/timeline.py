@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import format_time
+from tracewell.storage import cut
 
 ORDER = ("ts", "level_rank", "event_id", "rule_path", "computer", "record_id")
 RAISED = {"low": "medium", "medium": "high", "high": "critical", "critical": "emergency"}
@@ -44,14 +45,44 @@ def without_duplicates(found: DataFrame, file: str = "file") -> DataFrame:
     return found.groupBy(*rest).agg(F.min(file).alias(file)).select(*found.columns)
 
 
+#: Rows of a range of a timeline that one task goes through.
+RANGE_ROWS = 1 << 17
+
+
 def mark_repeats(found: DataFrame, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
-    """`DUP` in place of a value equal to that of the row before. by: parts of the timeline emitted separately."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    for c in columns:
-        found = found.withColumn(f"{c}_prev", F.lag(c).over(w))
-    for c in columns:
-        found = found.withColumn(c, F.when((F.col(c) == F.col(f"{c}_prev")) & ~F.col(c).isin("-", ""), "DUP").otherwise(F.col(c))).drop(f"{c}_prev")
-    return found
+    """`DUP` in place of a value equal to that of the row before (and neither `-` nor empty). by: parts of the timeline
+    emitted separately.
+
+    Rows are dealt by ranges of their order, values are compared inside a range, and a range's first row with the last one
+    of the nearest range before it, so that no task holds a timeline or a part of it. The ranges are written to the
+    shared folder by a job that runs at once; rows equal in `by` and `order` keep that job's order."""
+    by = by or []
+    ranges = max(1, -(-found.count() // RANGE_ROWS))
+    rows = found.repartitionByRange(ranges, *by, *order) if ranges > 1 else found.coalesce(1)
+    kept = {c: f"dup_{i}" for i, c in enumerate(columns)}
+    rows = cut(rows.withColumn("dup_range", F.spark_partition_id()).withColumn("dup_row", F.monotonically_increasing_id()), "timeline-ranges")
+    here = Window.partitionBy("dup_range", *by).orderBy(*order, "dup_row")
+    rows = rows.select("*", F.row_number().over(here).alias("dup_place"), *[F.lag(c).over(here).alias(k) for c, k in kept.items()])
+    # one row a range and part: its last values, with those of the range before
+    last = rows.groupBy("dup_range", *by).agg(*[F.max_by(F.struct(c), F.struct("dup_place"))[c].alias(k) for c, k in kept.items()])
+    over = Window.partitionBy(*[F.col(c) for c in by]).orderBy("dup_range") if by else None
+    carried = last.select("dup_range", *by, *[F.lag(k).over(over).alias(f"{k}_before") for k in kept.values()]) if by else _before(last, list(kept.values()))
+    same = [F.col("dup_range") == F.col("c_range"), *[F.col(c).eqNullSafe(F.col(f"c_{i}")) for i, c in enumerate(by)]]
+    carried = carried.select(F.col("dup_range").alias("c_range"), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(by)], *[f"{k}_before" for k in kept.values()])
+    rows = rows.join(carried, same, "left")
+    for c, k in kept.items():
+        before = F.when(F.col("dup_place") == 1, F.col(f"{k}_before")).otherwise(F.col(k))
+        rows = rows.withColumn(c, F.when((F.col(c) == before) & ~F.col(c).isin("-", ""), "DUP").otherwise(F.col(c)))
+    return rows.select(*found.columns)
+
+
+def _before(last: DataFrame, columns: list[str]) -> DataFrame:
+    """With the last values of a timeline's ranges those of the range before each. The numbers of the ranges that have rows,
+    no more than the job before had tasks, go through the driver."""
+    held = sorted(r[0] for r in last.select("dup_range").collect())
+    pairs = last.sparkSession.createDataFrame(list(zip(held[1:], held, strict=False)), "dup_range int, dup_before int")
+    values = last.select(F.col("dup_range").alias("dup_before"), *[F.col(k).alias(f"{k}_before") for k in columns])
+    return pairs.join(values, "dup_before").drop("dup_before")
 
 
 def raise_levels(found: DataFrame, critical: list[str]) -> DataFrame:

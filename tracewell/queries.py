@@ -287,7 +287,48 @@ _simple("o3_mark_repeats", _over_found(lambda d: timeline.mark_repeats(d.select(
 _simple("o4_sort_export", _over_found(lambda d: timeline.sort_export(timeline.project(d, {"Timestamp": "ts", "Computer": "computer", "Rule": "rule_id", "EvtxFile": "file"}))), _WITH + "SELECT DISTINCT strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' +00:00' AS Timestamp, computer AS Computer, rule_id AS Rule, file AS EvtxFile FROM found")
 _simple("l1_rule_filters", lambda s, d: (lambda r: detections(r, filter_rules(parse_rules(RULES), min_level="medium", exclude_status={"experimental"}, include_category={"app"}, exclude_tag={"attack.execution"}), resolver(r)).select("record_id", "rule_id"))(from_events(s, d)), _WITH + "SELECT record_id, rule_id FROM found WHERE rule_id = 'r2'")
 _simple("m23_expand", lambda s, d: (lambda r: matches(r, parse_rules(RULES.split("---")[0].replace("{Channel: error}", "{'Channel|expand': '%kinds%'}"), expand={"kinds": ["error", "view"]}), resolver(r)).select("record_id", "channel"))(from_events(s, d)), f"WITH {EVENTS} SELECT record_id, channel FROM rec WHERE channel IN ('error', 'view') AND event_id <> '3'")
-_simple("r9_base64", lambda s, d: payload.extract(from_documents(s, d), F.col("f_text")).select("record_id", "token", "kind", "decoded", "encoded_again"), None)
+#: Payloads of event records by their number: text in three encodings, twice encoded, a file, a hyphenated name, words.
+_PAYLOADS = 7
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event records as the ten kinds that carry payloads, and others."""
+    r = from_events(spark, sf_dir)
+    n = F.col("record_id").cast("long")
+    told = F.concat(F.lit("run "), "f_login", F.lit("\t"), "data_string")
+    utf16 = lambda c, form: F.hex(c) if form == "" else F.regexp_replace(F.hex(c), "(..)", form)
+    coded = lambda c, form="": F.base64(F.unhex(utf16(c, form)))
+    values = [coded(told), coded(told, "$100"), coded(told, "00$1"), coded(F.concat(told, F.lit(" "), coded(told))), F.base64(F.unhex(F.concat(F.lit("504B0304FF"), F.hex(told)))), F.concat(F.lit("a-"), coded(told)), F.concat("f_login", F.lit(" plainwords "), "data_string")]
+    value = F.concat(F.lit("x -enc "), F.coalesce(*[F.when(n % _PAYLOADS == i, v) for i, v in enumerate(values)]), F.lit(" end"))
+    kinds = [(channels[0], event_id) for channels, event_id, _, _ in payload.EVENTS] + [("Other", "4688")]
+    of = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), (n % len(kinds) + 1).cast("int"))
+    r = r.withColumn("channel", of(0)).withColumn("event_id", of(1)).withColumn("data_array", F.array(F.lit("a"), F.lit("b"), value))
+    r = r.withColumns({f"f_{c}": value for c in ("CommandLine", "ParentCommandLine", "ScriptBlockText", "ImagePath", "Payload")}).withColumn("f_ContextInfo", F.lit(None).cast("string"))
+    return payload.extract(r, resolver(r)).select(*[c for c in ("record_id", "token", "decoded", "original", "length", "binary", "double", "encoding", "file_type", "event")])
+
+
+_simple(
+    "r9_base64",
+    _payloads,
+    f"""WITH {EVENTS}, told AS (
+  SELECT record_id, record_id::BIGINT AS n, 'run ' || f_login || chr(9) || data_string AS t, f_login, data_string FROM rec
+), coded AS (
+  SELECT *, regexp_replace(to_base64(encode(t)), '=+$', '') AS once,
+    regexp_replace(to_base64(encode(CASE n % 7 WHEN 1 THEN regexp_replace(t, '(?s)(.)', '\\1' || chr(0), 'g') WHEN 2 THEN regexp_replace(t, '(?s)(.)', chr(0) || '\\1', 'g')
+      WHEN 3 THEN t || ' ' || to_base64(encode(t)) ELSE t END)), '=+$', '') AS text_token,
+    regexp_replace(to_base64(unhex('504B0304FF' || hex(t))), '=+$', '') AS file_token FROM told
+), kinds AS (
+  SELECT *, ['Sec 4688', 'Sysmon 1', 'Sys 7045', 'PwSh 4104', 'PwSh 4103', 'PwSh 4102', 'PwSh 4100', 'PwShClassic 400', 'PwShClassic 403', 'PwShClassic 600', NULL][n % 11 + 1] AS event FROM coded
+)
+SELECT record_id, CASE n % 7 WHEN 4 THEN file_token ELSE text_token END AS token,
+  CASE n % 7 WHEN 4 THEN '(Binary Data)' WHEN 3 THEN replace(t, chr(9), '') || ' ' || to_base64(encode(t)) ELSE replace(t, chr(9), '') END AS decoded,
+  'x -enc <Base64String> end' AS original,
+  CASE n % 7 WHEN 4 THEN 5 + strlen(t) WHEN 3 THEN strlen(t) + 1 + strlen(to_base64(encode(t))) ELSE strlen(t) END AS length,
+  CASE n % 7 WHEN 4 THEN 'Y' ELSE 'N' END AS binary, CASE WHEN n % 7 = 3 AND regexp_matches(once, '[0-9+/]') THEN 'Y' ELSE 'N' END AS double,
+  CASE n % 7 WHEN 1 THEN 'UTF-16 LE' WHEN 2 THEN 'UTF-16 BE' WHEN 4 THEN 'Binary' ELSE 'UTF-8' END AS encoding, CASE n % 7 WHEN 4 THEN 'application/zip' ELSE 'text' END AS file_type, event
+FROM kinds, range(CASE WHEN event = 'Sysmon 1' THEN 2 ELSE 1 END) 
+WHERE event IS NOT NULL AND n % 7 < 5 AND regexp_matches(CASE n % 7 WHEN 4 THEN file_token ELSE text_token END, '[0-9+/]')""",
+)
 _LOGONS = (("3", "error", False), ("5", "click", True))
 _simple("r2_logon_summary", _over_events(lambda r: reports.logon_summary(r, {"target": F.col("f_owner"), "source": F.col("f_ip")}, _LOGONS)), f"WITH {EVENTS} SELECT coalesce(f_owner, '-') AS target, f_ip AS source, event_id, count(*) FILTER (channel = 'click') AS successes, count(*) FILTER (channel = 'error') AS failures, min(ts) AS first_ts, max(ts) AS last_ts FROM rec WHERE (event_id, channel) IN (('3', 'error'), ('5', 'click')) GROUP BY 1, 2, 3")
 _simple("r10_critical_systems", _over_events(lambda r: reports.critical_systems(r, F.col("f_owner"), channel="error", ticket="3", share="5", skipped="User-13")), f"WITH {EVENTS} SELECT DISTINCT CASE event_id WHEN '3' THEN 'domain controller' ELSE 'file server' END AS kind, computer FROM rec WHERE channel = 'error' AND (event_id = '3' OR (event_id = '5' AND f_owner <> 'User-13'))")
@@ -519,6 +560,13 @@ _simple(
     report_channels,
     f"WITH {EVENTS} SELECT CASE channel " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REPORTED.items()) + f" END AS channel, event_id, count(*) AS n FROM rec WHERE channel IN {tuple(REPORTED)} GROUP BY ALL",
 )
+_simple(
+    "o3_repeats_of_a_timeline",
+    _over_found(lambda d: timeline.mark_repeats(d.select("ts", "record_id", "rule_id", "computer", "f_k"), ["f_k", "computer"], ["ts", "record_id", "rule_id"])),
+    _WITH.replace("f_user_id, f_owner, r.*", "f_k, r.*") + """SELECT ts, record_id, rule_id,
+  CASE WHEN computer = lag(computer) OVER w THEN 'DUP' ELSE computer END AS computer, CASE WHEN f_k = lag(f_k) OVER w THEN 'DUP' ELSE f_k END AS f_k
+FROM found WINDOW w AS (ORDER BY ts, record_id, rule_id)""",
+)
 _simple("u1_many_rules", many_rules, many_rules_sql(EVENTS, DOCS))
 
 
