@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,23 @@ LOGONS = (
     ("302", "Microsoft-Windows-TerminalServices-Gateway/Operational", True),
     ("303", "Microsoft-Windows-TerminalServices-Gateway/Operational", True),
 )
+#: Where logon events keep what the summary shows (fixed values): channel, event ids, name, then the fields of user,
+#: domain, source computer and source address. One field for user and domain holds both, parted by the last backslash.
+_REMOTE = "Microsoft-Windows-TerminalServices-{}/Operational"
+ROUTES = (
+    ("Security", ("4624", "4625"), "Sec {}", "TargetUserName", "TargetDomainName", "WorkstationName", "IpAddress"),
+    ("Security", ("4778", "4779"), "Sec {}", "AccountName", "AccountDomain", "ClientName", "ClientAddress"),
+    (_REMOTE.format("LocalSessionManager"), ("21", "25"), "RDS-LSM {}", "UserDataUser", "UserDataUser", "WorkstationName", "UserDataAddress"),
+    (_REMOTE.format("RemoteConnectionManager"), ("1149",), "RDS-RCM {}", "UserDataParam1", "UserDataParam2", "WorkstationName", "UserDataParam3"),
+    (_REMOTE.format("Gateway"), ("302",), "RDS-GTW {}", "RdsGtwUsername", "RdsGtwUsername", "WorkstationName", "RdsGtwIpAddress"),
+)
+#: The event that counts as a failed logon, and names of logon types (fixed values).
+FAILED = "4625"
+LOGON_TYPES = {
+    "0": "System", "2": "Interactive", "3": "Network", "4": "Batch", "5": "Service", "7": "Unlock", "8": "NetworkCleartext", "9": "NewInteractive",
+    "10": "RemoteInteractive", "11": "CachedInteractive", "12": "CachedRemoteInteractive", "13": "CachedUnlock",
+}
+LOGON_KEY = ("event", "user", "domain", "computer", "logon_type", "source_user", "source_domain", "source_computer", "source_ip")
 #: Values that say nothing in a keyword list (fixed values).
 NO_KEYWORD = ("-", "127.0.0.1", "::1")
 
@@ -42,6 +61,37 @@ def logon_summary(records: DataFrame, key: dict[str, Column], logons: tuple[tupl
     return out.orderBy(F.desc(F.col("successes") + F.col("failures")), *key, "event_id")
 
 
+def logons(records: DataFrame, resolve: Callable[[str], Column]) -> DataFrame:
+    """Logons by the nine columns of LOGON_KEY: successes and failures with their first and last times, in one pass. What a
+    record lacks is a dash; quotes are taken out of values. Records without a time count, but give none."""
+    text = lambda name: F.coalesce(F.regexp_replace(resolve(name).cast("string"), "[\"']", ""), F.lit("-"))
+    routed = F.lit(None)
+    for channel, ids, label, user, domain, computer, address in ROUTES:
+        whole = text(user)
+        both = (F.element_at(F.split(whole, r"\\"), -1), F.when(whole.contains("\\"), F.regexp_extract(whole, r"(?s)\A(.*)\\", 1)).otherwise("-")) if user == domain else (whole, text(domain))
+        made = F.struct(F.format_string(label.format("%s"), "event_id").alias("event"), both[0].alias("user"), both[1].alias("domain"), text(computer).alias("source_computer"), text(address).alias("source_ip"))
+        routed = F.when((F.col("channel") == channel) & F.col("event_id").isin(list(ids)), made).otherwise(routed)
+    rows = records.withColumn("logon", routed).where("logon is not null")
+    kind = lookup(text("LogonType"), {k: f"{k} - {v}" for k, v in LOGON_TYPES.items()})
+    key = {"event": F.col("logon.event"), "user": F.col("logon.user"), "domain": F.col("logon.domain"), "computer": text("Computer"), "logon_type": kind, "source_user": text("SubjectUserName"), "source_domain": text("SubjectDomainName"), "source_computer": F.col("logon.source_computer"), "source_ip": F.col("logon.source_ip")}
+    failed = F.col("event_id") == FAILED
+    rows = rows.select(*[c.alias(k) for k, c in key.items()], failed.alias("failed"), "ts")
+    of = lambda f, when: f(F.when(when, F.col("ts")))
+    bad = F.col("failed")
+    return rows.groupBy(*LOGON_KEY).agg(
+        F.count_if(~bad).alias("successes"), F.count_if(bad).alias("failures"), of(F.min, ~bad).alias("first_success"), of(F.max, ~bad).alias("last_success"), of(F.min, bad).alias("first_failure"), of(F.max, bad).alias("last_failure"),
+    )
+
+
+def logon_outputs(found: DataFrame) -> dict[str, DataFrame]:
+    """The two outputs of logons(): successful and failed ones, the most frequent first, then by key."""
+    out = {}
+    for name, n, first, last in (("successful", "successes", "first_success", "last_success"), ("failed", "failures", "first_failure", "last_failure")):
+        rows = found.where(F.col(n) > 0).select(F.col(n).alias("n"), *LOGON_KEY, F.col(first).alias("first_ts"), F.col(last).alias("last_ts"))
+        out[name] = rows.orderBy(F.desc("n"), *LOGON_KEY)
+    return out
+
+
 def computer_metrics(records: DataFrame, os_names: dict[str, str] | None = None) -> DataFrame:
     """Per computer: events, operating system, time zone, last boot, uptime and the last event's time."""
     boot = F.when((F.col("channel") == "System") & F.col("event_id").isin("12", "6005", "6009"), F.col("ts"))
@@ -53,9 +103,17 @@ def computer_metrics(records: DataFrame, os_names: dict[str, str] | None = None)
 
 
 def file_metrics(records: DataFrame) -> DataFrame:
-    """Per file: events, first and last time, and the sorted distinct computers, channels and providers as text."""
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " ¦ ").alias(f"{c}s")
-    return records.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), joined("computer"), joined("channel"), joined("provider"))
+    """Per file: events, first and last time, and the sorted distinct computers, channels and providers as text; where the
+    records have a column file_size, that too. Distinct values are found first, so lists are gathered from these only."""
+    size = [F.max("file_size").alias("file_size")] if "file_size" in records.columns else []
+    kinds = ("computer", "channel", "provider")
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds])
+    held = records.select("file", F.explode(pairs).alias("p")).select("file", "p.*").where("value is not null").distinct()
+    joined = lambda k: F.coalesce(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))), " ¦ "), F.lit("")).alias(f"{k}s")
+    lists = held.groupBy("file").agg(*map(joined, kinds))
+    made = records.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *size)
+    met = made.join(lists.withColumnRenamed("file", "of"), F.col("file").eqNullSafe(F.col("of")), "left").drop("of")
+    return met.select(*made.columns, *[F.coalesce(f"{k}s", F.lit("")).alias(f"{k}s") for k in kinds])
 
 
 def search(records: DataFrame, keywords: list[str] | None = None, pattern: str | None = None, *, every: bool = False, ignore_case: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import enrich, payload, text
 from tracewell.many_rules import many_rules, many_rules_sql
+from tracewell.report_queries import csv_lines, csv_lines_sql, json_rows, json_rows_sql, logon_routes, logon_routes_sql
 from tracewell.source_queries import REPORTED, concatenated, file_channels, report_channels
 from tracewell.operators import filters, reports, timeline
 from tracewell.operators.detect import correlate, count_detections, count_text, detections, for_present_channels, matches, resolver, timeline_rows, with_details
@@ -567,6 +568,34 @@ _simple(
   CASE WHEN computer = lag(computer) OVER w THEN 'DUP' ELSE computer END AS computer, CASE WHEN f_k = lag(f_k) OVER w THEN 'DUP' ELSE f_k END AS f_k
 FROM found WINDOW w AS (ORDER BY ts, record_id, rule_id)""",
 )
+_RANGES = {
+    "asn": [("0.0.0.0", "255.255.255.255", "v4"), ("::1:0:0:0", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "v6")],
+    "country": [("2001:db8::", "2001:db8:7:ffff:ffff:ffff:ffff:ffff", "X"), ("2001:DB8:9::", "2001:db8:b:ffff:ffff:ffff:ffff:ffff", "Y"), ("11.1.0.0", "11.2.255.255", "Z")],
+    "city": [("2001:db8:3::11", "2001:db8:3::43", "town"), ("11.3.0.7", "11.3.0.7", "one")],
+}
+
+
+def _three_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 addresses of half of the users, IPv4 ones of the others."""
+    user = F.col("f_user_id").cast("long")
+    six = F.format_string("2001:db8:%x::%x", user % 16, user)
+    r = from_events(spark, sf_dir).withColumn("addr", F.when(user % 2 == 1, six).otherwise(F.regexp_replace("f_ip", "^10", "11")))
+    r = r.withColumn("addr", F.when(user % 10 == 0, "n/a").when(user % 50 == 1, F.concat(F.lit("::ffff:11.3.0.7"))).otherwise(F.col("addr")))
+    tables = {k: spark.createDataFrame(v, "lo string, hi string, value string") for k, v in _RANGES.items()}
+    return enrich.places(r, "addr", tables).select("record_id", *tables)
+
+
+_simple(
+    "e13_three_tables",
+    _three_tables,
+    f"""WITH {EVENTS}, u AS (SELECT record_id, f_user_id::BIGINT AS u, CASE WHEN f_user_id::BIGINT % 10 = 0 THEN 'none' WHEN f_user_id::BIGINT % 50 = 1 THEN 'mapped' WHEN f_user_id::BIGINT % 2 = 1 THEN 'six' ELSE 'four' END AS k FROM rec)
+SELECT record_id, CASE k WHEN 'none' THEN '-' WHEN 'six' THEN 'v6' ELSE 'v4' END AS asn,
+  CASE WHEN k = 'six' AND u % 16 <= 7 THEN 'X' WHEN k = 'six' AND u % 16 BETWEEN 9 AND 11 THEN 'Y' WHEN k = 'four' AND u % 4 IN (1, 2) THEN 'Z' ELSE '-' END AS country,
+  CASE WHEN k = 'six' AND u % 16 = 3 AND u BETWEEN 17 AND 67 THEN 'town' WHEN k = 'mapped' THEN 'one' ELSE '-' END AS city FROM u""",
+)
+_simple("k1_csv_lines", csv_lines, csv_lines_sql(EVENTS))
+_simple("k2_json_timeline", json_rows, json_rows_sql(EVENTS))
+_simple("r2_logon_routes", logon_routes, logon_routes_sql(EVENTS))
 _simple("u1_many_rules", many_rules, many_rules_sql(EVENTS, DOCS))
 
 
