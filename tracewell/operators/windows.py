@@ -106,7 +106,8 @@ def _reached(nxt: np.ndarray, start: np.ndarray) -> np.ndarray:
     return seen[:-1]
 
 
-def _holds(specs: list[AggSpec], rule: np.ndarray, count: np.ndarray) -> np.ndarray:
+def holds(specs: list[AggSpec], rule: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether each count is what its rule asks for."""
     number, out = np.array([s.number for s in specs])[rule], np.zeros(len(count), dtype=bool)
     for op, test in _HOLDS.items():
         of = np.array([s.op == op for s in specs])[rule]
@@ -114,6 +115,18 @@ def _holds(specs: list[AggSpec], rule: np.ndarray, count: np.ndarray) -> np.ndar
     return out
 
 
+def count_in_windows(t: np.ndarray, z: np.ndarray, last: np.ndarray, v: np.ndarray, g: np.ndarray | None = None) -> np.ndarray:
+    """Distinct values v among the rows from each one to its window's last, of rows in order of group and time: of equal
+    values in a window only the first is new, and one leaves it when none follows within reach."""
+    at = np.arange(len(t))
+    g = np.zeros(len(t), dtype=np.int64) if g is None else g
+    by = np.lexsort((at, v, g))
+    parted = (np.diff(v[by]) != 0) | (np.diff(g[by]) != 0) | (z[by[:-1]] < t[by[1:]])
+    new, left = np.ones(len(t), dtype=np.int64), np.ones(len(t), dtype=np.int64)
+    new[by[1:]], left[by[:-1]] = parted, parted
+    return np.cumsum(new)[last] - np.cumsum(left) + left
+
+
 def _small_groups(slim: DataFrame, keys: list[str], order: list[str], specs: list[AggSpec], unit: int) -> DataFrame:
     numbered = slim.select((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).alias("i"), "t", "v", *keys)
     frame = np.array([-1 if s.frame is None else s.frame * unit for s in specs])
@@ -137,15 +150,10 @@ def _small_groups(slim: DataFrame, keys: list[str], order: list[str], specs: lis
             else:
                 last = np.concatenate([a + np.searchsorted(t[a : b + 1], z[a : b + 1], side="right") - 1 for a, b in zip(first, end, strict=True)])
             c = last - at + 1
-            if counts[rule].any():  # of equal values in a window only the first is new, one leaves it when none follows
+            if counts[rule].any():
                 v = np.asarray(batch.column(2).dictionary_encode().indices)
-                by = np.lexsort((at, v, g))
-                same = (np.diff(v[by]) == 0) & (np.diff(g[by]) == 0)
-                parted = ~same | (z[by[:-1]] < t[by[1:]])
-                new, left = np.ones(n, dtype=np.int64), np.ones(n, dtype=np.int64)
-                new[by[1:]], left[by[:-1]] = parted, parted
-                c = np.where(counts[rule], np.cumsum(new)[last] - np.cumsum(left) + left, c)
-            ok = _holds(specs, rule, c)
+                c = np.where(counts[rule], count_in_windows(t, z, last, v, g), c)
+            ok = holds(specs, rule, c)
             nxt = np.where(ok, last + 1, at + 1)
             keep = np.flatnonzero(_reached(np.where(nxt > end[g], n, nxt), first) & ok)
             if len(keep):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import enrich, payload, text
 from tracewell.many_rules import many_rules, many_rules_sql
 from tracewell.report_queries import csv_lines, csv_lines_sql, json_rows, json_rows_sql, logon_routes, logon_routes_sql
-from tracewell.source_queries import REPORTED, concatenated, file_channels, report_channels
+from tracewell.source_queries import REPORTED, concatenated, file_channels, report_channels, stream_counts
 from tracewell.operators import filters, reports, timeline
 from tracewell.operators.detect import correlate, count_detections, count_text, detections, for_present_channels, matches, resolver, timeline_rows, with_details
 from tracewell.plans.leaves import Lists
@@ -593,6 +593,13 @@ SELECT record_id, CASE k WHEN 'none' THEN '-' WHEN 'six' THEN 'v6' ELSE 'v4' END
   CASE WHEN k = 'six' AND u % 16 <= 7 THEN 'X' WHEN k = 'six' AND u % 16 BETWEEN 9 AND 11 THEN 'Y' WHEN k = 'four' AND u % 4 IN (1, 2) THEN 'Z' ELSE '-' END AS country,
   CASE WHEN k = 'six' AND u % 16 = 3 AND u BETWEEN 17 AND 67 THEN 'town' WHEN k = 'mapped' THEN 'one' ELSE '-' END AS city FROM u""",
 )
+_simple(
+    "a3_count_stream",
+    lambda s, d: stream_counts(s, d, [rule({"s": {"Channel": ["error", "click"]}, "condition": "s | count(k) by user_id >= 2", "timeframe": "6h"})], "2 hours"),
+    # windows whose frame ends before the watermark: two hours before the latest record that the rule counts
+    "SELECT * FROM (" + greedy_sql("channel IN ('error', 'click')", "f_user_id", 21600, ">= 2", "coalesce(f_k, '')") + """) w
+WHERE win_start + INTERVAL 6 HOUR < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events WHERE event_type IN ('error', 'click'))""",
+)
 _simple("k1_csv_lines", csv_lines, csv_lines_sql(EVENTS))
 _simple("k2_json_timeline", json_rows, json_rows_sql(EVENTS))
 _simple("r2_logon_routes", logon_routes, logon_routes_sql(EVENTS))

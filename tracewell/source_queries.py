@@ -11,8 +11,9 @@ from tracewell.operators import filters
 from tracewell.operators.detect import detections, resolver
 from tracewell.plans.rules import Rule
 from tracewell.sources import files, prune
-from tracewell.sources.records import from_events
+from tracewell.sources.records import event_records, from_events
 from tracewell.storage import shared_dir
+from tracewell.streaming.counts import count_stream
 
 #: The event table's channels under the names of channels that reports read.
 REPORTED = {"error": filters.LOGON_CHANNELS[0], "click": filters.LOGON_CHANNELS[1]}
@@ -58,3 +59,15 @@ def report_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _by_channel(spark, records, _object())
     read = files.json_lines(spark, place, channels=filters.LOGON_CHANNELS, extensions=("txt",))
     return read.groupBy("channel", "event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_counts(spark: SparkSession, sf_dir: str, rules: list[Rule], delay: str) -> DataFrame:
+    """Windows of count rules over the event table as a stream, run until its files are used up."""
+    table = f"{sf_dir}/events.parquet"
+    glob = f"{sf_dir}/event[s].parquet"  # a source of files takes a folder or a pattern
+    read = event_records(spark.readStream.schema(spark.read.parquet(table).schema).parquet(glob))
+    place = _place(spark)
+    out = count_stream(read, rules, resolver(read), delay=delay).writeStream.format("parquet").outputMode("append")
+    out.option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start(place).awaitTermination()
+    made = spark.read.schema("rule_no int, agg_key string, win_start long, win_end long, n_rows long, win_count long").parquet(place)
+    return made.select("agg_key", F.timestamp_micros("win_start").cast("timestamp_ntz").alias("win_start"), F.timestamp_micros("win_end").cast("timestamp_ntz").alias("win_end"), "n_rows", "win_count")

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event table as records; event ids and hosts are derived from user ids."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return event_records(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_records(e: DataFrame) -> DataFrame:
     user = F.col("user_id").cast("string")
     return e.select(
         F.lit("events.parquet").alias("file"), "ts", F.col("event_type").alias("channel"), (F.col("user_id") % 8).cast("string").alias("event_id"),
