@@ -55,6 +55,14 @@ def test_bad_leaves(spark, bad):
         selection(bad, lambda n: F.lit(n), Lists())
 
 
+def test_expressions_with_escapes(spark):
+    """An escaped backslash before a digit is no back reference, an escaped bracket before ? no look-around."""
+    df = spark.createDataFrame([("x\\1", "(?=y")], "A string, B string")
+    assert df.select(selection({"A|re": r"x\\1"}, F.col, Lists()), selection({"B|re": r"\(\?=y"}, F.col, Lists())).first() == (True, True)
+    with pytest.raises(RuleError):
+        selection({"A|re": r"(x)\\\1"}, F.col, Lists())
+
+
 @pytest.mark.parametrize("text", ["a and", "and a", "a b", "not not a", "(a", "a)", "a & b", "x", "", "1 of them"])
 def test_bad_conditions(spark, text):
     with pytest.raises(RuleError):
@@ -119,6 +127,18 @@ def test_windows_empty_and_open(spark):
     assert greedy_windows(df.limit(0), ["k"], "t", AggSpec(None, (), ">=", 1, 5)).count() == 0
 
 
+IDS = ["00000000-0000-0000-0000-00000000000" + str(i) for i in range(4)]
+
+
+def test_rule_lists(tmp_path):
+    (tmp_path / "exclude_rules.txt").write_text(f"# left out\n{IDS[0]} # why\nno id\n\n")
+    (tmp_path / "noisy_rules.txt").write_text(IDS[1])
+    (tmp_path / "proven_rules.txt").write_text("\n".join(IDS[:3]))
+    rules = [R.parse_rules(RULE.replace("id: i", f"id: {i}"))[0] for i in IDS]
+    left = lambda **k: [IDS.index(r.rule_id) for r in R.listed_rules(rules, str(tmp_path), **k)]
+    assert left() == [2, 3] and left(noisy=True) == [1, 2, 3] and left(proven=True) == [2] and R.read_ids(str(tmp_path / "none")) == set()
+
+
 RULE = "title: t\nid: i\nauthor: a\nlevel: low\nstatus: test\ndate: 2024-01-01\nlogsource: {}\ndetection: {s: {EventID: 7, Answer: yes}}\n"
 
 
@@ -167,6 +187,7 @@ def test_sources_sinks_and_stream(spark, tmp_path):
     found = detect_stream(rows, R.parse_rules(RULE)).select("event_id", "rule_id")
     assert found.count() == 2
     sinks.write_csv(found, str(tmp_path / "csv"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "csv")).distinct().collect()) == ['"event_id","rule_id"', '7,"i"']
     with pytest.raises(Exception, match="already exists"):
         sinks.write_csv(found, str(tmp_path / "csv"))
     sinks.write_json_lines(found, str(tmp_path / "jsonl"))

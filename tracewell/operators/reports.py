@@ -142,8 +142,11 @@ def critical_systems(records: DataFrame, share_name: Column, *, channel: str = "
     return records.select(kind.alias("kind"), "computer").where("kind is not null").distinct()
 
 
-def pivot_keywords(found: DataFrame, fields: dict[str, list[Column]]) -> DataFrame:
-    """Distinct (category, value) of the fields of each category over detections, without empty ones."""
+def pivot_keywords(found: DataFrame, fields: dict[str, list[Column]], level: Column | None = None) -> DataFrame:
+    """Distinct (category, value) of the fields of each category over detections, without empty ones. level: the records'
+    own level; those without one, and of the lowest ones, are left out then."""
+    if level is not None:
+        found = found.where(level.isNotNull() & ~level.cast("string").isin("informational", "undefined", "-"))
     pairs = F.array(*[F.struct(F.lit(k).alias("category"), c.cast("string").alias("value")) for k, cs in fields.items() for c in cs])
     return found.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull() & ~F.col("value").isin(list(NO_KEYWORD)) & (F.col("value") != "")).distinct().orderBy("category", "value")
 

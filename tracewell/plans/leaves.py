@@ -111,7 +111,8 @@ def ascii_fold(text: str) -> str:
 def java_regex(pattern: str, flags: str = "") -> str:
     """A linear-time dialect's pattern for Java: Unicode classes, only \\n ends a line; look-around and back
     references don't exist there, so a rule that has them doesn't load."""
-    if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", pattern):
+    bare = re.sub(r"(?s)\\\\", "", pattern)  # an escaped backslash escapes nothing
+    if re.search(r"\\[1-9]", bare) or re.search(r"\(\?(?:[=!]|<[=!])", re.sub(r"(?s)\\.", "", bare)):
         raise RuleError(f"unsupported expression: {pattern}")
     return f"(?{flags}uUd){pattern}"
 

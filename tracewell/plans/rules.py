@@ -223,6 +223,29 @@ def filter_rules(rules: list[Rule], *, min_level: str = "informational", exact_l
     return [r for r in rules if wanted(r)]
 
 
+#: A rule's id in list files (fixed form).
+_ID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+
+
+def read_ids(*paths: str) -> set[str]:
+    """Rule ids of list files, one a line: what follows # is a remark, lines that hold no id are skipped, files that don't
+    exist have none."""
+    found = set()
+    for path in paths:
+        if Path(path).is_file():
+            lines = Path(path).read_text(encoding="utf-8", errors="replace").splitlines()
+            found |= {x for x in (line.split("#")[0].strip() for line in lines) if _ID.fullmatch(x)}
+    return found
+
+
+def listed_rules(rules: list[Rule], config: str, *, noisy: bool = False, proven: bool = False) -> list[Rule]:
+    """Rules less those that the lists exclude_rules.txt and (unless noisy) noisy_rules.txt of a folder name; with proven
+    only those that proven_rules.txt names, if it names any."""
+    at = lambda name: f"{config.rstrip('/')}/{name}_rules.txt"
+    out = read_ids(at("exclude"), *([] if noisy else [at("noisy")]))
+    return filter_rules(rules, exclude_ids=out, only_ids=read_ids(at("proven")) if proven else None)
+
+
 def for_channels(rules: list[Rule], channels: set[str]) -> list[Rule]:
     """Rules that may match one of the channels: those that name it (with * as part of it), and correlation rules."""
     low = {c.lower() for c in channels}

@@ -39,7 +39,7 @@ def write_csv(found: DataFrame, path: str, *, clobber: bool = False, multiline:
         first = True
         for batch in batches:
             if first and batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([header])], schema=batch.schema)
                 first = False
             yield batch
 
