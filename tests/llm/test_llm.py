@@ -1,11 +1,13 @@
 """The training-data operators against brute force on small fixtures with nulls, ties, repeats and clashing names."""
 
+import base64
 import hashlib
 import json
 import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,16 +393,42 @@ def test_toxicity_grades(spark):
     assert {r.predicted for r in got} == {0, 1, 2, 3} and np.mean([r.predicted == r.doc_id % 4 for r in got]) > 0.9
 
 
+def smallest_of_linked(rows):
+    """Ids that stay of groups of near copies: the smallest of each, by all pairs."""
+    sets = {r.doc_id: shingles(r.text) for r in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted(i for i in root if find(i) == i)
+
+
 def test_pipeline(spark, tmp_path):
-    """Each stage against what brute force says of its own input."""
+    """Each stage against what brute force says of its own input: whom the scores reject, the longest of equal texts, the
+    smallest of linked ones, words per source, ids of tiktoken."""
+    import tiktoken
+
     import corpus_pipeline as pipe
 
     df, _ = docs(spark, 120)
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    df.where("doc_id is not null").select(*cols).dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rng = random.Random(12)
+    junk = spark.createDataFrame([(1000 + i, " ".join(rng.choice(["$$$", "%%", "###!", "0x0"]) for _ in range(40)), "en", "s1", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    base = df.where("doc_id is not null").select(*[F.col(c).cast(junk.schema[c].dataType).alias(c) for c in cols]).dropDuplicates(["doc_id"])
+    base.unionByName(junk).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(1000 + i, 0) for i in range(60)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
     cur = spark.read.parquet(str(tmp_path / "documents.parquet"))
     before = cur.collect()
+    scored = {r.doc_id: r for r in quality_gam.classify(cur, labels).collect()}
     for k, (name, stage) in enumerate(pipe.STAGES):
         out = stage(spark, cur, str(tmp_path))
         out.write.parquet(str(tmp_path / f"out{k}"))
@@ -409,17 +437,41 @@ def test_pipeline(spark, tmp_path):
         if k < 4:
             assert cur.columns == cols
         if name == "quality classifier":
-            assert len(now) == len(before)
+            assert sorted(r.doc_id for r in now) == sorted(i for i, r in scored.items() if r.score >= 0.3)
+            assert not any(r.doc_id >= 1000 for r in now) and {r.doc_id for r in now} >= {r.doc_id for r in before if r.doc_id < 100 and len((r.text or "").split()) > 20}
         if name == "exact dedup":
-            assert sorted(normal(r.text) for r in now) == sorted({normal(r.text) for r in before})
+            best = {}
+            for r in before:
+                best[normal(r.text)] = min(best.get(normal(r.text), (0, 1 << 62)), (-len(r.text or ""), r.doc_id))
+            assert sorted(r.doc_id for r in now) == sorted(i for _, i in best.values())
         if name == "n-gram Jaccard join":
-            sets = [shingles(r.text) for r in now]
-            assert all(not (x and y and 100 * len(x & y) >= 75 * len(x | y)) for i, x in enumerate(sets) for y in sets[:i])
+            assert sorted(r.doc_id for r in now) == smallest_of_linked(before)
+        if name == "mixing sources":
+            count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+            sizes = {}
+            for r in before:
+                sizes[r.source] = sizes.get(r.source, 0) + count(r.text)
+            order = sorted(sizes, key=lambda s: (s is None, s))
+            for s, target in zip(order, mixing.targets([(s, sizes[s]) for s in order]), strict=True):
+                assert abs(sum(count(r.text) for r in now if r.source == s) - target) <= 0.5
+            whole = {r.doc_id: r.text or "" for r in before}
+            assert all(whole[r.doc_id].strip().startswith((r.text or "").strip()) for r in now)
         if name == "byte-level BPE":
-            assert sorted(r.decoded_sha256 for r in now) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in before)
+            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read().splitlines())}
+            enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            want = [(r.doc_id, len(ids := enc.encode_ordinary(r.text or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in before]
+            assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in now) == sorted(want)
         before = now
 
 
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipe.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_join_hot(spark, how):
     from tracewell.llm.shared import join_hot
@@ -471,6 +523,6 @@ def test_ordinal_fit_is_that_of_all_features(spark):
     used = [(i, t) for i, t in rows if i in learnt]
     y = np.array([1 if i % 5 == 0 or i == 7 else 0 for i, _ in used])
     whole = toxicity.train([toxicity.features([t.encode()])[0] for _, t in used], y, n_grades=2)
-    assert set(model.features) <= set(whole.features) | set(model.features) and np.allclose(model.thresholds, whole.thresholds, atol=0.05)
+    assert set(model.features) <= set(whole.features) and np.allclose(model.thresholds, whole.thresholds, atol=0.05)
     a, b = model.above([toxicity.features([t.encode()])[0] for _, t in rows]), whole.above([toxicity.features([t.encode()])[0] for _, t in rows])
     assert np.abs(a - b).max() < 0.05
