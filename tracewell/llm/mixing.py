@@ -125,13 +125,17 @@ def expand(mixed: DataFrame, columns: list[str], text: str = "text", size: str =
 
 
 def draw(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The documents of the mix, with the columns of docs."""
+    """The documents of the mix, with the columns of docs: repeated as often as they are taken whole, cut where their
+    source's budget ends. Null and empty texts take no words and stay once; null sources are one of their own, the last;
+    null ids, repeated rows and columns named like the mix's own change nothing; an empty table gives an empty one."""
     names = {c: free_name(docs.columns, c) for c in ("size", "taken")}
     return expand(mix(docs, text, source, doc_id), docs.columns, text, names["size"], names["taken"])
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document; texts are read once and not shuffled."""
+    """doc_id, size, source_size, target, taken of every document; texts are read once and not shuffled. Null texts and
+    sources, ties and repeated rows are treated as in mix(); other columns are not looked at; an empty table gives an
+    empty result."""
     slim = docs.select("doc_id", "source", words(F.col("text")).alias("n_words"), F.xxhash64("text").alias("text_hash"))
     mixed = mix(cut(slim, "mix-sizes"), n_words=F.col("n_words"), text_hash=F.col("text_hash"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

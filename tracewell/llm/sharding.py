@@ -65,7 +65,8 @@ def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, limit:
 
 
 def write(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", *, limit: int = LIMIT) -> None:
-    """docs as Parquet, a folder per shard."""
+    """docs as Parquet, a folder per shard. Null texts and ids, repeated rows, clashing columns and empty tables are treated as
+    in shard(); an empty table writes no folder of a shard. Rows that share an id lie in one shard. An existing path is an error."""
     name = free_name(docs.columns, "shard")
     keys = shard(docs, text, doc_id, limit=limit).select(F.col("doc_id").alias(f"__{name}_id"), F.col("shard").alias(name)).distinct()
     joined = docs.join(keys, F.col(doc_id).cast("long").eqNullSafe(F.col(f"__{name}_id"))).drop(f"__{name}_id")

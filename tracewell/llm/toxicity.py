@@ -19,8 +19,11 @@ from tracewell.llm.quality_gam import held_out
 from tracewell.llm.shared import as_bytes, hash_words, small_batches, steps
 from tracewell.storage import cut, drop_cut
 
-#: Labelled rows that are learnt from at most, chosen by a hash of doc_id; features kept; buckets features are hashed to.
-SAMPLE, KEPT, BUCKETS = 20_000, 4096, 1 << 20
+#: Labelled rows that are learnt from at most, chosen by a hash of doc_id; buckets features are hashed to.
+SAMPLE, BUCKETS = 20_000, 1 << 20
+#: A feature gets a weight if the mean grade of its rows lies so far from that of all: the squared difference over its
+#: variance, which passes this in one of a hundred cases by chance.
+TELLING = 6.6
 #: Bytes of a word's beginning that make a feature of their own.
 HEAD = 5
 _BREAK = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
@@ -52,7 +55,7 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(total[:, None] - self.thresholds[None, :], -35, 35)))
 
 
-def train(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, kept: int = KEPT, epochs: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> Ordinal:
+def train(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, epochs: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> Ordinal:
     """Maximise the cumulative-link likelihood by adaptive gradient steps over all rows. Without rows every
     grade above 0 is unlikely."""
     thresholds = np.linspace(0, 1, n_grades - 1) + 3.0
@@ -60,13 +63,12 @@ def train(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, kept: in
         return Ordinal(np.zeros(0, np.int32), np.zeros(0), thresholds)
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    # keep the features that part the grades best: squared difference from the mean grade, over its variance
+    # keep all features that part the grades
     n = np.bincount(flat, minlength=BUCKETS)
     moved = np.bincount(flat, (grades - grades.mean())[owner], BUCKETS) ** 2 / np.maximum(n, 1) / max(grades.var(), 1e-9)
-    best = np.argsort(-moved, kind="stable")[:kept]
-    chosen = np.sort(best[moved[best] > 6.6]).astype(np.int32)
+    chosen = np.flatnonzero(moved > TELLING).astype(np.int32)
     if not len(chosen):
-        chosen = np.sort(best[:1]).astype(np.int32)
+        chosen = np.array([moved.argmax()], dtype=np.int32)
     at = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
     used = chosen[at] == flat
     at, owner = at[used], owner[used]
@@ -93,13 +95,13 @@ def train(rows: list[np.ndarray], grades: np.ndarray, *, n_grades: int, kept: in
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", *, n_grades: int | None = None, sample: int = SAMPLE) -> Ordinal:
     """Learn from at most `sample` labelled rows that aren't held out. Null grades and unknown ids are left out;
-    of several grades of an id the largest counts. Grades go from 0 to the labels' largest; with n_grades, those
-    beyond the last count as the last. Where the sample ends, ties of the hash go by doc_id; without labelled rows
+    of several grades of an id the largest counts. Grades go from 0 to the largest of the labels that aren't held out; with
+    n_grades, those beyond the last count as the last. Where the sample ends, ties of the hash go by doc_id; without labelled rows
     every grade above 0 is unlikely."""
-    if n_grades is None:
-        n_grades = max(2, (labels.agg(F.max(F.col(label).cast("int"))).first()[0] or 0) + 1)
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
+    if n_grades is None:
+        n_grades = max(2, (chosen.agg(F.max("y")).first()[0] or 0) + 1)
     chosen = cut(chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample), "ordinal-sample")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # `sample` rows at most
 
@@ -109,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.tobytes() for a in x], pa.binary())], names=["id", "y", "x"])
 
     rows = cut(rows.select("id", "text", "y").mapInArrow(measure, "id long, y int, x binary").dropDuplicates(["id"]), "ordinal-rows")
-    mean = rows.agg(F.avg(F.greatest(F.lit(0), F.least("y", F.lit(n_grades - 1))))).first()[0]
+    grade_ = F.greatest(F.lit(0), F.least("y", F.lit(n_grades - 1)))
+    mean, spread = rows.agg(F.avg(grade_), F.var_pop(grade_)).first()
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS)
@@ -122,17 +125,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         some = np.flatnonzero(seen)
         yield pa.record_batch({"feature": pa.array(some), "n": pa.array(seen[some]), "total": pa.array(total[some])})
 
-    # the features that part the grades best, as train() takes them; only theirs are brought together
+    # the features that train() keeps, BUCKETS at most; only theirs are brought together
     found = rows.select("y", "x").mapInArrow(tally, "feature long, n long, total double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    moved = F.pow(F.col("total") - F.col("n") * F.lit(mean or 0.0), 2) / F.col("n")
-    kept = np.sort(np.array([r[0] for r in found.orderBy(moved.desc(), "feature").limit(KEPT).select("feature").collect()], dtype=np.int32))
+    moved = F.pow(F.col("total") - F.col("n") * F.lit(mean or 0.0), 2) / F.col("n") / F.lit(max(spread or 0.0, 1e-9))
+    kept = np.sort(np.array([r[0] for r in found.where(moved > TELLING * (1 - 1e-9)).select("feature").collect()], dtype=np.int32))
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [a[np.isin(a, kept)].tobytes() for a in (np.frombuffer(b, dtype=np.int32) for b in batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
-    got = sorted(map(tuple, rows.mapInArrow(narrowed, "id long, y int, x binary").collect()), key=lambda r: r[0])  # `sample` rows of KEPT features at most
+    got = sorted(map(tuple, rows.mapInArrow(narrowed, "id long, y int, x binary").collect()), key=lambda r: r[0])  # the telling features of `sample` rows
     drop_cut(chosen, rows)
     return train([np.frombuffer(r[2], dtype=np.int32) for r in got], np.clip(np.array([r[1] for r in got], dtype=np.int64), 0, n_grades - 1), n_grades=n_grades)
 
@@ -145,7 +148,7 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", doc_id: str = "do
     empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # KEPT weights at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
