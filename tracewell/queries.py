@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import enrich, payload, text
 from tracewell.many_rules import many_rules, many_rules_sql
-from tracewell.report_queries import csv_lines, csv_lines_sql, json_rows, json_rows_sql, logon_routes, logon_routes_sql
+from tracewell.report_queries import computer_columns, computer_columns_sql, csv_lines, csv_lines_sql, json_rows, json_rows_sql, logon_routes, logon_routes_sql
 from tracewell.source_queries import REPORTED, concatenated, file_channels, report_channels, stream_counts
 from tracewell.operators import filters, reports, timeline
 from tracewell.operators.detect import correlate, count_detections, count_text, detections, for_present_channels, matches, resolver, timeline_rows, with_details
@@ -602,6 +602,7 @@ WHERE win_start + INTERVAL 6 HOUR < (SELECT date_trunc('milliseconds', max(ts))
 )
 _simple("k1_csv_lines", csv_lines, csv_lines_sql(EVENTS))
 _simple("k2_json_timeline", json_rows, json_rows_sql(EVENTS))
+_simple("r3_computer_columns", computer_columns, computer_columns_sql(EVENTS))
 _simple("r2_logon_routes", logon_routes, logon_routes_sql(EVENTS))
 _simple("u1_many_rules", many_rules, many_rules_sql(EVENTS, DOCS))
 

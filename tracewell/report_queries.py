@@ -69,3 +69,30 @@ def json_rows_sql(events: str) -> str:
   || ',"Details":' || CASE event_id WHEN '3' THEN '{{}}' WHEN '4' THEN '"seen ' || f_k || '"'
      ELSE '{{"User":["' || f_user_id || '","' || f_login || '"],"K":' || f_k || ',"Path":"C:\\\\a: b","Own":' || coalesce('"' || f_owner || '"', 'true') || '}}' END
   || ',"ExtraFieldInfo":' || CASE event_id WHEN '5' THEN '{{}}' ELSE '{{"k":' || f_k || '}}' END || '}}' AS value FROM rec"""
+
+
+_SYSTEM = ("12", "6009", "6013", "6005", "7")
+_VERSIONS = {"10.0": "Ten", "11.0": "Eleven"}
+
+
+def computer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operating system, time zone, boot and uptime per computer, from the system events that tell them."""
+    r = from_events(spark, sf_dir)
+    n = F.col("record_id").cast("long")
+    kind = F.element_at(F.array(*map(F.lit, _SYSTEM)), (n % len(_SYSTEM) + 1).cast("int"))
+    version = F.when(F.col("f_user_id").cast("long") % 3 == 0, "10.0").when(F.col("f_user_id").cast("long") % 3 == 1, "11.0").otherwise("9.9")
+    data = F.when(kind == "6009", F.array(version)).when(kind == "6013", F.array(*[F.lit("")] * 6, F.concat(F.lit("zone "), n % 4))).otherwise(F.array(F.lit("x")))
+    r = r.withColumn("channel", F.when(n % 7 == 0, "Other").otherwise("System")).withColumn("event_id", kind).withColumn("data_array", data)
+    made = reports.computer_metrics(r, _VERSIONS)
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_boot", "last_ts")})
+
+
+def computer_columns_sql(events: str) -> str:
+    left, parts = "s", []
+    for size, unit in ((31536000, "Y"), (2592000, "M"), (86400, "d"), (3600, "h"), (60, "m"), (1, "s")):
+        parts.append(f"({left}) // {size} || '{unit}'")
+        left = f"({left}) % {size}"
+    return f"""WITH {events}, k AS (SELECT *, {list(_SYSTEM)}[record_id::BIGINT % 5 + 1] AS e, record_id::BIGINT AS n, f_user_id::BIGINT % 3 AS v FROM rec),
+c AS (SELECT computer, count(*) AS n, arg_max(CASE v WHEN 0 THEN 'Ten' WHEN 1 THEN 'Eleven' ELSE '9.9' END, ts) FILTER (e = '6009') AS os, arg_max('zone ' || n % 4, ts) FILTER (e = '6013') AS time_zone,
+  max(ts) FILTER (e IN ('12', '6005', '6009') AND n % 7 <> 0) AS last_boot, max(ts) AS last_ts FROM k GROUP BY computer)
+SELECT computer, n, os, time_zone, last_boot, last_ts, CASE WHEN s IS NOT NULL THEN {" || ' ' || ".join(parts)} END AS uptime FROM (SELECT *, (epoch_us(last_ts) - epoch_us(last_boot)) // 1000000 AS s FROM c)"""
