@@ -47,3 +47,17 @@ def test_logon_outputs(spark, tmp_path):
     assert {(r.n, r.event, r.user, r.domain) for r in out["successful"]} == {(2, "Sec 4624", "ab", "-"), (1, "RDS-LSM 21", "z", "X\\Y"), (1, "RDS-GTW 302", "alone", "-")}
     sinks.write_logons(made, str(tmp_path / "logons"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "logons-successful")).count() == 3
+
+
+def test_exports_with_another_header(spark, tmp_path):
+    from tracewell.operators import timeline
+    from tracewell.sources import files
+
+    (tmp_path / "a.csv").write_text('"Timestamp","Rule"\n"2024-01-02 00:00:00.000 +00:00","x, ""y"""\n')
+    (tmp_path / "b.csv").write_text('"Timestamp","Rule"\n"2024-01-01 00:00:00.000 +00:00","z"\n')
+    (tmp_path / "c.csv").write_text("Timestamp,Other\n1,2\n")
+    (tmp_path / "d.csv").write_text("")
+    at = [str(tmp_path / f"{n}.csv") for n in "abcd"]
+    rows, out = files.read_exports(spark, at)
+    assert out == at[2:] and [r.Rule for r in timeline.sort_export(rows).collect()] == ["z", 'x, "y"']
+    assert files.read_exports(spark, at[3:])[1] == at[3:]

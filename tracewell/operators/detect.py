@@ -180,12 +180,12 @@ def count_rows(records: DataFrame, rule: Rule, windows: DataFrame, resolve: Call
 ROW = ("ts", "computer", "channel", "event_id", "file", "record_id", "provider", "details")
 
 
-def timeline_rows(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None, templates: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
+def timeline_rows(records: DataFrame, rules: list[Rule], resolve: Callable[[str], Column], lists: Lists | None = None, templates: dict[str, str] | None = None, aliases: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
     """Every row of a timeline: plain detections with their details, windows of count rules, first blocks of temporal
     rules; and errors of rules that can't run. Plain rows without a time are set to 1970-01-01."""
     spark = records.sparkSession
     done, timed, errors = resolve_rules(rules)
-    found = with_details(detections(records, done, resolve, lists), templates)
+    found = with_details(detections(records, done, resolve, lists), templates, aliases)
     found = found.withColumn("ts", F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_micros(F.lit(0))))
     parts = [found.select(*ROW, *RULE)]
     made = _all_windows(records, done, timed, resolve, lists)
@@ -218,10 +218,14 @@ def _all_windows(records: DataFrame, done: list[Rule], timed: list, resolve: Cal
     return reduce(DataFrame.unionByName, parts), rows, counts, owners
 
 
-def with_details(found: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """details of detections: the rule's template, else the one of `<provider>_<event id>`, else all fields."""
+def with_details(found: DataFrame, templates: dict[str, str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """details of detections: the rule's template, else the one of `<provider>_<event id>`, else all fields. aliases: names
+    that templates may use and the paths they stand for, of which the last part names the field."""
     fields = fields_of(found)
     known = F.map_concat(F.map_from_arrays(F.array(*map(F.lit, SYSTEM)), F.array(*[F.col(c) for c in SYSTEM.values()])), F.map_filter(fields, lambda k, _: ~k.isin(*SYSTEM)))
+    if aliases:
+        of = F.map_from_arrays(F.array(*map(F.lit, aliases)), F.array(*[F.try_element_at(known, F.lit(path.rpartition(".")[2])) for path in aliases.values()]))
+        known = F.map_concat(F.map_filter(known, lambda k, _: ~k.isin(list(aliases))), of)
     text = F.col("rule_details")
     if templates:
         table = found.sparkSession.createDataFrame(list(templates.items()), "template_of string, template string")

@@ -91,11 +91,14 @@ def unique_records(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["record_id", "ts"])
 
 
-def with_fields(df: DataFrame, patterns: list[str], resolve) -> DataFrame:
-    """`Field:value` filters with wildcards; all must hold."""
+def with_fields(df: DataFrame, patterns: list[str], resolve, raw=None) -> DataFrame:
+    """`Field:value` filters with wildcards; all must hold. raw: where a field is looked up that resolve gives no value of,
+    such as a resolver without aliases."""
     from tracewell.plans.leaves import sure, wildcard
 
     for p in patterns:
         name, _, value = p.partition(":")
-        df = df.where(sure(wildcard(resolve(name.strip()), value.strip())))
+        name = name.strip()
+        held = resolve(name) if raw is None else F.coalesce(resolve(name), raw(name))
+        df = df.where(sure(wildcard(held, value.strip())))
     return df

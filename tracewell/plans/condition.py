@@ -9,7 +9,9 @@ from pyspark.sql import Column
 
 from tracewell.plans.errors import RuleError
 
+#: Words and brackets of a condition, and its `of` expression (fixed forms of the rule language).
 _TOKEN = re.compile(r"\s*([()]|\w+)")
+_OF = re.compile(r"(all|1) of ([^*]+)\*")
 
 
 def expand_of(condition: str, names: list[str]) -> str:
@@ -20,7 +22,7 @@ def expand_of(condition: str, names: list[str]) -> str:
             raise RuleError(f"no selection begins with {m[2]}")
         return f"({(' and ' if m[1] == 'all' else ' or ').join(chosen)})"
 
-    return re.sub(r"(all|1) of ([^*]+)\*", spelled, condition)
+    return _OF.sub(spelled, condition)
 
 
 def tokens(condition: str) -> list[str]:

@@ -18,6 +18,7 @@ from tracewell.plans.condition import compile_condition
 from tracewell.plans.errors import RuleError
 from tracewell.plans.leaves import Columns, Lists, Resolve, combine
 
+#: The rule language's levels, statuses, required and reserved keys (fixed values).
 LEVELS = ("undefined", "informational", "low", "medium", "high", "critical", "emergency")
 STATUSES = ("stable", "test", "experimental", "deprecated", "unsupported")
 REQUIRED = ("author", "title", "level", "status", "date", "id")

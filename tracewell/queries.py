@@ -602,6 +602,25 @@ WHERE win_start + INTERVAL 6 HOUR < (SELECT date_trunc('milliseconds', max(ts))
 )
 _simple("k1_csv_lines", csv_lines, csv_lines_sql(EVENTS))
 _simple("k2_json_timeline", json_rows, json_rows_sql(EVENTS))
+_ALIASES = {"Account": "Event.EventData.owner", "Host": "Event.System.Computer", "k": "Event.EventData.user_id"}
+
+
+def _aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template names and filters by aliases; a filter falls back to the field of that name."""
+    r = _slim(from_events(spark, sf_dir))
+    by, plain = resolver(r, _ALIASES), resolver(r)
+    some = filters.with_fields(r, ["Account:*", "Host:host-1*", "user_id:1*"], by, plain)
+    told = RULES.split("---")[0].replace("%user_id% ¦ Owner: %owner%", "%Account% ¦ Host: %Host% ¦ K: %k% ¦ None: %nothing%")
+    found = with_details(detections(some, parse_rules(told, "inline"), by), aliases=_ALIASES)
+    return found.select("record_id", "details")
+
+
+_simple(
+    "e1_aliases",
+    _aliased,
+    f"""WITH {EVENTS} SELECT record_id, 'User: ' || f_owner || ' ¦ Host: ' || computer || ' ¦ K: ' || f_user_id || ' ¦ None: n/a' AS details
+FROM rec WHERE channel = 'error' AND event_id <> '3' AND f_owner IS NOT NULL AND starts_with(computer, 'host-1') AND starts_with(f_user_id, '1')""",
+)
 _simple("r3_computer_columns", computer_columns, computer_columns_sql(EVENTS))
 _simple("r2_logon_routes", logon_routes, logon_routes_sql(EVENTS))
 _simple("u1_many_rules", many_rules, many_rules_sql(EVENTS, DOCS))

@@ -126,6 +126,17 @@ def scalar(x: Column) -> Column:
     return F.when(~F.schema_of_variant(x).rlike(r"\A(OBJECT|ARRAY|VOID)"), strip(F.try_variant_get(x, "$", "string")))
 
 
+def read_exports(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """Exported timelines (CSV with a header) as one table of texts, and the files left out because their header differs
+    from the first one's. Headers are compared as lines; a file without any is left out too."""
+    firsts = {p: spark.read.text(p).limit(1).collect() for p in paths}  # a line a file
+    header = next((rows[0][0] for rows in firsts.values() if rows), None)
+    same = [p for p, rows in firsts.items() if rows and rows[0][0] == header]
+    if not same:
+        return spark.createDataFrame([], "value string"), list(paths)
+    return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(same), [p for p in paths if p not in same]
+
+
 def read_table(path: str, header: bool = True) -> list[list[str]]:
     """Rows of a small configuration file in CSV."""
     with open(path, encoding="utf-8", newline="") as f:
