@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import random
 
 import pytest
@@ -33,6 +34,8 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / "in" / f"{n}.json").write_text("\n".join(map(json.dumps, part)))
     late = dict(rows[0], ts=(start + datetime.timedelta(days=1)).isoformat(), record_id="end", channel="c", f_user="z")
     (tmp_path / "in" / "9.json").write_text(json.dumps(late))  # moves the watermark behind all others
+    for n, path in enumerate(sorted((tmp_path / "in").iterdir())):
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))  # files are taken by their times
     stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     query = count_stream(stream, rules, resolver(stream), delay="3 minutes").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     try:
