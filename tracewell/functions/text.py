@@ -62,10 +62,10 @@ def hex_to_decimal(c: Column) -> Column:
     return F.when(c.rlike(r"\A0[xX]0*[0-9a-fA-F]{1,16}\z"), F.conv(digits, 16, 10)).otherwise(c)
 
 
-def uptime(seconds: Column) -> Column:
-    """Years of 365 days, months of 30 days, days, hours, minutes, seconds."""
-    parts, left = [], seconds.cast("long")
-    for size, unit in ((31536000, "Y"), (2592000, "M"), (86400, "d"), (3600, "h"), (60, "m"), (1, "s")):
+def uptime(seconds: Column, *, years: bool = True) -> Column:
+    """Years of 365 days, months of 30 days, days, hours, minutes, seconds; without years the months go on."""
+    parts, left = [] if years else [F.when(seconds.isNotNull(), "0Y")], seconds.cast("long")
+    for size, unit in ((31536000, "Y"), (2592000, "M"), (86400, "d"), (3600, "h"), (60, "m"), (1, "s"))[0 if years else 1 :]:
         parts.append(F.concat(F.floor(left / size).cast("long").cast("string"), F.lit(unit)))
         left = left % size
     return F.concat_ws(" ", *parts)
