@@ -52,3 +52,25 @@ def test_frames_are_needed(spark):
     df = spark.createDataFrame([], KIND)
     with pytest.raises(RuleError):
         count_stream(df, [made(0, "count() > 1", None)], resolver(df))
+
+
+def test_keys_share_calls_and_states(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [{"ts": (start + datetime.timedelta(seconds=7 * i + u % 5)).isoformat(), "channel": "c", "event_id": "1", "computer": "pc", "provider": "p", "record_id": f"{i:02}-{u:03}", "file": "f", "f_user": f"u{u}", "f_k": str(i % 3)} for u in range(300) for i in range(9)]
+    rows.append(dict(rows[0], ts=(start + datetime.timedelta(days=1)).isoformat(), record_id="end", f_user="z"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    rules = [made(0, "count(k) by user >= 2", "20s")]
+    for buckets, most in ((4, 4), (1 << 12, 301)):
+        stream = spark.readStream.schema(KIND).json(str(tmp_path / "in"))
+        name = f"shared_{buckets}"
+        query = count_stream(stream, rules, resolver(stream), delay="1 minute", buckets=buckets).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        try:
+            query.processAllAvailable()
+            got = sorted(tuple(r) for r in spark.table(name).collect() if r.agg_key != "z")
+            states = max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+        finally:
+            query.stop()
+        batch = spark.read.schema(KIND).json(str(tmp_path / "in")).where("record_id <> 'end'")
+        assert got == sorted(tuple(r) for r in count_windows(batch, rules, resolver(batch))[0].collect()) and len(got) > 300
+        assert 0 < states <= most

@@ -94,7 +94,7 @@ def _whole(batches: Iterator[pa.RecordBatch], starts: Callable[[np.ndarray], np.
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _reached(nxt: np.ndarray, start: np.ndarray) -> np.ndarray:
+def reached(nxt: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which rows a walk along nxt from the starts meets; len(nxt) is the end."""
     seen = np.zeros(len(nxt) + 1, dtype=bool)
     seen[start] = True
@@ -106,6 +106,17 @@ def _reached(nxt: np.ndarray, start: np.ndarray) -> np.ndarray:
     return seen[:-1]
 
 
+def last_within(t: np.ndarray, z: np.ndarray, g: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The last row of its group g whose time t is z or less, for each row; groups go from rows first to rows end."""
+    if not len(t):
+        return np.zeros(0, dtype=np.int64)
+    low = int(t.min())
+    span = int(max(z.max(), t.max())) - low + 1
+    if span * len(first) < 1 << 62:  # one search for all groups
+        return np.searchsorted(g * span + (t - low), g * span + (z - low), side="right") - 1
+    return np.concatenate([a + np.searchsorted(t[a : b + 1], z[a : b + 1], side="right") - 1 for a, b in zip(first, end, strict=True)])
+
+
 def holds(specs: list[AggSpec], rule: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Whether each count is what its rule asks for."""
     number, out = np.array([s.number for s in specs])[rule], np.zeros(len(count), dtype=bool)
@@ -143,19 +154,14 @@ def _small_groups(slim: DataFrame, keys: list[str], order: list[str], specs: lis
             t_0, t_1 = t[first][g], t[end][g]
             edge = t_0 + (t_1 - t_0) // unit * unit
             z = np.where(frame[rule] >= 0, t + frame[rule], np.where(t <= edge, edge, t_1))
-            low = int(t.min())
-            span = int(max(z.max(), t.max())) - low + 1
-            if span * len(first) < 1 << 62:  # one search for all groups
-                last = np.searchsorted(g * span + (t - low), g * span + (z - low), side="right") - 1
-            else:
-                last = np.concatenate([a + np.searchsorted(t[a : b + 1], z[a : b + 1], side="right") - 1 for a, b in zip(first, end, strict=True)])
+            last = last_within(t, z, g, first, end)
             c = last - at + 1
             if counts[rule].any():
                 v = np.asarray(batch.column(2).dictionary_encode().indices)
                 c = np.where(counts[rule], count_in_windows(t, z, last, v, g), c)
             ok = holds(specs, rule, c)
             nxt = np.where(ok, last + 1, at + 1)
-            keep = np.flatnonzero(_reached(np.where(nxt > end[g], n, nxt), first) & ok)
+            keep = np.flatnonzero(reached(np.where(nxt > end[g], n, nxt), first) & ok)
             if len(keep):
                 made = [pa.array(x[keep]) for x in (t, t[last], last - at + 1, c)]
                 yield pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(keep)).columns, *made], names=[*keys, *_FOUND])
@@ -213,7 +219,7 @@ def _large_groups(slim: DataFrame, group: DataFrame, keys: list[str], order: lis
             at, first = np.arange(len(i)), np.flatnonzero(i % chunk == 0)
             to = at + (nxt - i)
             end = np.append(first[1:], len(i))[np.cumsum(i % chunk == 0) - 1]  # behind the row's chunk
-            keep = np.flatnonzero(_reached(np.where(to >= end, len(i), to), first + entry[first] - i[first]) & ok)
+            keep = np.flatnonzero(reached(np.where(to >= end, len(i), to), first + entry[first] - i[first]) & ok)
             if len(keep):
                 yield batch.select([*keys, *_FOUND]).take(pa.array(keep))
 
