@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tests.test_engine import loop
+from tracewell.operators import windows
 from tracewell.operators.detect import resolver, timeline_rows
 from tracewell.operators.windows import rule_windows
 from tracewell.plans.aggregation import AggSpec
@@ -37,6 +38,22 @@ def test_windows_of_many_rules(spark):
         assert sorted((x.rule_no, x.k, x.win_start, x.win_count) for x in got) == sorted(want)
 
 
+def test_large_groups_by_slots(spark, monkeypatch):
+    """Framed rules of large groups in slots, without the tables of ranges; with slots that are too full the same by ranges."""
+    rng = random.Random(5)
+    specs = [AggSpec(f, ("k",), op, n, frame) for f in (None, "v") for op, n in ((">=", 3), ("==", 2), ("<", 3)) for frame in (0, 4, 9)]
+    data = [(r, k, rng.randrange(n) * 750_000, i, rng.choice([None, "x", "y"])) for r in range(len(specs)) for k, n in (("a", 120), ("b", 9)) for i in range(n)]
+    df = spark.createDataFrame(data, "rule_no int, k string, t long, tie int, v string").repartition(5)
+    made, real = [], windows.cut
+    monkeypatch.setattr(windows, "cut", lambda t, name: made.append(name) or real(t, name))
+    found = lambda chunk: sorted(tuple(x) for x in rule_windows(df, ["k"], "t", specs, value="v", ties=["tie"], chunk=chunk).collect())
+    whole = found(1 << 16)
+    assert len(whole) > 200 and found(10) == whole and "window-slots" in made and "window-ranges" not in made
+    for most in (2, 0):  # some groups, all groups
+        monkeypatch.setattr(windows, "_MOST", most)
+        assert found(10) == whole and "window-ranges" in made
+
+
 def open_loop(rows, holds, distinct):
     """Without a frame: up to the last whole second between first and last row, then the rest."""
     first, last = rows[0][0], rows[-1][0]

@@ -130,8 +130,8 @@ def count_windows(records: DataFrame, rules: list[Rule], resolve: Callable[[str]
     """Windows of all count rules (rule_no, agg_key, win_start and win_end in microseconds, n_rows, win_count) and the
     counted records. The records are read once, by a job that runs while the plan is being built; the results read tables
     in the shared folder."""
-    rows = cut(counted(records, rules, resolve, lists), "counted")
-    made = rule_windows(rows, ["agg_key"], "t", [r.agg for r in rules], value="counted", ties=["file", "record_id"])
+    rows = cut(counted(records, rules, resolve, lists).withColumn("u", F.monotonically_increasing_id()), "counted")
+    made = rule_windows(rows, ["agg_key"], "t", [r.agg for r in rules], value="counted", ties=["file", "record_id"], number="u")
     return made, rows
 
 

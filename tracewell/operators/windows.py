@@ -5,7 +5,8 @@ holds; then the next one starts behind it, else one row later. Rows carry their
 come from it, so one set of steps serves all rules.
 
 A group (rule and key) of a chunk or less is one run of sorted rows, handled with its neighbours by vector operations. No
-task holds a larger one: its rows are dealt by ranges of their order, and a row's number, its window's last row and count
+task holds a larger one. If its rule has a frame, its time is cut into slots of a frame or more, and each is handled with the
+rows behind it that its windows reach. Without a frame, or where a slot holds too many rows, the rows are dealt by ranges of their order, and a row's number, its window's last row and count
 come from running sums within ranges and over ranges. Of its chunks of consecutive rows each tells for every row where a
 walk from there leaves it; these maps are composed by pointer doubling, and each chunk is walked from where it is entered.
 """
@@ -26,6 +27,8 @@ from tracewell.storage import cut, drop_cut
 
 #: Rows of a range, and of a chunk of a group.
 CHUNK = 1 << 16
+#: Chunks that a slot of a large group holds by its width, and at most.
+_WIDE, _MOST = 2, 4
 
 
 def group_key_of(columns: list[Column]) -> Column:
@@ -54,20 +57,21 @@ def greedy_windows(rows: DataFrame, keys: list[str], time: str, spec: AggSpec, *
     return rule_windows(rows.withColumn("rule_no", F.lit(0)), keys, time, [spec], value=value, ties=ties, unit=unit, chunk=chunk).drop("rule_no")
 
 
-def rule_windows(rows: DataFrame, keys: list[str], time: str, specs: list[AggSpec], *, value: str | None = None, ties: list[str] | None = None, unit: int = 1_000_000, chunk: int = CHUNK) -> DataFrame:
+def rule_windows(rows: DataFrame, keys: list[str], time: str, specs: list[AggSpec], *, value: str | None = None, ties: list[str] | None = None, number: str | None = None, unit: int = 1_000_000, chunk: int = CHUNK) -> DataFrame:
     """One row per window that holds: rule_no, keys, win_start, win_end (of its rows), n_rows, win_count.
 
     rows: rule_no is the place of a row's rule in specs; keys must not be null; time is a long, `unit` ticks a second, rows
     without one are left out. value: the column whose distinct values the rules with a field count (absent counts as an
-    empty value). ties: columns that order equal times. Without a frame, a group's frame is the whole seconds between its
-    first and last row. The rows are written to the shared folder while the plan is being built, and of groups beyond a
+    empty value). ties: columns that order equal times. number: a column that numbers rows that are stored already. Without a frame, a group's frame is the whole seconds between its
+    first and last row. Rows without a number are written to the shared folder while the plan is being built, and of groups beyond a
     chunk the steps between; what the result reads stays there.
     """
     order = ["t", *[f"tie_{i}" for i in range(len(ties or []))], "u"]
     names, keys = ["rule_no", *keys], [f"key_{i}" for i in range(len(keys) + 1)]
     text = F.coalesce(F.col(value).cast("string"), F.lit("")) if value else F.lit("")
-    slim = rows.select(*[F.col(c).alias(k) for c, k in zip(names, keys, strict=True)], F.col(time).cast("long").alias("t"), text.alias("v"), *[F.col(c).alias(f"tie_{i}") for i, c in enumerate(ties or [])])
-    slim = cut(slim.where("t is not null").withColumn("u", F.monotonically_increasing_id()), "window-rows")
+    slim = rows.select(*[F.col(c).alias(k) for c, k in zip(names, keys, strict=True)], F.col(time).cast("long").alias("t"), text.alias("v"), *[F.col(c).alias(f"tie_{i}") for i, c in enumerate(ties or [])], *([F.col(number).alias("u")] if number else [])).where("t is not null")
+    if not number:
+        slim = cut(slim.withColumn("u", F.monotonically_increasing_id()), "window-rows")
     large = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_0"), F.max("t").alias("t_1")).where(F.col("n") > chunk)
     large = cut(large, "window-groups")
     back = lambda df: df.select(*[F.col(k).alias(c) for c, k in zip(names, keys, strict=True)], *_FOUND)
@@ -173,9 +177,49 @@ def _kinds(slim: DataFrame, keys: list[str]) -> str:
     return ", ".join([f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} long" for c in _FOUND])
 
 
-def _large_groups(slim: DataFrame, group: DataFrame, keys: list[str], order: list[str], specs: list[AggSpec], unit: int, chunk: int) -> DataFrame:
+def _by_slots(slim: DataFrame, group: DataFrame, keys: list[str], order: list[str], specs: list[AggSpec], unit: int, chunk: int, passing: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the large groups whose slots fit, with their place i, last row R and count c; and the groups that are left.
+    Tables on the way are added to passing."""
+    frames = F.element_at(F.array(*[F.lit(None if s.frame is None else s.frame * unit).cast("long") for s in specs]), F.col(keys[0]).cast("int") + 1)
+    width = F.greatest(F.lit(1), frames, F.ceil((F.col("t_1") - F.col("t_0") + 1) / F.col("n") * (_WIDE * chunk)))
+    wide = group.select(*keys, "t_0", frames.alias("frame"), width.alias("width")).where("frame is not null")
+    rows = slim.join(wide, keys).withColumn("s", F.expr("(t - t_0) div width"))
+    slots = cut(rows.groupBy(*keys, "s").agg(F.count(F.lit(1)).alias("n_s")), "window-slots")
+    over = slots.where(F.col("n_s") > _MOST * chunk).select(*keys).distinct()
+    far = group.join(wide.select(*keys).join(over, keys, "left_anti"), keys, "left_anti")
+    start = slots.select(*keys, "s", (F.sum("n_s").over(Window.partitionBy(*keys).orderBy("s")) - F.col("n_s")).alias("start"))
+    # rows less than a frame behind a slot's begin are reached from the slot before
+    met = F.when((F.col("s") > 0) & (F.col("t") - F.col("t_0") - F.col("s") * F.col("width") < F.col("frame")), F.array(F.col("s"), F.col("s") - 1)).otherwise(F.array("s"))
+    rows = rows.join(over, keys, "left_anti").select("t", "v", *keys, *order[1:], F.col("s").alias("of"), F.explode(met).alias("s"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "s").orderBy(*order)) - 1)
+    rows = rows.join(start, [*keys, "s"]).sortWithinPartitions(*keys, "s", "i").select("i", "t", "v", (F.col("of") == F.col("s")).alias("own"), "start", *keys)
+    frame, counts = np.array([-1 if s.frame is None else s.frame * unit for s in specs]), np.array([s.field is not None for s in specs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole(batches, lambda i: i == 0):
+            i, t, start, rule = (np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1, 4, 5))
+            if not len(t):
+                continue
+            at, first = np.arange(len(t)), np.flatnonzero(i == 0)
+            g, end = np.cumsum(i == 0) - 1, np.append(first[1:], len(t)) - 1
+            z = t + frame[rule]
+            last = last_within(t, z, g, first, end)
+            c = last - at + 1
+            if counts[rule].any():
+                c = np.where(counts[rule], count_in_windows(t, z, last, np.asarray(batch.column(2).dictionary_encode().indices), g), c)
+            own = np.flatnonzero(np.asarray(batch.column(3)))
+            if len(own):
+                made = [pa.array(x[own]) for x in (start + i, t, t[last], start + i + last - at, c)]
+                yield pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(own)).columns, *made], names=[*keys, "i", "t", "end", "R", "c"])
+
+    kinds = ", ".join([f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} long" for c in ("i", "t", "end", "R", "c")])
+    passing += [slots, cut(far, "window-groups")]
+    return rows.mapInArrow(run, kinds), passing[-1]
+
+
+def _by_ranges(slim: DataFrame, group: DataFrame, keys: list[str], order: list[str], specs: list[AggSpec], unit: int, chunk: int, passing: list[DataFrame]) -> DataFrame:
+    """The rows of _by_slots for any group, by ranges of the rows' order; tables on the way are added to passing."""
     ranges = max(1, math.ceil((group.agg(F.sum("n")).first()[0] or 0) / chunk))
-    passing: list[DataFrame] = []  # tables that the result doesn't read
     of = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), F.col(keys[0]).cast("int") + 1)
     frame, counts = of([None if s.frame is None else s.frame * unit for s in specs], "long"), of([s.field is not None for s in specs], "boolean")
 
@@ -204,7 +248,17 @@ def _large_groups(slim: DataFrame, group: DataFrame, keys: list[str], order: lis
     both = base.select(*keys, "i", F.col("t").alias("x"), F.lit(0).alias("probe"), "t", "new", "left").unionByName(asked)
     both = running(dealt(both, "x", "probe", "i"), keys, ["x", "probe", "i"], {"upto": (1 - F.col("probe")).cast("long"), "news": F.col("new"), "lefts": F.col("left")}, {"last": F.col("t")})
     on = lambda probe, c: F.max(F.when(F.col("probe") == probe, F.col(c)))
-    full = both.groupBy(*keys, "i").agg(on(0, "t").alias("t"), on(1, "last").alias("end"), (on(1, "upto") - 1).alias("R"), (on(1, "news") - on(0, "lefts") + on(0, "left")).alias("c"))
+    return both.groupBy(*keys, "i").agg(on(0, "t").alias("t"), on(1, "last").alias("end"), (on(1, "upto") - 1).alias("R"), (on(1, "news") - on(0, "lefts") + on(0, "left")).alias("c"))
+
+
+def _large_groups(slim: DataFrame, group: DataFrame, keys: list[str], order: list[str], specs: list[AggSpec], unit: int, chunk: int) -> DataFrame:
+    ranges = max(1, math.ceil((group.agg(F.sum("n")).first()[0] or 0) / chunk))
+    passing: list[DataFrame] = []  # tables that the result doesn't read
+    near, far = _by_slots(slim, group, keys, order, specs, unit, chunk, passing)
+    full = near
+    if far.head() is not None:
+        full = near.unionByName(_by_ranges(slim.join(far.select(*keys), keys, "left_semi"), far, keys, order, specs, unit, chunk, passing))
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), F.col(keys[0]).cast("int") + 1)
     op, number = of([s.op for s in specs], "string"), of([s.number for s in specs], "long")
     ok = F.when(op == "==", F.col("c") == number).when(op == ">=", F.col("c") >= number).when(op == "<=", F.col("c") <= number).when(op == ">", F.col("c") > number).otherwise(F.col("c") < number)
     full = full.withColumn("ok", ok).withColumn("nxt", F.when(F.col("ok"), F.col("R") + 1).otherwise(F.col("i") + 1)).withColumn("q", F.expr(f"i div {chunk}"))
