@@ -38,6 +38,26 @@ def test_objects_across_blocks(spark, tmp_path, block):
     assert got[7].event_data["b"] == "7" and (block > 1 << 20 or tasks > 10)
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_objects_across_ranges(spark, tmp_path, monkeypatch, batch):
+    """Objects that lie in one batch of pieces are joined there; only the others are brought together by a shuffle."""
+    rng = random.Random(batch)
+    told = [record(i, rng) for i in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(told[:30]))
+    (tmp_path / "b.json").write_text("".join(json.dumps(x, indent=1) for x in told[30:]))
+    made, real, kind = {}, files.cut, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(files, "cut", lambda df, name: made.setdefault(name, real(df, name)))
+    before = spark.conf.get(kind)
+    spark.conf.set(kind, batch)
+    try:
+        df = files.json_files(spark, str(tmp_path))
+    finally:
+        spark.conf.set(kind, before)
+    assert {int(r.record_id): r.event_data["Msg"] for r in df.collect()} == {x["RecordNumber"]: x["Msg"].strip() for x in told} and df.count() == 60
+    apart = made["json-objects"].where("not (begins and ends)").count()
+    assert apart <= 4 if batch == 10_000 else apart > 10
+
+
 def test_braces_in_strings(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"Msg":"if (x) {a}   {b}"}{"Msg":"}{"} {"Msg": "\\\\"}{"Msg":"x"')
     assert [r.event_data["Msg"] for r in files.json_files(spark, str(tmp_path)).orderBy("file").collect()][:3] == ["if (x) {a}   {b}", "}{", "\\"]

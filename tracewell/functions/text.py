@@ -136,24 +136,24 @@ DEPTH = 8
 def leaves(v: Column, depth: int = DEPTH) -> Column:
     """Array of (name, value) of a variant's scalars, at any level: a scalar has its own key's name, one of an array
     also its place from 1 (`Name[2]`); nulls, `xmlns` and the system part of an event are left out."""
-    kind = lambda x: F.schema_of_variant(x)
-    one = lambda n, x: F.struct(n.alias("name"), x.alias("value"))
+    kind = lambda x: F.substring(F.schema_of_variant(x), 1, 1)  # noqa: E731 - of an object O, an array A, null V
+    one = lambda n, x: F.struct(n.alias("name"), x.alias("value"), kind(x).alias("kind"))  # noqa: E731 - found once a value
 
     def members(m: Column) -> Column:
         name, x = m["name"], m["value"]
         fields = F.filter(F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")), lambda e: (e["key"] != "xmlns") & ~((e["key"] == "System") & (name == "Event")))
-        place = lambda y, i: F.when(kind(y).rlike(r"\A(OBJECT|ARRAY)"), name).otherwise(F.concat(name, F.lit("["), (i + 1).cast("string"), F.lit("]")))
+        place = lambda y, i: F.when(kind(y).isin("O", "A"), name).otherwise(F.concat(name, F.lit("["), (i + 1).cast("string"), F.lit("]")))
         return (
-            F.when(kind(x).startswith("OBJECT"), F.transform(fields, lambda e: one(e["key"], e["value"])))
-            .when(kind(x).startswith("ARRAY"), F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y, i: one(place(y, i), y)))
-            .otherwise(F.array(one(name, x)))
+            F.when(m["kind"] == "O", F.transform(fields, lambda e: one(e["key"], e["value"])))
+            .when(m["kind"] == "A", F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y, i: one(place(y, i), y)))
+            .otherwise(F.array(m))
         )
 
-    found = F.filter(F.array(one(F.lit(""), v)), lambda m: kind(m["value"]).startswith("OBJECT"))
+    found = F.filter(F.array(one(F.lit(""), v)), lambda m: m["kind"] == "O")
     for _ in range(depth):
         found = F.flatten(F.transform(found, members))
-    found = F.filter(found, lambda m: m["value"].isNotNull() & (kind(m["value"]) != "VOID"))
-    return F.array_distinct(F.transform(found, lambda m: one(m["name"], F.coalesce(F.try_variant_get(m["value"], "$", "string"), F.to_json(m["value"])))))
+    found = F.filter(found, lambda m: m["value"].isNotNull() & (m["kind"] != "V"))
+    return F.array_distinct(F.transform(found, lambda m: F.struct(m["name"].alias("name"), F.coalesce(F.try_variant_get(m["value"], "$", "string"), F.to_json(m["value"])).alias("value"))))
 
 
 def split_details(c: Column) -> Column:

@@ -7,15 +7,19 @@ values too, by their own names, the n-th of an array as `Name[n]`.
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import leaves, strip
 from tracewell.operators.windows import running
 from tracewell.sources.prune import Channels, channel_files, of_files
-from tracewell.storage import cut
+from tracewell.storage import cut, drop_cut
 
 JSON_EXTENSIONS = ("json", "jsonl")
 
@@ -46,8 +50,8 @@ def json_lines(spark: SparkSession, path: str | list[str], *, channels: Channels
 def json_files(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """Files that hold an array of objects, or objects one behind the other; whatever lies between objects is skipped, and
     objects that can't be parsed are. Files are split at every closing brace and so over tasks, whatever their size; which
-    braces lie in a string, and which end an object, follows from running sums over pieces, blocks and file. Behind a
-    closing brace too many a file's objects are lost. The pieces are written to the shared folder by a job that runs at
+    braces lie in a string, and which end an object, follows from running sums over pieces, ranges and file. Behind a
+    closing brace too many a file's objects are lost. The texts are written to the shared folder by jobs that run at
     once."""
     source = read_text(spark, path, line_end="}", **options)
     text = F.regexp_replace("raw", r"(?s)\\.", "")  # escapes stand in strings only; a piece ends before none
@@ -61,21 +65,67 @@ def json_files(spark: SparkSession, path: str | list[str], **options) -> DataFra
         return count(F.regexp_replace(whole, r'"[^"]*+"', ""), "{")
 
     pieces = source.withColumn("bare", text).select("file", F.col("block").alias("p"), F.monotonically_increasing_id().alias("pos"), "raw", quotes.alias("quotes"), opened(False).alias("opens_out"), opened(True).alias("opens_in"))
-    pieces = cut(pieces, "json-pieces")
-    order = ["pos"]
-    line = running(pieces.drop("raw"), ["file"], order, {"q": F.col("quotes")}, {})
-    inside, ends_inside = (F.col("q") - F.col("quotes")) % 2 == 1, F.col("q") % 2 == 1
-    close = F.when(ends_inside, 0).otherwise(1)
-    line = line.select("file", "p", "pos", close.alias("closes"), (F.when(inside, F.col("opens_in")).otherwise(F.col("opens_out")) - close).alias("step"))
-    line = running(line, ["file"], order, {"depth": F.col("step")}, {})
-    line = line.select("file", "p", "pos", ((F.col("depth") == 0) & (F.col("closes") == 1)).cast("long").alias("last"))
-    line = running(line, ["file"], order, {"nth": F.col("last")}, {}).select("file", "p", "pos", (F.col("nth") - F.col("last")).alias("nth"))
-    whole = pieces.select("file", "p", "pos", "raw").join(line, ["file", "p", "pos"]).groupBy("file", "nth").agg(F.array_sort(F.collect_list(F.struct("p", "pos", "raw"))).alias("parts"))  # one object's pieces
-    text = F.concat(F.array_join(F.transform("parts", lambda x: x["raw"]), "}"), F.lit("}"))
-    rows = whole.select("file", F.regexp_replace(text, r"(?s)\A[^{]*+", "").alias("raw")).where(F.col("raw") != "")
+    pieces = cut(pieces.mapInArrow(_in_ranges, "file string, p long, pos long, raw string, r long, q long, d_0 long, d_1 long"), "json-pieces")
+    ends = pieces.groupBy("file", "p", "r").agg(F.max_by(F.struct("q", "d_0", "d_1"), "pos").alias("x")).select("file", "p", "r", "x.*")
+    before = Window.partitionBy("file").orderBy("p", "r").rowsBetween(Window.unboundedPreceding, -1)  # a row is a range
+    ends = ends.withColumn("inside", F.coalesce(F.sum("q").over(before), F.lit(0)) % 2)
+    deeper = F.when(F.col("inside") == 1, F.col("d_1")).otherwise(F.col("d_0"))
+    ends = cut(ends.select("file", "p", "r", "inside", F.coalesce(F.sum(deeper).over(before), F.lit(0)).alias("depth")), "json-ranges")
+    last = (F.col("depth") + deeper == 0) & ((F.col("q") + F.col("inside")) % 2 == 0)
+    fresh = (F.col("pos") == F.col("r")) & (F.col("depth") == 0) & (F.col("inside") == 0)  # a range that begins between objects
+    texts = pieces.join(ends, ["file", "p", "r"]).select("file", "p", "pos", "raw", last.alias("last"), fresh.alias("fresh"))
+    texts = cut(texts.mapInArrow(_in_objects, "file string, p long, pos long, raw string, begins boolean, ends boolean"), "json-objects")
+    drop_cut(pieces, ends)
+    parts = running(texts.where("not (begins and ends)"), ["file"], ["pos"], {"nth": F.col("ends").cast("long")}, {}).withColumn("nth", F.col("nth") - F.col("ends").cast("long"))
+    parts = parts.groupBy("file", "nth").agg(F.array_sort(F.collect_list(F.struct("p", "pos", "raw"))).alias("parts"))  # one object's texts
+    whole = texts.where("begins and ends").select("file", "raw").unionByName(parts.select("file", F.array_join(F.transform("parts", lambda x: x["raw"]), "}").alias("raw")))
+    rows = whole.select("file", F.regexp_replace(F.concat("raw", F.lit("}")), r"(?s)\A[^{]*+", "").alias("raw")).where(F.col("raw") != "")
     return records(rows.withColumn("v", F.try_parse_json("raw")).where("v is not null").select("file", "v"))
 
 
+def _runs(batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows of file, p and pos don't follow the row before in their file."""
+    new = np.ones(batch.num_rows, dtype=bool)
+    file, p, pos = np.asarray(batch.column(0).dictionary_encode().indices), np.asarray(batch.column(1)), np.asarray(batch.column(2))
+    new[1:] = (np.diff(file) != 0) | (np.diff(p) != 0) | (np.diff(pos) != 1)
+    return new
+
+
+def _in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with running sums over the rows of a batch that follow each other, a range r: quotes, and depth if the range
+    begins outside a string (d_0) or inside (d_1)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = _runs(batch)
+        quotes, out, inside = (np.asarray(batch.column(c)).astype(np.int64) for c in (4, 5, 6))
+        first, g = np.flatnonzero(new), np.cumsum(new) - 1
+
+        def sums(x: np.ndarray, first: np.ndarray = first, g: np.ndarray = g) -> np.ndarray:
+            s = np.cumsum(x)
+            return s - (s - x)[first][g]
+
+        q = sums(quotes)
+        depth = [sums(np.where((q - quotes + h) % 2 == 1, inside, out) - (q + h + 1) % 2) for h in (0, 1)]
+        r = np.asarray(batch.column(2))[first][g]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, (r, q, *depth))], names=["file", "p", "pos", "raw", "r", "q", "d_0", "d_1"])
+
+
+def _in_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of an object that follow each other in a batch as one text; begins and ends tell whether it is known to
+    hold the object's first and last piece."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new, last, fresh = _runs(batch), *(np.asarray(batch.column(c).cast(pa.int8())) == 1 for c in (4, 5))
+        start = np.flatnonzero(new | np.append(True, last[:-1]))
+        end = np.append(start[1:], batch.num_rows)
+        raw = batch.column(3)
+        lists = (pa.LargeListArray if pa.types.is_large_string(raw.type) else pa.ListArray).from_arrays(np.append(start, batch.num_rows), raw)
+        made = [pc.binary_join(lists, "}"), pa.array(~new[start] | fresh[start]), pa.array(last[end - 1])]
+        yield pa.RecordBatch.from_arrays([*batch.select(["file", "p", "pos"]).take(pa.array(start)).columns, *made], names=["file", "p", "pos", "raw", "begins", "ends"])
+
+
 def export_rows(spark: SparkSession, path: str, **options) -> DataFrame:
     """Exports with `fields` and `rows`: one record per row."""
     rows = read_text(spark, path, whole=True, **options)
