@@ -8,10 +8,14 @@ vectors of the shard, and widens the beam until recall is reached. Every vector
 beam is full of links, as in a cluster of near copies, are compared with the whole shard, block by block. Cosines of
 what was found are verified in double precision. A pair that one side's search found counts for both; counts of whole
 comparisons stand by themselves. A task's links are reduced to a spanning forest before they leave it.
+
+Graphs travel in small pieces: a task holds one block of queries and takes the graphs of its group of shards one after
+another, so that neither a row nor a task grows with the table.
 """
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 
@@ -22,18 +26,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm.components import components
-from tracewell.llm.shared import join_hot, mix
+from tracewell.llm.shared import join_hot, mix, small_batches
 from tracewell.storage import cut, drop_cut
 
 #: Neighbours a node is given, and may gather before it is pruned; width of the beam that looks for them.
 LINKS, ROOM, BUILD_BEAM = 12, 36, 32
 #: Shards, and rows of one at most: more rows mean more shards.
-SHARDS, SHARD_ROWS = 4, 1 << 17
-#: Bytes of a shard's vectors at most.
-SHARD_BYTES = 1 << 28
-#: Queries that meet a shard in one task, at least and at most; of one vectorised search, fewer where it would mark more
-#: than CELLS cells.
-BLOCK, MOST_BLOCK, TOGETHER, CELLS = 8192, 1 << 17, 512, 1 << 25
+SHARDS, SHARD_ROWS = 4, 1 << 16
+#: Bytes of a shard's vectors in double precision, of a block of queries as they are, and of a piece of a graph, at most.
+SHARD_BYTES, BLOCK_BYTES, PIECE = 1 << 26, 1 << 25, 1 << 15
+#: Queries of a block, from which there is more than one and at most; graphs that one task takes at most; tasks a core.
+BLOCK, MOST_BLOCK, GRAPHS, TASKS = 8192, 1 << 17, 16, 12
+#: Queries of one vectorised search, fewer where it would mark more than CELLS cells or gather more than NUMBERS numbers.
+TOGETHER, CELLS, NUMBERS = 512, 1 << 25, 1 << 21
 #: Vectors of a shard, and of the whole table, that an audit looks up, the recall it asks for, the first beam.
 AUDIT, RECALL, BEAM = 128, 0.98, 12
 
@@ -42,6 +47,10 @@ def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: n
     """Best `width` nodes of a layer for each query, and their cosines, best first; -1 where there are fewer.
     entries: a row of nodes to start from per query, -1 for none."""
     q, n = len(queries), len(vectors)
+    step = max(1, min(TOGETHER, TOGETHER * 64 // width, CELLS // n, NUMBERS // (vectors.shape[1] * max(links.shape[1], entries.shape[1]))))
+    if q > step:
+        parts = [beam(vectors, links, queries[a : a + step], entries[a : a + step], width) for a in range(0, q, step)]
+        return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
     seen = np.zeros((q, n + 1), dtype=bool)  # column n takes what -1 points at
     np.put_along_axis(seen, np.where(entries < 0, n, entries), True, axis=1)
     near = np.where(entries < 0, -np.inf, np.einsum("qed,qd->qe", vectors[entries], queries))
@@ -78,13 +87,17 @@ def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: n
 def diverse(vectors: np.ndarray, of: np.ndarray, cands: np.ndarray, keep: int) -> np.ndarray:
     """For each node of `of`, up to `keep` of its candidates (-1: none): from the nearest on, those nearer to the
     node than to any chosen before; free places go to the nearest of the others."""
+    step = max(1, NUMBERS // (cands.shape[1] * max(cands.shape[1], vectors.shape[1])))
+    if len(of) > step:
+        return np.concatenate([diverse(vectors, of[a : a + step], cands[a : a + step], keep) for a in range(0, len(of), step)])
     sims = np.where(cands < 0, -np.inf, np.einsum("ncd,nd->nc", vectors[cands], vectors[of]))
     order = np.argsort(-sims, axis=1, kind="stable")
     cands, sims = np.take_along_axis(cands, order, axis=1), np.take_along_axis(sims, order, axis=1)
     twice = np.zeros(cands.shape, dtype=bool)
     twice[:, 1:] = (cands[:, 1:] == cands[:, :-1]) & (cands[:, 1:] >= 0)
     sims[twice] = -np.inf
-    among = np.einsum("ncd,ned->nce", vectors[cands], vectors[cands])
+    gathered = vectors[cands]
+    among = gathered @ gathered.transpose(0, 2, 1)
     chosen = np.zeros(cands.shape, dtype=bool)
     worst = np.full(cands.shape, -np.inf)  # greatest cosine to a chosen one
     count = np.zeros(len(of), dtype=int)
@@ -101,24 +114,44 @@ def diverse(vectors: np.ndarray, of: np.ndarray, cands: np.ndarray, keep: int) -
 
 
 class Graph:
-    """layers: neighbours of each node per layer, the lowest first; members: the nodes of each layer above it."""
+    """members: the nodes of each layer above the lowest; layers: neighbours in each layer, the lowest first, by place
+    among its members."""
 
     def __init__(self, vectors: np.ndarray, levels: np.ndarray):
-        self.vectors = vectors
         n = len(vectors)
-        self.members = [np.flatnonzero(levels >= k) for k in range(1, int(levels.max(initial=0)) + 1)]
-        self.members = [m for m in self.members if len(m) > 64]
-        self.layers = [np.full((n, ROOM), -1)] + [np.full((n, ROOM), -1) for _ in self.members]
-        self.top = (self.members[-1] if self.members else np.arange(n))[:64]  # the start: looked at whole
-        for k in range(len(self.members), -1, -1):
-            self._fill(k, self.members[k - 1] if k else np.arange(n))
-
-    def _fill(self, k: int, nodes: np.ndarray) -> None:
-        links, vectors = self.layers[k], self.vectors
+        members = [np.flatnonzero(levels >= k) for k in range(1, int(levels.max(initial=0)) + 1)]
+        members = [m for m in members if len(m) > 64]
+        self._hold(vectors, members, [np.full((k, ROOM), -1, dtype=np.int32) for k in (n, *map(len, members))])
+        for k in range(len(members), -1, -1):
+            self._fill(k)
+
+    def _hold(self, vectors: np.ndarray, members: list[np.ndarray], layers: list[np.ndarray]) -> None:
+        self.vectors, self.members, self.layers = vectors, members, layers
+        self.parts = [vectors, *(vectors[m] for m in members)]  # the vectors of each layer
+        self.top = (members[-1] if members else np.arange(len(vectors)))[:64]  # the start: looked at whole
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What of() makes the graph of again, besides its vectors."""
+        return {f"layer{k}": x for k, x in enumerate(self.layers)} | {f"members{k}": x.astype(np.int32) for k, x in enumerate(self.members)}
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, arrays: dict[str, np.ndarray]) -> Graph:
+        graph = cls.__new__(cls)
+        taken = {name: [arrays[f"{name}{k}"] for k in range(sum(x.startswith(name) for x in arrays))] for name in ("members", "layer")}
+        graph._hold(vectors, taken["members"], taken["layer"])
+        return graph
+
+    def _places(self, k: int, nodes: np.ndarray) -> np.ndarray:
+        """Places of nodes among the members of layer k; -1 stays."""
+        return np.where(nodes < 0, -1, np.searchsorted(self.members[k - 1], nodes)) if k else nodes
+
+    def _fill(self, k: int) -> None:
+        links, vectors = self.layers[k], self.parts[k]
         # nodes of higher layers first, as searches enter this layer there
-        order = [self.top, *reversed(self.members[k:]), nodes]
-        nodes = np.concatenate(order)
+        order = [self._places(k, x) for x in (self.top, *reversed(self.members[k:]))]
+        nodes = np.concatenate([*order, np.arange(len(vectors))])
         nodes = nodes[np.sort(np.unique(nodes, return_index=True)[1])]
+        top = order[0][:2]
         inside = np.zeros(len(vectors) + 1, dtype=bool)
         held = np.zeros(len(vectors), dtype=np.int64)
         done = 0
@@ -129,24 +162,27 @@ class Graph:
             close = np.argsort(-among, axis=1, kind="stable")[:, : LINKS]
             cands = [np.where(np.take_along_axis(among, close, axis=1) > -np.inf, new[close], -1)]
             if done:
-                starts = self.entries(vectors[new], k)
-                starts = np.concatenate([np.where(inside[starts], starts, -1), np.broadcast_to(self.top[:2], (len(new), len(self.top[:2])))], axis=1)
+                starts = self._places(k, self.entries(vectors[new], k))
+                starts = np.concatenate([np.where(inside[starts], starts, -1), np.broadcast_to(top, (len(new), len(top)))], axis=1)
                 starts[:, -2:][(starts[:, -2:, None] == starts[:, None, :-2]).any(axis=2)] = -1
                 cands.append(beam(vectors, links, vectors[new], starts, BUILD_BEAM)[0])
             chosen = diverse(vectors, new, np.concatenate(cands, axis=1), LINKS)
             links[new, :LINKS] = chosen
             held[new] = (chosen >= 0).sum(axis=1)
-            self._back(links, held, np.repeat(new, LINKS), chosen.ravel())
+            self._back(vectors, links, held, np.repeat(new, LINKS), chosen.ravel())
             inside[new] = True
             done += len(new)
 
-    def _back(self, links: np.ndarray, held: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
+    @staticmethod
+    def _back(vectors: np.ndarray, links: np.ndarray, held: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
         """Give the targets a link to the source as well; a list that has no room is pruned."""
         ok = target >= 0
         ok[ok] = ~(links[target[ok]] == source[ok][:, None]).any(axis=1)
         order = np.argsort(target[ok], kind="stable")
         source, target = source[ok][order], target[ok][order]
         own, first, n = np.unique(target, return_index=True, return_counts=True)
+        alike = np.argsort(n, kind="stable")  # those that gain as many together: few places are left empty
+        own, first, n = own[alike], first[alike], n[alike]
         for a in range(0, len(own), 1024):
             o, f, c = own[a : a + 1024], first[a : a + 1024], n[a : a + 1024]
             width = int(c.max())
@@ -158,7 +194,7 @@ class Graph:
             held[o[fits]] += c[fits]
             full = ~fits
             if full.any():
-                pruned = diverse(self.vectors, o[full], np.concatenate([links[o[full]], new[full]], axis=1), 2 * LINKS)
+                pruned = diverse(vectors, o[full], np.concatenate([links[o[full]], new[full]], axis=1), 2 * LINKS)
                 links[o[full]] = -1
                 links[o[full], : 2 * LINKS] = pruned
                 held[o[full]] = (pruned >= 0).sum(axis=1)
@@ -168,7 +204,8 @@ class Graph:
         sims = queries @ self.vectors[self.top].T
         best = self.top[np.argsort(-sims, axis=1)[:, :4]]
         for k in range(len(self.members), to, -1):
-            best = beam(self.vectors, self.layers[k], queries, best, 4)[0]
+            found = beam(self.parts[k], self.layers[k], queries, self._places(k, best), 4)[0]
+            best = np.where(found < 0, -1, self.members[k - 1][found])
         return best
 
     def search(self, queries: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, np.ndarray, bool]]:
@@ -224,23 +261,16 @@ def points_at(vectors: np.ndarray, cosine: float) -> np.ndarray:
     return cosine * vectors + math.sqrt(max(0.0, 1 - cosine * cosine)) * aside
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links a-b those that join what the earlier ones left apart."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := root.setdefault(x, x)) != x:
-            root[x] = root[y] if y in root else y
-            x = root[x]
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(i)
-    return a[keep], b[keep]
+def _joining(parent: np.ndarray, x: int, nodes: np.ndarray) -> np.ndarray:
+    """Of the nodes those whose links to x join what was apart; parent, a node's way to the smallest one of its
+    component, then has all of them together."""
+    at = np.concatenate(([x], nodes))
+    root = parent[at]
+    while ((up := parent[root]) != root).any():
+        root = up
+    apart, first = np.unique(root, return_index=True)
+    parent[apart] = parent[at] = apart[0]
+    return nodes[first[first > 0] - 1]
 
 
 def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -248,6 +278,8 @@ def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarra
     lists = column.combine_chunks()
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
     sizes = np.diff(offsets)
+    if len(sizes) and (sizes == sizes[0]).all():
+        return {int(sizes[0]): (np.arange(len(sizes)), values[offsets[0] : offsets[-1]].reshape(len(sizes), -1))}
     at = {int(d): np.flatnonzero(sizes == d) for d in np.unique(sizes)}
     return {d: (rows, values[offsets[rows][:, None] + np.arange(d)]) for d, rows in at.items()}
 
@@ -271,6 +303,8 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
     component of its own: its component_id is null unless a link gives it one. An empty table gives an empty
     result; other columns are not looked at.
     """
+    spark = embeddings.sparkSession
+    small_batches(spark)
     kind = "float" if embeddings.schema[embedding].dataType == T.ArrayType(T.FloatType()) else "double"  # floats are shuffled as they are
     x = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) | ~F.exists("v", lambda c: c != 0)
@@ -301,59 +335,81 @@ def near_vectors(embeddings: DataFrame, embedding: str = "embedding", vec_id: st
             far, far_v = asked_by.get(d, (key[:0], v[:0]))
             other = np.flatnonzero(~np.isin(far, key[at]))[:AUDIT]
             width = graph.audited(threshold, np.concatenate([v[chosen], far_v[other]]), np.concatenate([chosen, np.full(len(other), -1)]), chosen)
-            out.append({"shard": table["shard"][0].as_py(), "d": d, "width": width, "keys": key[at].tobytes(), "reps": rep[at].tobytes(), "copies": copies[at].tobytes(), "vectors": plain.tobytes(), "members": [m.astype(np.int32).tobytes() for m in graph.members], "layers": [x.astype(np.int32).tobytes() for x in graph.layers]})
-        return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int32()), ("d", pa.int32()), ("width", pa.int32()), *((c, pa.binary()) for c in ("keys", "reps", "copies", "vectors")), ("members", pa.list_(pa.binary())), ("layers", pa.list_(pa.binary()))]))
-
-    graphs = cut(dealt.repartition(4 * n_shards, "shard").groupBy("shard").applyInArrow(build, "shard int, d int, width int, keys binary, reps binary, copies binary, vectors binary, members array<binary>, layers array<binary>"), "graphs")
-    blocks = max(1, math.ceil(n / min(MOST_BLOCK, max(BLOCK, n // 64))))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
-    asked = classes.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", everywhere)
-    copies_of_graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def query(left: pa.Table, right: pa.Table) -> pa.Table:
+            packed = io.BytesIO()
+            np.savez(packed, width=width, keys=key[at], reps=rep[at], copies=copies[at], vectors=plain, **graph.arrays())
+            whole = packed.getvalue()
+            pieces = [whole[a : a + PIECE] for a in range(0, len(whole), PIECE)]
+            out.append(pa.table({"d": pa.array([d] * len(pieces), pa.int32()), "part": pa.array(range(len(pieces)), pa.int32()), "last": [len(pieces) - 1 - i == 0 for i in range(len(pieces))], "piece": pa.array(pieces, pa.binary())}))
+        out = pa.concat_tables(out)
+        return out.add_column(0, "shard", pa.array([table["shard"][0].as_py()] * out.num_rows, pa.int32()))
+
+    graphs = cut(dealt.repartitionById(n_shards, "shard").groupBy("shard").applyInArrow(build, "shard int, d int, part int, last boolean, piece binary"), "graphs")
+    # a task holds a block of queries and takes a group's graphs one after another: queries are copied for each group,
+    # graphs for each block
+    tasks = TASKS * spark.sparkContext.defaultParallelism
+    per = max(1, min(GRAPHS, n_shards // math.ceil(math.sqrt(tasks))))
+    groups = math.ceil(n_shards / per)
+    most = max(1, min(MOST_BLOCK, BLOCK_BYTES // (longest * np.dtype(plain_type).itemsize)))
+    blocks = max(1, math.ceil(n / most), min(math.ceil(n / BLOCK), math.ceil(tasks / groups)))
+    task = (F.col("group") * blocks + F.col("block")).cast("int").alias("task")
+    asked = classes.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = asked.select(task, F.lit(-1).alias("shard"), *(F.lit(None).cast(t).alias(c) for c, t in (("d", "int"), ("part", "int"), ("last", "boolean"), ("piece", "binary"))), "key", "rep", "copies", "v")
+    sent = graphs.withColumn("group", F.pmod("shard", F.lit(groups))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(task, "shard", "d", "part", "last", "piece", *(F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("key", "rep", "copies", "v")))
+
+    def ask(shard: int, d: int, pieces: list[bytes], units: dict[int, tuple[np.ndarray, np.ndarray]], asking: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """kind 0: a link of the ids a and b; 1: class a has n links in shard b, all compared; 2: classes a and b are linked,
         a asked, b has n rows and a has m."""
-        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        key, own = np.asarray(left["key"]), np.asarray(left["copies"])
-        units = {d: (at, _unit(v)) for d, (at, v) in _by_length(left["v"]).items()} if left.num_rows else {}
-        ids = np.asarray(left["rep"])
-        for g in right.to_pylist():
-            if g["d"] not in units:
-                continue
-            at, v = units[g["d"]]
-            graph = Graph.__new__(Graph)
-            graph.vectors = _unit(np.frombuffer(g["vectors"], plain_type).reshape(-1, g["d"]))
-            graph.members = [np.frombuffer(m, np.int32) for m in g["members"]]
-            graph.layers = [np.frombuffer(m, np.int32).reshape(-1, ROOM) for m in g["layers"]]
-            graph.top = (graph.members[-1] if graph.members else np.arange(len(graph.vectors)))[:64]
-            keys, reps, copies = (np.frombuffer(g[c], np.int64) for c in ("keys", "reps", "copies"))
-            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            links: list[tuple[np.ndarray, np.ndarray]] = []
-            held = 0
-            for r, nodes, compared in graph.search(v, g["width"], threshold):
-                me = at[r]
+        if d not in units:
+            return
+        with np.load(io.BytesIO(b"".join(pieces))) as file:
+            held = {x: file[x] for x in file.files}
+        pieces.clear()
+        keys, reps, copies, width = (held.pop(x) for x in ("keys", "reps", "copies", "width"))
+        graph = Graph.of(_unit(held.pop("vectors")), held)
+        at, plain = units[d]
+        key, ids, own = (x[at] for x in asking)
+        parent = np.arange(len(keys) + len(key))
+        for s in range(0, len(key), BLOCK):
+            v = _unit(plain[s : s + BLOCK])
+            out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            for r, nodes, compared in graph.search(v, int(width), threshold):
+                me = s + r
                 nodes = nodes[(keys[nodes] != key[me]) & (graph.vectors[nodes] @ v[r] >= threshold)]
-                same = np.full(len(nodes), 1)
-                links.append((same * ids[me], reps[nodes]))
-                held += len(nodes)
+                if len(nodes):
+                    new = _joining(parent, len(keys) + me, nodes)
+                    out.append((0, np.full(len(new), ids[me]), reps[new], np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)))
                 if compared:
-                    out.append((1, key[me : me + 1], np.array([g["shard"]]), copies[nodes].sum(keepdims=True), np.zeros(1, np.int64)))
+                    out.append((1, key[me : me + 1], np.array([shard]), copies[nodes].sum(keepdims=True), np.zeros(1, np.int64)))
                 else:
-                    out.append((2, same * key[me], keys[nodes], copies[nodes], same * own[me]))
-                if held > 1 << 20:  # what joins nothing new goes before more is gathered
-                    a, b = _forest(*(np.concatenate(z) for z in zip((a, b), *links, strict=True)))
-                    links, held = [], 0
-            a, b = _forest(*(np.concatenate(z) for z in zip((a, b), *links, strict=True)))
-            out.append((0, a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)))
-        kind = np.concatenate([np.full(len(x[1]), x[0]) for x in out]) if out else np.zeros(0, np.int64)
-        columns = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(1, 5)]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("kind", "a", "b", "n", "m"), (kind, *columns), strict=True)})
-
-    # searches take far longer than their few bytes suggest: the number of tasks is not left to the sizes
-    tasks = 2 * n_shards * blocks
-    asked, copies_of_graphs = (t.repartition(tasks, "shard", "block") for t in (asked, copies_of_graphs))
-    found = asked.groupBy("shard", "block").cogroup(copies_of_graphs.groupBy("shard", "block")).applyInArrow(query, "kind long, a long, b long, n long, m long")
-    found = cut(found, "vector-links")
+                    out.append((2, np.full(len(nodes), key[me]), keys[nodes], copies[nodes], np.full(len(nodes), own[me])))
+            if out:
+                columns = [np.concatenate([np.full(len(x[1]), x[0]) for x in out]), *(np.concatenate([x[i] for x in out]) for i in range(1, 5))]
+                yield pa.record_batch({c: pa.array(x, pa.int64()) for c, x in zip(("kind", "a", "b", "n", "m"), columns, strict=True)})
+
+    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        units: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
+        asking: list[np.ndarray] = []
+        pieces: list[bytes] = []
+        for batch in batches:
+            first = int(np.searchsorted(np.asarray(batch.column("shard")), 0))
+            if first:
+                left.append(batch.slice(0, first).select(["key", "rep", "copies", "v"]))
+            for g in batch.slice(first).select(["shard", "d", "last", "piece"]).to_pylist():
+                if units is None:
+                    table = pa.Table.from_batches(left) if left else None
+                    left = []
+                    units = _by_length(table["v"]) if table is not None else {}
+                    asking = [np.asarray(table[c]) for c in ("key", "rep", "copies")] if table is not None else []
+                pieces.append(g["piece"])
+                if g["last"]:
+                    yield from ask(g["shard"], g["d"], pieces, units, asking)
+                    pieces.clear()
+        pa.default_memory_pool().release_unused()  # the worker lives on, other tasks need the room
+
+    found = asked.unionByName(sent).repartitionById(groups * blocks, "task").sortWithinPartitions("shard", "d", "part").drop("task")
+    found = cut(found.mapInArrow(query, "kind long, a long, b long, n long, m long"), "vector-links")
     compared, pairs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("shard"), "n"), found.where("kind = 2")
     turned = pairs.select(F.col("b").alias("key"), F.col("a").alias("other"), F.col("m").alias("n"))
     pairs = pairs.select(F.col("a").alias("key"), F.col("b").alias("other"), "n").unionByName(turned).dropDuplicates(["key", "other"])
