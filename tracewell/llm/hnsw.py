@@ -39,49 +39,53 @@ SHARD_BYTES, BLOCK_BYTES, PIECE = 1 << 26, 1 << 25, 1 << 15
 BLOCK, MOST_BLOCK, GRAPHS, TASKS = 8192, 1 << 17, 16, 12
 #: Queries of one vectorised search, fewer where it would mark more than CELLS cells or gather more than NUMBERS numbers.
 TOGETHER, CELLS, NUMBERS = 512, 1 << 25, 1 << 21
+#: Of a beam's integers: a free place, the bits of a node; how far cosines in single precision may be off.
+EMPTY, NODE, OFF = -2, (1 << 31) - 1, 1e-3
 #: Vectors of a shard, and of the whole table, that an audit looks up, the recall it asks for, the first beam.
 AUDIT, RECALL, BEAM = 128, 0.98, 12
 
 
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best `width` nodes of a layer for each query, and their cosines, best first; -1 where there are fewer.
-    entries: a row of nodes to start from per query, -1 for none."""
+    """Best `width` nodes of a layer for each query, and their cosines as the vectors' type has them, best first; -1 where
+    there are fewer. entries: a row of nodes to start from per query, -1 for none."""
     q, n = len(queries), len(vectors)
     step = max(1, min(TOGETHER, TOGETHER * 64 // width, CELLS // n, NUMBERS // (vectors.shape[1] * max(links.shape[1], entries.shape[1]))))
     if q > step:
         parts = [beam(vectors, links, queries[a : a + step], entries[a : a + step], width) for a in range(0, q, step)]
         return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-    seen = np.zeros((q, n + 1), dtype=bool)  # column n takes what -1 points at
-    np.put_along_axis(seen, np.where(entries < 0, n, entries), True, axis=1)
-    near = np.where(entries < 0, -np.inf, np.einsum("qed,qd->qe", vectors[entries], queries))
-    nodes = np.full((q, width), -1)
-    sims = np.full((q, width), -np.inf)
-    open_ = np.zeros((q, width), dtype=bool)
-
-    def merge(rows: np.ndarray, new: np.ndarray, new_sims: np.ndarray) -> None:
-        both = np.concatenate([sims[rows], new_sims], axis=1)
-        best = np.argpartition(-both, width - 1, axis=1)[:, :width]
-        sims[rows] = np.take_along_axis(both, best, axis=1)
-        nodes[rows] = np.take_along_axis(np.concatenate([nodes[rows], new], axis=1), best, axis=1)
-        open_[rows] = np.take_along_axis(np.concatenate([open_[rows], new_sims > -np.inf], axis=1), best, axis=1)
-
-    merge(np.arange(q), entries, near)
-    rows = np.arange(q)
-    while True:
-        score = np.where(open_[rows], sims[rows], -np.inf)
-        at = score.argmax(axis=1)
-        live = score[np.arange(len(rows)), at] > -np.inf
-        rows, at = rows[live], at[live]
-        if not len(rows):
-            break
-        open_[rows, at] = False
-        new = links[nodes[rows, at]]
-        old = np.take_along_axis(seen[rows], np.where(new < 0, n, new), axis=1) | (new < 0)
-        seen[rows[:, None], np.where(new < 0, n, new)] = True
-        s = np.where(old, -np.inf, np.einsum("qed,qd->qe", vectors[new], queries[rows]))
-        merge(rows, new, s)
-    order = np.argsort(-sims, axis=1, kind="stable")
-    return np.where(np.isneginf(np.take_along_axis(sims, order, axis=1)), -1, np.take_along_axis(nodes, order, axis=1)), np.take_along_axis(sims, order, axis=1)
+    queries = queries.astype(vectors.dtype, copy=False)
+    seen = np.zeros(q * n, dtype=bool)
+    # cosine in steps of 2**-30, node, and whether its neighbours are still to be looked at, in one integer
+    held, worst = np.full((q, width), EMPTY), np.full(q, EMPTY)
+    rows, new = np.arange(q), entries
+    while len(rows):
+        at = np.flatnonzero(new >= 0)
+        c = new.ravel().take(at).astype(np.int64)
+        cell = (r := rows.take(at // new.shape[1])) * n + c
+        fresh = np.flatnonzero(~seen.take(cell))
+        r, c = r.take(fresh), c.take(fresh)
+        seen[cell.take(fresh)] = True
+        s = np.einsum("nd,nd->n", vectors.take(c, axis=0), queries.take(r, axis=0))
+        c = (np.maximum(s + 1.0, 0) * 2.0**30).astype(np.int64) << 32 | c << 1 | 1
+        better = np.flatnonzero(c > worst.take(r))
+        r, c = r.take(better), c.take(better)
+        if len(r):
+            first = np.flatnonzero(np.diff(r, prepend=-1))  # r goes up
+            own, count = r.take(first), np.diff(first, append=len(r))
+            both = np.full((len(own), width + int(count.max())), EMPTY)
+            both[:, :width] = held.take(own, axis=0)
+            both[np.repeat(np.arange(len(own)), count), width + np.arange(len(r)) - np.repeat(first, count)] = c
+            best = np.partition(both, both.shape[1] - width, axis=1)[:, -width:]
+            held[own], worst[own] = best, best[:, 0]
+        part = held.take(rows, axis=0)
+        at = np.where(part & 1, part, EMPTY).argmax(axis=1)
+        c = part[np.arange(len(rows)), at]
+        live = c & 1 == 1
+        rows, at, c = rows[live], at[live], c[live]
+        held[rows, at] -= 1
+        new = links.take(c >> 1 & NODE, axis=0)
+    held = -np.sort(-held, axis=1)
+    return np.where(held < 0, -1, held >> 1 & NODE), np.where(held < 0, -np.inf, (held >> 32) / 2.0**30 - 1)
 
 
 def diverse(vectors: np.ndarray, of: np.ndarray, cands: np.ndarray, keep: int) -> np.ndarray:
@@ -127,7 +131,8 @@ class Graph:
 
     def _hold(self, vectors: np.ndarray, members: list[np.ndarray], layers: list[np.ndarray]) -> None:
         self.vectors, self.members, self.layers = vectors, members, layers
-        self.parts = [vectors, *(vectors[m] for m in members)]  # the vectors of each layer
+        rough = vectors.astype(np.float32)
+        self.parts = [rough, *(rough[m] for m in members)]  # the vectors of each layer, as beams compare them
         self.top = (members[-1] if members else np.arange(len(vectors)))[:64]  # the start: looked at whole
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -212,12 +217,14 @@ class Graph:
         """(query, nodes found with at least the threshold, whether all nodes were compared): they are for queries whose
         beam is full of links."""
         width = min(width, len(self.vectors))
-        step = max(1, min(TOGETHER, TOGETHER * 64 // width, CELLS // len(self.vectors)))
+        step = max(1, min(TOGETHER, TOGETHER * 64 // width, CELLS // len(self.vectors), 2 * NUMBERS // (width * self.vectors.shape[1])))
         full = []
         for a in range(0, len(queries), step):
             part = queries[a : a + step]
-            nodes, sims = beam(self.vectors, self.layers[0], part, self.entries(part), width)
-            hits = sims >= threshold - 1e-9
+            nodes, sims = beam(self.parts[0], self.layers[0], part, self.entries(part), width)
+            hits = sims >= threshold - OFF
+            r, c = np.nonzero(hits)
+            hits[r, c] = np.einsum("nd,nd->n", self.vectors[nodes[r, c]], part[r]) >= threshold - 1e-9
             all_ = hits.all(axis=1)
             full.append(a + np.flatnonzero(all_))
             for r in np.flatnonzero(hits.any(axis=1) & ~all_):
@@ -245,7 +252,7 @@ class Graph:
         width = min(BEAM, len(self.vectors))
         while width < len(self.vectors):
             links = sum(int((x != own[r]).sum()) for r, x, _ in self.search(queries, width, threshold))
-            told = beam(self.vectors, self.layers[0], placed, self.entries(placed), width)[0] if len(placed) else np.zeros((0, 1))
+            told = beam(self.parts[0], self.layers[0], placed, self.entries(placed), width)[0] if len(placed) else np.zeros((0, 1))
             if links >= RECALL * exact and (told == sources[:, None]).any(axis=1).sum() >= RECALL * len(sources):
                 break
             width *= 2
